@@ -8,6 +8,7 @@ reads each of them in one task.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,40 @@ def _first_data_cell(
     return rows[0][0] if rows else None
 
 
+def line_layout(scan: DataFrame, sep: str) -> DataFrame:
+    """Block layout of a line scan, with the lines that leave a quote open."""
+    open_lines = F.count_if(~R.is_closed(F.col("record"), sep))
+    return N.block_layout(scan, open_lines.alias("open_lines"))
+
+
+def cells_of_lines(
+    spark: SparkSession, scan: DataFrame, layout: DataFrame, sep: str, width: int
+) -> tuple[DataFrame, DataFrame]:
+    """Line scan to cell scan, with the layout of the result. Files with a record
+    over several lines are read again in multi-line mode."""
+    cells = scan.select(
+        R.split_record(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
+    )
+    # File names only; Spark itself lists the same files to plan a scan.
+    spanning = [
+        row[0]
+        for row in layout.groupBy(N.FILE)
+        .agg(F.sum("open_lines").alias("open"))
+        .where("open > 0")
+        .select(N.FILE)
+        .collect()
+    ]
+    layout = layout.drop("open_lines")
+    if not spanning:
+        return cells, layout
+    multi = scan_multiline(spark, [unquote(f) for f in spanning], sep, width)
+    line_file = ~F.col(N.FILE).isin(spanning)
+    return (
+        cells.where(line_file).unionByName(multi),
+        layout.where(line_file).unionByName(N.block_layout(multi)),
+    )
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -124,8 +159,7 @@ def read_delimited(
     """
     sep = sep or R.delimiter_of(path)
     scan = scan_lines(spark, path)
-    open_lines = F.count_if(~R.is_closed(F.col("record"), sep)).alias("open_lines")
-    layout = N.block_layout(scan, open_lines)
+    layout = line_layout(scan, sep)
     head = layout.agg(
         F.min(N.FILE).alias("file"), F.coalesce(F.sum("open_lines"), F.lit(0)).alias("open")
     ).head()
@@ -134,33 +168,17 @@ def read_delimited(
             raise EmptyInputError("CSV file is empty")
         return spark.createDataFrame([], "line_no bigint, cells array<string>")
     if header is None:
-        header = has_header(spark, head.file, sep)
+        header = has_header(spark, unquote(head.file), sep)
     if auto_id is None:
-        cell = _first_data_cell(spark, head.file, sep, header, head.open > 0, width + 1)
+        cell = _first_data_cell(
+            spark, unquote(head.file), sep, header, head.open > 0, width + 1
+        )
         auto_id = cell is not None and not _is_int64(cell)
 
-    scan = scan.select(
-        R.split_record(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
+    scan, layout = cells_of_lines(
+        spark, scan, layout, sep, width if auto_id else width + 1
     )
-    if head.open:
-        # File names only; Spark itself lists the same files to plan a scan.
-        spanning = [
-            row[0]
-            for row in layout.groupBy(N.FILE)
-            .agg(F.sum("open_lines").alias("open"))
-            .where("open > 0")
-            .select(N.FILE)
-            .collect()
-        ]
-        multi = scan_multiline(spark, spanning, sep, width if auto_id else width + 1)
-        line_file = ~F.col(N.FILE).isin(spanning)
-        layout = (
-            layout.drop("open_lines")
-            .where(line_file)
-            .unionByName(N.block_layout(multi))
-        )
-        scan = scan.where(line_file).unionByName(multi)
-    numbered = N.number_records(scan, layout.drop("open_lines"))
+    numbered = N.number_records(scan, layout)
     if header:
         numbered = numbered.where(F.col("file_record_no") > 1)
     if auto_id:
@@ -189,7 +207,7 @@ def read_lines_split(
             raise EmptyInputError("CSV file is empty")
         return spark.createDataFrame([], "line_no bigint, cells array<string>")
     if header is None:
-        header = has_header(spark, first, sep)
+        header = has_header(spark, unquote(first), sep)
     scan = scan.select(
         R.split_plain(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
     )

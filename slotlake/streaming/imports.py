@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slotlake.functions import records as REC
 from slotlake.functions import rows as R
-from slotlake.functions.cells import WHITE_SPACE  # noqa: F401
 from slotlake.operators import numbering as N
 from slotlake.schema import Column, struct_type
 from slotlake.session import path_exists
+from slotlake.sources.delimited import cells_of_lines, line_layout
 
 REJECTED = "rejected"
 PROGRESS_DDL = "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint"
@@ -30,11 +29,14 @@ def _write_batch(
     auto_id: bool,
 ) -> None:
     spark = batch.sparkSession
-    scan = batch.where(F.col("value") != "").withColumn(
-        N.POS, F.monotonically_increasing_id()
+    scan = (
+        batch.where(F.col("value") != "")
+        .withColumnRenamed("value", "record")
+        .withColumn(N.POS, F.monotonically_increasing_id())
     )
-    scan = scan.select(REC.split_record(F.col("value"), sep).alias("cells"), *N.SCAN_COLUMNS)
-    numbered = N.number_records(scan, N.block_layout(scan))
+    width = len(columns) if auto_id else len(columns) + 1
+    scan, layout = cells_of_lines(spark, scan, line_layout(scan, sep), sep, width)
+    numbered = N.number_records(scan, layout)
     # Records of earlier batches; this batch's own entry does not count on a replay.
     before = (
         progress(spark, target)
@@ -92,8 +94,9 @@ def stream_import(
 ) -> StreamingQuery:
     """Import the files of a directory, and files that arrive later.
 
-    Headerless files with one record per line. A restart on the same checkpoint goes
-    on after the last finished batch. With `auto_id` ids run on over all batches.
+    Files carry no header. Batches follow the arrival of files, records in a batch
+    the file order. A restart on the same checkpoint goes on after the last finished
+    batch. With `auto_id` ids run on over all batches.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_batch:
