@@ -143,3 +143,18 @@ def all_of(conditions: list[SparkColumn]) -> SparkColumn:
 
 def any_of(conditions: list[SparkColumn]) -> SparkColumn:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def after_line(df: DataFrame, start_line: int) -> DataFrame:
+    """Rows behind the line an earlier run got to."""
+    return df.where(F.col("line_no") > start_line)
+
+
+def import_counters(converted: DataFrame) -> DataFrame:
+    """Processed and failed rows and the last line, in one pass."""
+    bad = F.col(REJECT).isNotNull()
+    return converted.agg(
+        F.count_if(~bad).alias("processed"),
+        F.count_if(bad).alias("failed"),
+        F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
+    )

@@ -280,7 +280,7 @@ class Lake:
         self.create_table(delta_name(table))
         converted = self.read_source(table, path, method, header)
         if start_line:
-            converted = converted.where(F.col("line_no") > start_line)
+            converted = R.after_line(converted, start_line)
         report = self.load_slot(table, new, converted, job_id)
         try:
             if max_failed is not None and report.failed > max_failed:
