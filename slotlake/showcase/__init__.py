@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("imports",)
+MODULES = ("imports", "cells")
 
 
 def all_queries() -> dict:
