@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("imports", "cells")
+MODULES = ("imports", "cells", "lifecycle", "status")
 
 
 def all_queries() -> dict:
