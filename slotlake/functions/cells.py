@@ -46,6 +46,7 @@ ISO_RE = (
 US_RE = rf"^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}(?: {_CLOCK})?\z"
 NAMED_RE = rf"^[0-9]{{2}}-[A-Za-z]{{3}}-[0-9]{{4}}(?: {_CLOCK})?\z"
 ZONE_RE = rf"T.*{_ZONE}\z"
+DATE_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 # JSON tokens. Possessive loops keep the matcher iterative on long texts.
@@ -55,7 +56,11 @@ JSON_SKELETON_RE = (
     r'^(?:[ \t\r\n\[\]{},:]|""|(?:true|false|null|'
     r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![0-9A-Za-z.+-]))*+\z"
 )
+# Texts with none of these characters cannot hold what Spark's JSON reader lets pass.
+JSON_LENIENT_RE = r"['\x00-\x1f]"
 JSON_INT_RE = r"^(?:-?(?:0|[1-9][0-9]*)|null)\z"
+_JSON_INT = "-?(?:0|[1-9][0-9]{0,17})"
+PLAIN_JSON_LIST_RE = rf"^\[{_JSON_INT}(?:,{_JSON_INT})*+\]\z"
 JSON_SPACE = " \t\r\n"
 
 
@@ -134,8 +139,10 @@ def parse_timestamp(c: SparkColumn) -> SparkColumn:
             c.substr(F.lit(12), F.length(c)),
         ),
     )
+    day = F.unix_date(c.try_cast("date")).cast("bigint") * 86400
     return (
         F.when(c == "", F.lit(0).cast("bigint"))
+        .when(c.rlike(DATE_RE), day)
         .when(c.rlike(INT_RE), c.try_cast("bigint"))
         .when(c.rlike(ISO_RE), iso)
         .when(c.rlike(US_RE), us)
@@ -181,8 +188,13 @@ def parse_int_list(c: SparkColumn, bits: int = 64) -> SparkColumn:
     else:
         separated = ints(pieces, lambda p: p.rlike(INT_RE))
 
+    # Plain lists, which are most, need no test per element.
+    plain_digits, plain_sign = ("9", "") if bits == 32 else ("18", "[+-]?")
+    plain = rf"^{plain_sign}[0-9]{{1,{plain_digits}}}(?:,{plain_sign}[0-9]{{1,{plain_digits}}})*+\z"
     return (
         F.when(c == "", empty)
+        .when(c.rlike(plain), F.split(c, ",").cast("array<bigint>"))
+        .when(c.rlike(PLAIN_JSON_LIST_RE), F.split(inner, ",").cast("array<bigint>"))
         .when(c.startswith("["), from_json_form)
         .otherwise(separated)
     )
@@ -193,8 +205,8 @@ def parse_json(c: SparkColumn) -> SparkColumn:
 
     Nesting and separators are checked by Spark's own JSON functions. They stop at
     the end of the first value and let single quotes and raw control characters
-    pass, so the text is wrapped both as an array element and as an object member,
-    and its tokens are checked apart.
+    pass. So the text is wrapped both as an array element and as an object member,
+    and where it holds such characters its tokens are checked apart.
     """
     one_element = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
     one_member = (
@@ -203,7 +215,9 @@ def parse_json(c: SparkColumn) -> SparkColumn:
         )
         == "v"
     )
-    tokens = F.regexp_replace(c, JSON_STRING_RE, '""').rlike(JSON_SKELETON_RE)
+    tokens = ~c.rlike(JSON_LENIENT_RE) | F.regexp_replace(c, JSON_STRING_RE, '""').rlike(
+        JSON_SKELETON_RE
+    )
     return F.when(c == "", F.lit("{}")).when(tokens & one_element & one_member, c)
 
 

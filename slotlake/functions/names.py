@@ -94,18 +94,20 @@ def is_valid_uuid(exists: SparkColumn, uuid: SparkColumn) -> SparkColumn:
     return F.coalesce(exists & (uuid != "") & (uuid != ZERO_UUID), F.lit(False))
 
 
-def env_value(overrides: SparkColumn, name: str) -> SparkColumn:
-    """First value of a named variable over all overrides, empty if there is none."""
-    env = F.flatten(
-        F.transform(overrides, lambda o: F.coalesce(o["env"], F.array()))
-    )
+def env_list(overrides: SparkColumn) -> SparkColumn:
+    """Variables of all overrides in one list, in order."""
+    return F.flatten(F.transform(overrides, lambda o: F.coalesce(o["env"], F.array())))
+
+
+def env_value(env: SparkColumn, name: str) -> SparkColumn:
+    """First value of a named variable in a list of them, empty if there is none."""
     hits = F.filter(env, lambda e: (e["name"] == name) & e["value"].isNotNull())
     return F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(""))
 
 
-def env_int(overrides: SparkColumn, name: str) -> SparkColumn:
+def env_int(env: SparkColumn, name: str) -> SparkColumn:
     """Like `env_value`, as integer; NULL if it is none."""
-    text = env_value(overrides, name)
+    text = env_value(env, name)
     return F.when(text.rlike(INT_RE), text.try_cast("bigint"))
 
 

@@ -10,19 +10,14 @@ from pyspark.sql import functions as F
 
 from slotlake.functions import cells as C
 from slotlake.schema import Column
+from slotlake.session import tune
 
 REJECT = "_reject"
 REJECT_TYPE = "struct<line:bigint,column:string,value:string,reason:string>"
 REJECT_DDL = "line bigint, column string, value string, reason string"
 
 
-def _reject(line, column: str, value: SparkColumn, reason: SparkColumn) -> SparkColumn:
-    return F.struct(
-        line.alias("line"),
-        F.lit(column).alias("column"),
-        value.alias("value"),
-        reason.alias("reason"),
-    ).cast(REJECT_TYPE)
+WRONG_WIDTH, BAD_ID = -1, 0
 
 
 def convert_rows(
@@ -34,64 +29,72 @@ def convert_rows(
     column per declared column, and `_reject`, NULL on good rows. A reject names
     the first failing column from left to right: row width, then id, then cells.
     """
+    tune(df.sparkSession)
     width = len(columns)
-    raw = [F.get("cells", F.lit(i)) for i in range(width + 1)]
-
-    # Step 1: cut the array into trimmed cells (the id cell is taken as it is).
-    staged = df.select(
-        "line_no",
-        F.size("cells").alias("_n"),
-        raw[0].alias("_c0"),
-        *[raw[i + 1].alias(f"_c{i + 1}") for i in range(width)],
-    )
-    trimmed = staged.select(
-        "*", *[C.trim_cell(F.col(f"_c{i + 1}")).alias(f"_t{i + 1}") for i in range(width)]
-    )
 
-    # Step 2: typed values; NULL marks an invalid cell.
     def parser(col: Column):
         if lenient_bool and col.type == "attr_bool":
             return C.parse_bool_lenient
         return C.PARSERS[col.type]
 
+    # Trimmed cells (the id cell is taken as it is), then typed values; each step is
+    # a projection of its own, so no cell is cut or trimmed twice.
+    trimmed = df.select(
+        "line_no",
+        "cells",
+        F.get("cells", F.lit(0)).alias("_t0"),
+        *[C.trim_cell(F.get("cells", F.lit(i))).alias(f"_t{i}") for i in range(1, width + 1)],
+    )
     typed = trimmed.select(
-        "*",
-        C.parse_bigint(F.col("_c0")).alias("_v0"),
-        *[
-            parser(col)(F.col(f"_t{i + 1}")).alias(f"_v{i + 1}")
-            for i, col in enumerate(columns)
-        ],
+        "line_no",
+        "cells",
+        C.parse_bigint(F.col("_t0")).alias("_v0"),
+        *[parser(c)(F.col(f"_t{i}")).alias(f"_v{i}") for i, c in enumerate(columns, 1)],
+    )
+
+    # Position of the first failure; its description is built from the position, so
+    # the test of a good row stays short.
+    can_fail = [i for i, c in enumerate(columns, 1) if not c.is_string]
+    bad = F.when(F.size("cells") != width + 1, F.lit(WRONG_WIDTH)).when(
+        F.col("_v0").isNull(), F.lit(BAD_ID)
+    )
+    for i in can_fail:
+        bad = bad.when(F.col(f"_v{i}").isNull(), F.lit(i))
+    # A row id is never negative: this branch only keeps the optimizer from copying
+    # the whole conversion into every filter on `_reject`.
+    bad = bad.when(F.monotonically_increasing_id() < 0, F.lit(WRONG_WIDTH))
+    values = [F.col("_v0").alias("id")] + [
+        F.col(f"_v{i}").alias(c.name) for i, c in enumerate(columns, 1)
+    ]
+    tested = typed.select("line_no", "cells", *values, bad.alias("_bad"))
+    return tested.select(
+        "line_no", "id", *[f"`{c.name}`" for c in columns], _reject(columns).alias(REJECT)
     )
 
-    # Step 3: the first failure of the row.
-    line = F.col("line_no")
+
+def _reject(columns: list[Column]) -> SparkColumn:
+    """Description of the failure at position `_bad`."""
+    bad = F.col("_bad")
+    raw = F.get("cells", bad)
     wrong_width = F.concat(
-        F.lit(f"expected {width} data columns (plus ID), got "),
-        F.col("_n").cast("string"),
+        F.lit(f"expected {len(columns)} data columns (plus ID), got "),
+        F.size("cells").cast("string"),
         F.lit(" total columns"),
     )
-    error = F.when(
-        F.col("_n") != width + 1, _reject(line, "", F.lit(""), wrong_width)
-    ).when(
-        F.col("_v0").isNull(),
-        _reject(line, "id", F.col("_c0"), F.lit("invalid ID: invalid integer")),
+    reason = F.when(bad == WRONG_WIDTH, wrong_width).when(
+        bad == BAD_ID, F.lit("invalid ID: invalid integer")
     )
-    for i, col in enumerate(columns, start=1):
-        error = error.when(
-            F.col(f"_v{i}").isNull(),
-            _reject(
-                line,
-                col.name,
-                F.col(f"_c{i}"),
-                C.reject_reason(col.type, F.col(f"_t{i}")),
-            ),
-        )
-    return typed.select(
-        "line_no",
-        F.col("_v0").alias("id"),
-        *[F.col(f"_v{i}").alias(col.name) for i, col in enumerate(columns, start=1)],
-        error.alias(REJECT),
+    for logical_type in sorted({c.type for c in columns if not c.is_string}):
+        at = [i for i, c in enumerate(columns, 1) if c.type == logical_type]
+        reason = reason.when(bad.isin(at), C.reject_reason(logical_type, C.trim_cell(raw)))
+    names = F.array(F.lit("id"), *[F.lit(c.name) for c in columns])
+    described = F.struct(
+        F.col("line_no").alias("line"),
+        F.when(bad == WRONG_WIDTH, F.lit("")).otherwise(F.get(names, bad)).alias("column"),
+        F.when(bad == WRONG_WIDTH, F.lit("")).otherwise(raw).alias("value"),
+        reason.alias("reason"),
     )
+    return F.when(bad.isNotNull(), described.cast(REJECT_TYPE))
 
 
 def good_rows(converted: DataFrame) -> DataFrame:

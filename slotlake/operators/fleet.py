@@ -24,17 +24,28 @@ def valid_members(replicas: DataFrame) -> DataFrame:
     return replicas.where(F.col("has_valid_uuid") & (F.col("cluster_status") == PRIMARY))
 
 
+def _newest_member() -> SparkColumn:
+    """Index of the member with the highest seqno, the lowest index on ties.
+
+    Both are packed into one decimal: an aggregate with a fixed-width buffer hashes
+    its groups, one over a struct would sort all replicas.
+    """
+    digits = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    top = F.lit(2**63 - 1).cast("decimal(19,0)")
+    packed = F.col("seqno").cast("decimal(19,0)") * digits + (top - F.col("idx"))
+    return (top - F.pmod(F.max(packed.cast("decimal(38,0)")), digits)).cast("bigint")
+
+
 def cluster_groups(replicas: DataFrame) -> DataFrame:
     """Groups by uuid within a cluster: size, lowest seqno, and the member with the
     highest seqno (lowest index on ties)."""
-    newest = F.struct(F.col("seqno"), (-F.col("idx")).alias("_neg"))
     return (
         valid_members(replicas)
         .groupBy("cluster_id", "uuid")
         .agg(
             F.count("*").alias("node_count"),
             F.min("seqno").alias("min_seqno"),
-            F.max_by("idx", newest).alias("source_idx"),
+            _newest_member().alias("source_idx"),
         )
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotlake.functions.names import env_int, env_value
+from slotlake.functions.names import env_int, env_list, env_value
 
 # Command type, stages and variable names in the log.
 RUN_TYPE = "runCronWorkload"
@@ -15,21 +15,18 @@ ACTIVE_STAGES = ("pending", "running")
 BACKUP_ACTIONS = ("backup", "restore")
 
 
-def _overrides():
-    return F.col("spec.containerOverrides")
-
-
 def with_env(commands: DataFrame) -> DataFrame:
     """Add the named variables as columns: action, table, dataset, kind, file and
-    source replica."""
-    return commands.select(
-        "*",
-        env_value(_overrides(), "ACTION").alias("action"),
-        env_value(_overrides(), "TABLE_NAME").alias("table_name"),
-        env_value(_overrides(), "DATASET").alias("dataset"),
-        env_value(_overrides(), "TYPE").alias("kind"),
-        env_value(_overrides(), "RESTORE_FILE").alias("filename"),
-        env_int(_overrides(), "REPAIR_SOURCE_REPLICA").alias("source_replica"),
+    source replica. The nested list is flattened once for all of them."""
+    env = F.col("_env")
+    return commands.withColumn("_env", env_list(F.col("spec.containerOverrides"))).select(
+        *commands.columns,
+        env_value(env, "ACTION").alias("action"),
+        env_value(env, "TABLE_NAME").alias("table_name"),
+        env_value(env, "DATASET").alias("dataset"),
+        env_value(env, "TYPE").alias("kind"),
+        env_value(env, "RESTORE_FILE").alias("filename"),
+        env_int(env, "REPAIR_SOURCE_REPLICA").alias("source_replica"),
     )
 
 

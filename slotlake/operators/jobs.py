@@ -35,10 +35,16 @@ class JobStateError(RuntimeError):
 
 
 def latest_job(jobs: DataFrame, keys: tuple[str, ...] = ("table", "csvPath")) -> DataFrame:
-    """Newest job per table and path (highest id on ties)."""
+    """Newest job per table and path (highest id on ties).
+
+    The newest start is found first, in a hash aggregate; whole rows are compared
+    only among the jobs that share it.
+    """
+    started = jobs.where("startedAt > 0")
+    newest = started.groupBy(*keys).agg(F.max("startedAt").alias("startedAt"))
+    tied = started.join(newest, [*keys, "startedAt"], "left_semi")
     row = F.struct(*[c for c in jobs.columns if c not in keys])
-    order = F.struct(F.col("startedAt"), F.col("id"))
-    return jobs.where("startedAt > 0").groupBy(*keys).agg(F.max_by(row, order).alias("_j")).select(*keys, "_j.*")
+    return tied.groupBy(*keys).agg(F.max_by(row, "id").alias("_j")).select(*keys, "_j.*")
 
 
 def resume_points(jobs: DataFrame, current: DataFrame | None = None) -> DataFrame:

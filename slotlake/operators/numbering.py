@@ -94,27 +94,29 @@ def running_total(
     )
 
 
-def block_offsets(layout: DataFrame) -> tuple[DataFrame, int]:
+def block_offsets(layout: DataFrame, rows: int) -> DataFrame:
     """Layout plus `before` (records in earlier blocks), `file_before` (records in
-    earlier files) and `file_no` (1-based). Returns the frame and its row count."""
-    rows = layout.count()
+    earlier files) and `file_no` (1-based)."""
     files = layout.groupBy(FILE).agg(F.sum("n").alias("file_n"), F.lit(1).alias("one"))
     files = running_total(
         files, [FILE], {"file_n": "file_before", "one": "files_before"}, rows
     ).select(FILE, "file_before", (F.col("files_before") + 1).alias("file_no"))
     blocks = running_total(layout, [FILE, BLOCK], {"n": "before"}, rows)
-    return blocks.join(files, FILE), rows
+    return blocks.join(files, FILE)
 
 
-def number_records(scan: DataFrame, layout: DataFrame) -> DataFrame:
+def number_records(
+    scan: DataFrame, layout: DataFrame, blocks: int | None = None
+) -> DataFrame:
     """Add `record_no` (dense, from 1, in file order), `file_record_no` and
     `file_no`; the scan columns are dropped.
 
     Both passes must see the same blocks. If the cluster changed in between and
     the input was split differently, the query fails instead of misnumbering.
+    `blocks` is the number of layout rows, counted here if it is not known.
     """
-    offsets, rows = block_offsets(layout)
-    offsets = offsets.select(
+    rows = layout.count() if blocks is None else blocks
+    offsets = block_offsets(layout, rows).select(
         FILE, BLOCK, "first_pos", "last_pos", "before", "file_before", "file_no"
     )
     joined = scan.join(

@@ -44,14 +44,12 @@ def held_components(configured: DataFrame, listings: DataFrame) -> DataFrame:
     """Components of configured tables that replicas hold, one row per table and
     replica: presence and cluster flags of main, delta and unified table.
 
-    Listings of tables nobody configured, and of the idle slot, drop out.
+    Listings of tables nobody configured, and of the idle slot, drop out. Repeated
+    listings are folded before the join.
     """
-    held = listings.select(
-        "idx",
-        NM.base_name(F.col("name")).alias("base"),
-        F.col("name").alias("held"),
-        "in_cluster",
-    )
+    held = listings.groupBy(
+        "idx", NM.base_name(F.col("name")).alias("base"), F.col("name").alias("held")
+    ).agg(F.bool_or("in_cluster").alias("in_cluster"))
     live = configured.select(F.col("name").alias("base"), "slot")
     tagged = held.join(live, "base").select(
         F.col("base").alias("name"),

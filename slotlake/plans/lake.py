@@ -52,7 +52,9 @@ class Lake:
         self.registry = registry
         self.database = database
         if database != "default":
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+            spark.sql(
+                f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{self.root}/_database'"
+            )
 
     # --- names and places ----------------------------------------------------
 

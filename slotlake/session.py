@@ -23,6 +23,12 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+def tune(spark: SparkSession) -> None:
+    """Row conversion makes wide generated code. The JVM never compiles methods over
+    8000 bytes, so above that Spark must fall back to its split-up projections."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's spark.checkpoint.dir.
 

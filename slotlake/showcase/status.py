@@ -273,9 +273,9 @@ def command_log(spark, sf_dir):
     path = scratch_path(spark, "commands")
     commands(spark, sf_dir).write.json(path)
     log = DS.read_commands(spark, path)
-    return log.groupBy(
-        "type", "lifecycleStage", NM.env_value(F.col("spec.containerOverrides"), "ACTION").alias("action")
-    ).agg(F.count("*").alias("commands"))
+    return H.with_env(log).groupBy("type", "lifecycleStage", "action").agg(
+        F.count("*").alias("commands")
+    )
 
 
 def active_imports(spark, sf_dir):

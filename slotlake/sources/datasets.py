@@ -95,30 +95,23 @@ def parse_kv_lines(lines: DataFrame, by: str = "file", order: str | None = None)
     """
     text = trim_cell(F.col("value"))
     split = F.split(text, ":", 2)
-    pairs = lines.where((text != "") & ~text.startswith("#") & text.contains(":")).select(
+    usable = (text != "") & ~text.startswith("#") & text.contains(":")
+    pairs = lines.select(
         by,
         (F.col(order) if order else F.monotonically_increasing_id()).alias("_o"),
-        trim_cell(split[0]).alias("key"),
-        trim_cell(split[1]).alias("val"),
+        F.when(usable, trim_cell(F.get(split, F.lit(0)))).alias("key"),
+        F.when(usable, trim_cell(F.get(split, F.lit(1)))).alias("val"),
     )
     number = F.when(F.col("val").rlike(INT_RE), F.col("val").try_cast("bigint"))
 
-    def last(key, value):
-        chosen = F.when((F.col("key") == key) & value.isNotNull(), value)
-        at = F.when(chosen.isNotNull(), F.col("_o"))
-        return F.max_by(chosen, at)
+    def last(key, value, default):
+        at = F.when((F.col("key") == key) & value.isNotNull(), F.col("_o"))
+        return F.coalesce(F.max_by(value, at), F.lit(default)).alias(key)
 
-    found = pairs.groupBy(by).agg(
-        last("uuid", F.col("val")).alias("uuid"),
-        last("seqno", number).alias("seqno"),
-        last("safe_to_bootstrap", number).alias("safe_to_bootstrap"),
-    )
-    files = lines.select(by).distinct()
-    return files.join(found, by, "left").select(
-        by,
-        F.coalesce("uuid", F.lit("")).alias("uuid"),
-        F.coalesce("seqno", F.lit(0)).alias("seqno"),
-        F.coalesce("safe_to_bootstrap", F.lit(0)).alias("safe_to_bootstrap"),
+    return pairs.groupBy(by).agg(
+        last("uuid", F.col("val"), ""),
+        last("seqno", number, 0),
+        last("safe_to_bootstrap", number, 0),
     )
 
 

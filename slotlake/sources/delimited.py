@@ -113,14 +113,25 @@ def line_layout(scan: DataFrame, sep: str) -> DataFrame:
     return N.block_layout(scan, open_lines.alias("open_lines"))
 
 
+def layout_summary(layout: DataFrame):
+    """Blocks, first file and lines that leave a quote open, in one small job."""
+    return layout.agg(
+        F.count("*").alias("blocks"),
+        F.min(N.FILE).alias("file"),
+        F.coalesce(F.sum("open_lines"), F.lit(0)).alias("open"),
+    ).head()
+
+
 def cells_of_lines(
-    spark: SparkSession, scan: DataFrame, layout: DataFrame, sep: str, width: int
+    spark: SparkSession, scan: DataFrame, layout: DataFrame, sep: str, width: int, any_open: bool
 ) -> tuple[DataFrame, DataFrame]:
     """Line scan to cell scan, with the layout of the result. Files with a record
     over several lines are read again in multi-line mode."""
     cells = scan.select(
         R.split_record(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
     )
+    if not any_open:
+        return cells, layout.drop("open_lines")
     # File names only; Spark itself lists the same files to plan a scan.
     spanning = [
         row[0]
@@ -131,8 +142,6 @@ def cells_of_lines(
         .collect()
     ]
     layout = layout.drop("open_lines")
-    if not spanning:
-        return cells, layout
     multi = scan_multiline(spark, [unquote(f) for f in spanning], sep, width)
     line_file = ~F.col(N.FILE).isin(spanning)
     return (
@@ -160,9 +169,7 @@ def read_delimited(
     sep = sep or R.delimiter_of(path)
     scan = scan_lines(spark, path)
     layout = line_layout(scan, sep)
-    head = layout.agg(
-        F.min(N.FILE).alias("file"), F.coalesce(F.sum("open_lines"), F.lit(0)).alias("open")
-    ).head()
+    head = layout_summary(layout)
     if head.file is None:
         if header is not False:
             raise EmptyInputError("CSV file is empty")
@@ -176,9 +183,9 @@ def read_delimited(
         auto_id = cell is not None and not _is_int64(cell)
 
     scan, layout = cells_of_lines(
-        spark, scan, layout, sep, width if auto_id else width + 1
+        spark, scan, layout, sep, width if auto_id else width + 1, head.open > 0
     )
-    numbered = N.number_records(scan, layout)
+    numbered = N.number_records(scan, layout, head.blocks)
     if header:
         numbered = numbered.where(F.col("file_record_no") > 1)
     if auto_id:
@@ -201,17 +208,17 @@ def read_lines_split(
     sep = sep or R.delimiter_of(path)
     scan = scan_lines(spark, path)
     layout = N.block_layout(scan)
-    first = layout.agg(F.min(N.FILE)).head()[0]
-    if first is None:
+    head = layout.agg(F.min(N.FILE).alias("file"), F.count("*").alias("blocks")).head()
+    if head.file is None:
         if header is not False:
             raise EmptyInputError("CSV file is empty")
         return spark.createDataFrame([], "line_no bigint, cells array<string>")
     if header is None:
-        header = has_header(spark, unquote(first), sep)
+        header = has_header(spark, unquote(head.file), sep)
     scan = scan.select(
         R.split_plain(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
     )
-    numbered = N.number_records(scan, layout)
+    numbered = N.number_records(scan, layout, head.blocks)
     if header:
         numbered = numbered.where(F.col("file_record_no") > 1)
     headers = F.col("file_no") if header else F.lit(0)

@@ -6,15 +6,17 @@ so a batch that is replayed after a failure leaves no duplicates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from slotlake.functions import rows as R
 from slotlake.operators import numbering as N
 from slotlake.schema import Column, struct_type
 from slotlake.session import path_exists
-from slotlake.sources.delimited import cells_of_lines, line_layout
+from slotlake.sources.delimited import cells_of_lines, layout_summary, line_layout
 
 REJECTED = "rejected"
 PROGRESS_DDL = "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint"
@@ -35,8 +37,10 @@ def _write_batch(
         .withColumn(N.POS, F.monotonically_increasing_id())
     )
     width = len(columns) if auto_id else len(columns) + 1
-    scan, layout = cells_of_lines(spark, scan, line_layout(scan, sep), sep, width)
-    numbered = N.number_records(scan, layout)
+    layout = line_layout(scan, sep)
+    head = layout_summary(layout)
+    scan, layout = cells_of_lines(spark, scan, layout, sep, width, head.open > 0)
+    numbered = N.number_records(scan, layout, head.blocks)
     # Records of earlier batches; this batch's own entry does not count on a replay.
     before = (
         progress(spark, target)
@@ -144,24 +148,23 @@ def _batches(spark: SparkSession, target: str, columns: list[Column]) -> DataFra
     return spark.read.schema(schema).parquet(f"{target}/data")
 
 
-class ProgressLog:
-    """Listener that keeps the progress Spark reports for streaming imports."""
-
-    @staticmethod
-    def listener(on_progress):
-        from pyspark.sql.streaming import StreamingQueryListener
+def progress_listener(
+    on_progress: Callable[[str, int, int], None],
+) -> StreamingQueryListener:
+    """Listener that hands on query name, batch id and input rows of every batch."""
 
-        class _Listener(StreamingQueryListener):
-            def onQueryStarted(self, event):
-                pass
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
 
-            def onQueryProgress(self, event):
-                on_progress(event.progress.batchId, event.progress.numInputRows)
+        def onQueryProgress(self, event):
+            p = event.progress
+            on_progress(p.name, p.batchId, p.numInputRows)
 
-            def onQueryIdle(self, event):
-                pass
+        def onQueryIdle(self, event):
+            pass
 
-            def onQueryTerminated(self, event):
-                pass
+        def onQueryTerminated(self, event):
+            pass
 
-        return _Listener()
+    return Progress()
