@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotlake.functions import rows as R
-from slotlake.schema import SLOTS, Registry, delta_name, main_name, other_slot
-from slotlake.session import delete_path, path_exists
+from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
+from slotlake.session import delete_path, materialize, path_exists
 from slotlake.sinks.files import write_rejects
 from slotlake.sources.datasets import load_prebuilt
 from slotlake.sources.delimited import read_delimited, read_lines_split
 
 SLOT_PROPERTY = "slotlake.slot"
 REJECTED = "rejected"
+LOAD_ID = "load_id"
 
 
 class ImportFailedError(RuntimeError):
@@ -84,18 +85,33 @@ class Lake:
         return self.registry.for_derived(name).struct
 
     def create_table(self, name: str, location: str | None = None) -> bool:
-        """Typed table under the schema of its base name; a no-op if it exists."""
+        """Typed table under the schema of its base name; a no-op if it exists.
+
+        Delta tables are partitioned by the load that brought the rows, so that a
+        load can be repeated without leaving its rows twice.
+        """
         schema = self.registry.for_derived(name).struct
         if self.exists(name):
             return False
-        self.spark.catalog.createTable(
-            f"{self.database}.{name}",
-            path=location or self.new_location(name),
-            source="parquet",
-            schema=schema,
-        )
+        location = location or self.new_location(name)
+        if name.endswith("_delta"):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            self.spark.sql(
+                f"CREATE TABLE {self.sql_name(name)} ({columns}, {LOAD_ID} STRING) "
+                f"USING parquet PARTITIONED BY ({LOAD_ID}) LOCATION '{location}'"
+            )
+        else:
+            self.spark.catalog.createTable(
+                f"{self.database}.{name}", path=location, source="parquet", schema=schema
+            )
         return True
 
+    def rows_of(self, name: str) -> DataFrame:
+        """Declared columns of a slot, delta or unified table."""
+        return self.table(name).select(
+            *[F.col(f"`{f.name}`") for f in self.registry.for_derived(name).struct]
+        )
+
     def location_of(self, name: str) -> str:
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.sql_name(name)}")
         return rows.where("col_name = 'Location'").head().data_type
@@ -113,19 +129,33 @@ class Lake:
 
     def load_table(self, df: DataFrame, name: str) -> int:
         """Replace a table's rows by `df`; creates it if absent. Returns the rows."""
-        schema = self.registry.for_derived(name).struct
-        location = self.new_location(name)
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(location)
-        self.drop_table(name)
-        self.create_table(name, location)
+        if name.endswith("_delta"):
+            # `df` may read the table it replaces, so the old one goes last.
+            staged = materialize(self._typed(name, df), "delta")
+            self.drop_table(name)
+            self.create_table(name)
+            self.append_delta(base_name(name), staged)
+        else:
+            location = self.new_location(name)
+            self._typed(name, df).write.parquet(location)
+            self.drop_table(name)
+            self.create_table(name, location)
         return self.table(name).count()
 
-    def append_delta(self, table: str, df: DataFrame) -> None:
-        """Live changes go to the delta table."""
-        schema = self.registry.get(table).struct
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode(
-            "append"
-        ).insertInto(f"{self.database}.{delta_name(table)}")
+    def _typed(self, name: str, df: DataFrame) -> DataFrame:
+        schema = self.registry.for_derived(name).struct
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
+
+    def append_delta(self, table: str, df: DataFrame, load_id: str | None = None) -> None:
+        """Live changes go to the delta table. A load that is repeated under its id
+        replaces what it wrote before."""
+        name = delta_name(table)
+        (
+            self._typed(name, df)
+            .withColumn(LOAD_ID, F.lit(load_id or uuid.uuid4().hex))
+            .write.option("partitionOverwriteMode", "dynamic")
+            .insertInto(f"{self.database}.{name}", overwrite=True)
+        )
 
     def tables(self) -> DataFrame:
         """Name, type and (for unified tables) active slot of everything here."""

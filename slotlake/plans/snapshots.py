@@ -29,7 +29,7 @@ def backup(lake: Lake, name: str, root: str, now: datetime | None = None) -> str
     while path_exists(lake.spark, f"{root}/{filename}"):
         n += 1
         filename = f"{stem}-{n}{SUFFIX}"
-    lake.table(name).write.parquet(f"{root}/{filename}")
+    lake.rows_of(name).write.parquet(f"{root}/{filename}")
     return filename
 
 

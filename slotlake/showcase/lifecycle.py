@@ -340,6 +340,21 @@ def stream_progress(spark, sf_dir):
     )
 
 
+def stream_delta(spark, sf_dir):
+    """Orders: all but status O imported, status O streamed into the delta table with
+    a bad date in a tenth of them; the view shows both."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    lake.import_table("orders", _orders_file(spark, sf_dir, "status <> 'O'"))
+    dirty = F.when(F.col("id") % 10 == 0, F.concat(order_line(), F.lit("T"))).otherwise(order_line())
+    source = _orders_file(spark, sf_dir, "status = 'O'", dirty)
+    target, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    run = ST.stream_into_delta(lake, "orders", source, target, checkpoint, max_files_per_batch=4)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+    return lake.table("orders")
+
+
 _EVENTS_SQL = """SELECT event_id AS id, user_id AS "user", event_type AS kind, value, props FROM events"""
 _SUMMARY_SQL = SUMMARY.replace("WHERE", "WHERE {where} AND")
 
@@ -426,6 +441,10 @@ QUERIES = {
         FROM events WHERE event_type = 'error'""",
     ),
     "stream_resume": (stream_resume, _EVENTS_SQL),
+    "stream_delta": (
+        stream_delta,
+        f"WITH o AS ({ORDERS_SQL}) SELECT * FROM o WHERE status <> 'O' OR id % 10 <> 0",
+    ),
     "stream_progress": (
         stream_progress,
         """SELECT count(*) FILTER (WHERE event_type <> 'error') AS processed,

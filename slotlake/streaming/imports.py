@@ -14,22 +14,21 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from slotlake.functions import rows as R
 from slotlake.operators import numbering as N
-from slotlake.schema import Column, struct_type
+from slotlake.plans.lake import Lake
+from slotlake.schema import Column, delta_name, struct_type
 from slotlake.session import path_exists
+from slotlake.sinks.files import write_rejects
 from slotlake.sources.delimited import cells_of_lines, layout_summary, line_layout
 
 REJECTED = "rejected"
 PROGRESS_DDL = "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint"
 
 
-def _write_batch(
-    batch: DataFrame,
-    batch_id: int,
-    columns: list[Column],
-    target: str,
-    sep: str,
-    auto_id: bool,
-) -> None:
+def _converted_batch(
+    batch: DataFrame, batch_id: int, columns: list[Column], target: str, sep: str, auto_id: bool
+) -> DataFrame:
+    """Typed rows of one micro-batch; line numbers (and made ids) go on after the
+    batches before it."""
     spark = batch.sparkSession
     scan = (
         batch.where(F.col("value") != "")
@@ -41,7 +40,7 @@ def _write_batch(
     head = layout_summary(layout)
     scan, layout = cells_of_lines(spark, scan, layout, sep, width, head.open > 0)
     numbered = N.number_records(scan, layout, head.blocks)
-    # Records of earlier batches; this batch's own entry does not count on a replay.
+    # This batch's own entry does not count when it is replayed.
     before = (
         progress(spark, target)
         .where(F.col("batch_id") < batch_id)
@@ -51,7 +50,19 @@ def _write_batch(
     line = F.col("record_no") + F.lit(before)
     if auto_id:
         numbered = numbered.withColumn("cells", F.concat(F.array(line.cast("string")), "cells"))
-    converted = R.convert_rows(numbered.select(line.alias("line_no"), "cells"), columns)
+    return R.convert_rows(numbered.select(line.alias("line_no"), "cells"), columns)
+
+
+def _write_batch(
+    batch: DataFrame,
+    batch_id: int,
+    columns: list[Column],
+    target: str,
+    sep: str,
+    auto_id: bool,
+) -> None:
+    spark = batch.sparkSession
+    converted = _converted_batch(batch, batch_id, columns, target, sep, auto_id)
     out = f"{target}/data/batch_id={batch_id}"
     (
         converted.withColumn(REJECTED, F.col(R.REJECT).isNotNull())
@@ -66,7 +77,7 @@ def _write_batch(
         done.agg(
             F.count_if(~F.col(REJECTED)).alias("processed"),
             F.count_if(F.col(REJECTED)).alias("failed"),
-            F.coalesce(F.max("line_no"), F.lit(before)).alias("last_line"),
+            F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
             F.count("*").alias("records"),
         )
         .coalesce(1)
@@ -102,6 +113,54 @@ def stream_import(
     the file order. A restart on the same checkpoint goes on after the last finished
     batch. With `auto_id` ids run on over all batches.
     """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, batch_id, columns, target, sep, auto_id)
+
+    return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
+
+
+def stream_into_delta(
+    lake: Lake,
+    table: str,
+    source: str,
+    target: str,
+    checkpoint: str,
+    sep: str = ",",
+    auto_id: bool = False,
+    max_files_per_batch: int | None = None,
+    available_now: bool = True,
+    feed: str = "stream",
+) -> StreamingQuery:
+    """Live feed of a table: good rows go to its delta table, where the unified view
+    shows them at once, and rejects to the lake's reject table.
+
+    `target` keeps the converted batches and the progress. Both tables take a batch
+    under its own id, so a replay replaces it. Feeds of one table need different
+    `feed` names.
+    """
+    spark = lake.spark
+    columns = lake.registry.get(table).columns
+    lake.create_table(delta_name(table))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, batch_id, columns, target, sep, auto_id)
+        load = f"{feed}-{batch_id}"
+        written = _batches(spark, target, columns).where(F.col("batch_id") == batch_id)
+        lake.append_delta(table, written.where(~F.col(REJECTED)), load)
+        rejects = written.where(F.col(REJECTED)).select(f"{R.REJECT}.*")
+        write_rejects(rejects, lake.rejects_path, f"{table}-{load}")
+
+    return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
+
+
+def _start(
+    spark: SparkSession,
+    source: str,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    max_files_per_batch: int | None,
+    available_now: bool,
+) -> StreamingQuery:
     reader = spark.readStream.option("lineSep", "\n")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
@@ -113,10 +172,6 @@ def stream_import(
         F.col("_metadata.file_path").alias(N.FILE),
         F.col("_metadata.file_block_start").alias(N.BLOCK),
     )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, columns, target, sep, auto_id)
-
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import uuid
 
 import pytest
@@ -12,6 +13,7 @@ from slotlake.functions import rows as R
 from slotlake.operators import grid as G
 from slotlake.operators import numbering as N
 from slotlake.plans import query as Q
+from slotlake.plans.lake import Lake
 from slotlake.sinks import files as K
 from slotlake.sources import datasets as DS
 from slotlake.sources import delimited as D
@@ -228,6 +230,43 @@ def test_replayed_batch_leaves_no_duplicates(spark, tmp_path):
     assert ST.progress(spark, out).head().records == 2
 
 
+def test_stream_into_delta_is_replay_safe(spark, tmp_path):
+    reg = SC.Registry().add(SC.TableSchema("t", COLS))
+    lake = Lake(spark, str(tmp_path / "lake"), reg, "s" + uuid.uuid4().hex[:8])
+    lake.ensure_tables()
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "1.csv").write_text("1,a,1\n2,b,x\n")
+    for i in range(2):  # a lost checkpoint replays the batch under the same id
+        q = ST.stream_into_delta(
+            lake, "t", str(src), str(tmp_path / "out"), str(tmp_path / f"cp{i}")
+        )
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert [(r.id, r["name"], r.n) for r in lake.table("t").collect()] == [(1, "a", 1)]
+    assert [(r.line, r.column, r.job_id) for r in lake.rejects().collect()] == [
+        (2, "n", "t-stream-0")
+    ]
+
+
+def test_progress_listener(spark, tmp_path):
+    seen = []
+    listener = ST.progress_listener(lambda name, batch, rows: seen.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        src = tmp_path / "src"
+        src.mkdir()
+        (src / "1.csv").write_text("1,a,1\n2,b,2\n")
+        run(spark, src, tmp_path)
+        for _ in range(100):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and seen[0][0] == 0
+
+
 def test_prebuilt_marker(spark, tmp_path):
     with pytest.raises(DS.MissingDatasetError):
         DS.load_prebuilt(spark, str(tmp_path))
