@@ -35,7 +35,7 @@ def locals_of_ddl(ddl: SparkColumn) -> SparkColumn:
 
 def name_set(text: SparkColumn) -> SparkColumn:
     """Comma list to distinct, trimmed, non-empty names."""
-    names = F.transform(F.split(text, ","), trim_cell)
+    names = F.transform(F.split(text, ","), lambda p: trim_cell(p))
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 

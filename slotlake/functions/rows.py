@@ -39,11 +39,15 @@ def convert_rows(
 
     # Trimmed cells (the id cell is taken as it is), then typed values; each step is
     # a projection of its own, so no cell is cut or trimmed twice.
-    trimmed = df.select(
+    odd = F.array_join("cells", "").rlike(C.ODD_SPACE_RE)
+    trimmed = df.select("line_no", "cells", odd.alias("_odd")).select(
         "line_no",
         "cells",
         F.get("cells", F.lit(0)).alias("_t0"),
-        *[C.trim_cell(F.get("cells", F.lit(i))).alias(f"_t{i}") for i in range(1, width + 1)],
+        *[
+            C.trim_cell(F.get("cells", F.lit(i)), F.col("_odd")).alias(f"_t{i}")
+            for i in range(1, width + 1)
+        ],
     )
     typed = trimmed.select(
         "line_no",

@@ -178,3 +178,23 @@ def test_good_plus_rejects_is_input(spark, tmp_path):
     ]
     texts = [r.message for r in rows_mod.reject_text(rows_mod.reject_rows(conv)).orderBy("line").collect()]
     assert texts[0] == 'line 2: column "n": invalid unsigned integer (value: "-5")'
+
+
+def test_numbers_with_many_blocks(spark, tmp_path, monkeypatch):
+    """The two-level running total gives the same numbers as the flat one."""
+    monkeypatch.setattr(N, "FLAT_LIMIT", 0)
+    monkeypatch.setattr("slotlake.session.BROADCAST_LIMIT_BYTES", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        path = str(tmp_path / "many")
+        spark.range(0, 3000, 1, 5).selectExpr("concat('r', id, ',', id)").write.option(
+            "header", True
+        ).csv(path, sep="\x01", quote="\x00")
+        rows = D.read_delimited(spark, path, 2).select(
+            "line_no", F.col("cells")[0].cast("bigint").alias("id"),
+            F.col("cells")[2].cast("bigint").alias("v"),
+        )
+        assert rows.count() == 3000
+        assert rows.where("id <> v + 1 or line_no <> v + 2 + floor(v / 600)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
