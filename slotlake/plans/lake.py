@@ -16,7 +16,13 @@ from pyspark.sql import types as T
 
 from slotlake.functions import rows as R
 from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
-from slotlake.session import delete_path, materialize, path_exists
+from slotlake.session import (
+    delete_path,
+    marked_before,
+    materialize,
+    path_exists,
+    touch,
+)
 from slotlake.sinks.files import write_rejects
 from slotlake.sources.datasets import load_prebuilt
 from slotlake.sources.delimited import read_delimited, read_lines_split
@@ -24,6 +30,7 @@ from slotlake.sources.delimited import read_delimited, read_lines_split
 SLOT_PROPERTY = "slotlake.slot"
 REJECTED = "rejected"
 LOAD_ID = "load_id"
+DROPPED = "_DROPPED"
 
 
 class ImportFailedError(RuntimeError):
@@ -47,11 +54,13 @@ class Lake:
         root: str,
         registry: Registry,
         database: str = "default",
+        grace_seconds: int = 3600,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.registry = registry
         self.database = database
+        self.grace_seconds = grace_seconds
         if database != "default":
             spark.sql(
                 f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{self.root}/_database'"
@@ -117,28 +126,41 @@ class Lake:
         return rows.where("col_name = 'Location'").head().data_type
 
     def drop_table(self, name: str, keep_files: bool = False) -> bool:
-        """Drop a slot or delta table if it exists. `keep_files` leaves the data for
-        readers that still run; the caller deletes it later."""
+        """Drop a slot or delta table if it exists. `keep_files` leaves the data to
+        queries that still read it; `vacuum` deletes it after the grace period."""
         if not self.exists(name):
             return False
         location = self.location_of(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.sql_name(name)}")
         if not keep_files:
             delete_path(self.spark, location)
+        elif path_exists(self.spark, location):
+            touch(self.spark, f"{location}/{DROPPED}")
         return True
 
+    def vacuum(self, grace_seconds: int | None = None) -> int:
+        """Delete the files of tables dropped longer ago than the grace period."""
+        grace = self.grace_seconds if grace_seconds is None else grace_seconds
+        gone = []
+        for depth in ("*/*", "*/*/*"):
+            pattern = f"{self.root}/{self.database}/{depth}/{DROPPED}"
+            gone += marked_before(self.spark, pattern, grace)
+        for location in gone:
+            delete_path(self.spark, location)
+        return len(gone)
+
     def load_table(self, df: DataFrame, name: str) -> int:
         """Replace a table's rows by `df`; creates it if absent. Returns the rows."""
         if name.endswith("_delta"):
             # `df` may read the table it replaces, so the old one goes last.
             staged = materialize(self._typed(name, df), "delta")
-            self.drop_table(name)
+            self.drop_table(name, keep_files=True)
             self.create_table(name)
             self.append_delta(base_name(name), staged)
         else:
             location = self.new_location(name)
             self._typed(name, df).write.parquet(location)
-            self.drop_table(name)
+            self.drop_table(name, keep_files=True)
             self.create_table(name, location)
         return self.table(name).count()
 
@@ -195,7 +217,7 @@ class Lake:
             f"UNION ALL SELECT {names} FROM {self.sql_name(delta_name(table))}"
         )
 
-    def rotate(self, table: str, new: str, old: str, keep_files: bool = False) -> None:
+    def rotate(self, table: str, new: str, old: str) -> None:
         """Make `new` live and drop `old`; both must be slots, and differ."""
         if new not in SLOTS or old not in SLOTS:
             raise ValueError("new and old slot must be 'a' or 'b'")
@@ -204,7 +226,8 @@ class Lake:
         if not self.exists(main_name(table, new)):
             raise ValueError(f"{main_name(table, new)} does not exist")
         self.swap(table, new)
-        self.drop_table(main_name(table, old), keep_files)
+        self.drop_table(main_name(table, old), keep_files=True)
+        self.vacuum()
 
     def ensure_tables(self, slots: dict[str, str] | None = None) -> None:
         """Main and delta tables and the view for every registered table; the other
@@ -214,7 +237,7 @@ class Lake:
             self.create_table(delta_name(name))
             self.create_table(main_name(name, slot))
             self.swap(name, slot)
-            self.drop_table(main_name(name, other_slot(slot)))
+            self.drop_table(main_name(name, other_slot(slot)), keep_files=True)
 
     # --- import --------------------------------------------------------------
 
@@ -298,7 +321,6 @@ class Lake:
         header: bool | None = None,
         start_line: int = 0,
         max_failed: int | None = None,
-        keep_files: bool = False,
     ) -> ImportReport:
         """Load a file into the idle slot, then swap it in and drop the old slot.
 
@@ -321,7 +343,8 @@ class Lake:
         except Exception:
             self.drop_table(main_name(table, new))
             raise
-        self.drop_table(main_name(table, other_slot(new)), keep_files)
+        self.drop_table(main_name(table, other_slot(new)), keep_files=True)
+        self.vacuum()
         return report
 
     def import_prebuilt(self, table: str, path: str) -> str:
@@ -332,5 +355,6 @@ class Lake:
         self.create_table(delta_name(table))
         self.load_table(df, main_name(table, new))
         self.swap(table, new)
-        self.drop_table(main_name(table, other_slot(new)))
+        self.drop_table(main_name(table, other_slot(new)), keep_files=True)
+        self.vacuum()
         return new

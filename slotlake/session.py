@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file."""
+    fs, jpath = hadoop_path(spark, path)
+    fs.create(jpath, True).close()
+
+
+def marked_before(spark: SparkSession, pattern: str, seconds: int) -> list[str]:
+    """Directories with a marker (glob `pattern`) at least that many seconds old."""
+    fs, jpath = hadoop_path(spark, pattern)
+    limit = int(time.time() * 1000) - seconds * 1000
+    return [
+        hit.getPath().getParent().toString()
+        for hit in (fs.globStatus(jpath) or [])
+        if hit.getModificationTime() <= limit
+    ]
+
+
 def read_small_text(spark: SparkSession | None, path: str) -> str:
     """A configuration file as one string (local path, or any URI with a session)."""
     if spark is None:

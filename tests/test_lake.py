@@ -1,5 +1,6 @@
 """Blue/green tables, imports, snapshots."""
 
+import os
 import uuid
 from datetime import datetime, timezone
 
@@ -55,6 +56,18 @@ def test_import_swaps_and_drops(lake, tmp_path):
     assert lake.import_table("products", first).slot == "a"
 
 
+def test_readers_keep_the_old_slot_until_vacuum(lake, tmp_path):
+    lake.import_table("products", put(tmp_path, "a.csv", "1,Widget,19.99\n"))
+    reader = lake.table("products").select("id", "name", "price")
+    files = reader.inputFiles()
+    lake.import_table("products", put(tmp_path, "b.csv", "2,New,5\n"))
+    assert [tuple(r) for r in reader.collect()] == [(1, "Widget", 19.99)]
+    assert lake.vacuum() == 0
+    assert lake.vacuum(grace_seconds=0) >= 1
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert rows(lake) == [(2, "New", 5.0)]
+
+
 def test_failed_import_keeps_old(lake, tmp_path):
     good = put(tmp_path, "a.csv", "1,Widget,19.99\n")
     lake.import_table("products", good)
