@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlake.llm import licenses, mixing, sharding
+from slotlake.llm import bpe, language_id, licenses, mixing, pii, quality, sharding, topk, warc
+from slotlake.llm.common import table
 
+# The vocabulary of op10; a parameter of the operator.
+TOKENIZER = "word_bpe_49k.json"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +30,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -31,10 +56,20 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_mix_sources": op3_mix_sources,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_personal_data": op5_personal_data,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_license_scan": op7_license_scan,
     "op8_hash_tree_shards": op8_hash_tree_shards,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 # SQL for the queries that it can express.
