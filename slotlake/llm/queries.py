@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlake.llm import bpe, language_id, licenses, mixing, pii, quality, sharding, topk, warc
+from slotlake.llm import bpe, language_id, licenses, mixing, near_dup, pii, quality, sharding, topk, warc
 from slotlake.llm.common import table
 
 # The vocabulary of op10; a parameter of the operator.
@@ -56,6 +56,10 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_license_scan": op7_license_scan,
     "op8_hash_tree_shards": op8_hash_tree_shards,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
