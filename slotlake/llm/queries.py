@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotlake.llm import bpe, language_id, licenses, mixing, near_dup, pii, quality, sharding, topk, warc
 from slotlake.llm.common import table
+from slotlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 # The vocabulary of op10; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +77,3 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-
-# SQL for the queries that it can express.
-ORACLE_SQL: dict[str, str] = {}
