@@ -267,6 +267,9 @@ def reject_reason(logical_type: str, cell: SparkColumn) -> SparkColumn:
 
 # --- text forms --------------------------------------------------------------
 
+# Fixed value: the least double with full precision.
+SMALLEST_NORMAL = 2.2250738585072014e-308
+
 
 def quote_string(c: SparkColumn, escape_backslash: bool = True) -> SparkColumn:
     """SQL string literal; `'` becomes `\\'`.
@@ -279,9 +282,34 @@ def quote_string(c: SparkColumn, escape_backslash: bool = True) -> SparkColumn:
     return F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
-def plain_decimal(v: SparkColumn) -> SparkColumn:
-    """Double as plain decimal text: no exponent, no trailing `.0`."""
+def shortest_text(v: SparkColumn) -> SparkColumn:
+    """The double's text with the fewest digits; its exponent stands behind an E.
+
+    Up to 15 digits identify a normal double, so a text of that length is the
+    shortest. Longer ones of older Java versions may not be: the first of 15 and 16
+    digits that reads back is. Subnormal doubles have less precision, so for them
+    every number of digits is tried.
+    """
     text = v.cast("string")
+
+    def rounded(digits: int) -> SparkColumn:
+        short = F.format_string(f"%.{digits - 1}e", v)
+        short = F.replace(F.replace(short, F.lit("e+"), F.lit("E")), F.lit("e"), F.lit("E"))
+        return F.when(short.try_cast("double") == v, short)
+
+    digits = F.length(F.regexp_replace(text, r"E.*\z|^-?0\.0*|[-.]|\.0\z", ""))
+    subnormal = (F.abs(v) > 0) & (F.abs(v) < SMALLEST_NORMAL)
+    return (
+        F.when(subnormal, F.coalesce(*[rounded(n) for n in range(1, 17)], text))
+        .when(digits > 15, F.coalesce(rounded(15), rounded(16), text))
+        .otherwise(text)
+    )
+
+
+def plain_decimal(v: SparkColumn) -> SparkColumn:
+    """Double as plain decimal text: no exponent, no trailing `.0`, and the fewest
+    digits that read back as the same double."""
+    text = shortest_text(v)
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_extract(text, r"^-?([0-9.]+)", 1)
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"0+\z", "")

@@ -56,8 +56,15 @@ def snapshot_slot(filename: SparkColumn, table: SparkColumn) -> SparkColumn:
 
 
 def snapshot_name(table: SparkColumn, at: SparkColumn) -> SparkColumn:
-    """`<table>-<UTC time>.tar.gz`."""
-    stamp = F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss'Z'")
+    """`<table>-<UTC time>.tar.gz`, whatever the session's time zone."""
+    seconds = F.unix_seconds(at)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    clock = [
+        F.lpad(part.cast("string"), 2, "0")
+        for part in (F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    ]
+    stamp = F.concat(day.cast("string"), F.lit("T"), F.concat_ws("-", *clock), F.lit("Z"))
     return F.concat(table, F.lit("-"), stamp, F.lit(".tar.gz"))
 
 

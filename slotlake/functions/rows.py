@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from slotlake.functions import cells as C
 from slotlake.schema import Column
-from slotlake.session import tune
 
 REJECT = "_reject"
 REJECT_TYPE = "struct<line:bigint,column:string,value:string,reason:string>"
@@ -29,7 +28,6 @@ def convert_rows(
     column per declared column, and `_reject`, NULL on good rows. A reject names
     the first failing column from left to right: row width, then id, then cells.
     """
-    tune(df.sparkSession)
     width = len(columns)
 
     def parser(col: Column):

@@ -17,10 +17,9 @@ from slotlake.session import broadcast_if_small, materialize
 FILE, BLOCK, POS = "_file", "_block", "_pos"
 SCAN_COLUMNS = (FILE, BLOCK, POS)
 
-# Above this many blocks running totals are built in two levels.
-FLAT_LIMIT = 200_000
-# Memory of one broadcast layout row, path included, taken generously.
-LAYOUT_ROW_BYTES = 400
+# Memory of one broadcast layout row, all integers, taken generously: 3.7 million
+# blocks (500 TB in blocks of 128 MiB) stay below the broadcast limit.
+LAYOUT_ROW_BYTES = 72
 
 
 def with_positions(scan: DataFrame) -> DataFrame:
@@ -45,63 +44,29 @@ def block_layout(scan: DataFrame, *extra) -> DataFrame:
     return materialize(layout, "layout")
 
 
-def running_total(
-    df: DataFrame, order: list[str], values: dict[str, str], rows: int
-) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
     """Add exclusive running totals (`values`: source column -> output column).
 
-    Small frames use one ordered window. Larger ones are range partitioned, summed
-    per range, and only the range totals (one row per range) are summed in order.
+    One ordered window: the frame holds a row per file or block, never records.
     """
-    if rows <= FLAT_LIMIT:
-        before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[
-                F.coalesce(F.sum(src).over(before), F.lit(0)).alias(out)
-                for src, out in values.items()
-            ],
-        )
-    ranged = materialize(
-        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
-        "ranges",
-    )
-    totals = ranged.groupBy("_range").agg(
-        *[F.sum(src).alias(f"_t_{out}") for src, out in values.items()]
-    )
-    ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
-        "_range",
+    before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return df.select(
+        "*",
         *[
-            F.coalesce(F.sum(f"_t_{out}").over(ahead), F.lit(0)).alias(f"_s_{out}")
-            for out in values.values()
+            F.coalesce(F.sum(src).over(before), F.lit(0)).alias(out)
+            for src, out in values.items()
         ],
     )
-    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(
-        W.unboundedPreceding, -1
-    )
-    return (
-        ranged.join(starts, "_range")
-        .select(
-            *df.columns,
-            *[
-                (
-                    F.col(f"_s_{out}") + F.coalesce(F.sum(src).over(inside), F.lit(0))
-                ).alias(out)
-                for src, out in values.items()
-            ],
-        )
-    )
 
 
-def block_offsets(layout: DataFrame, rows: int) -> DataFrame:
+def block_offsets(layout: DataFrame) -> DataFrame:
     """Layout plus `before` (records in earlier blocks), `file_before` (records in
     earlier files) and `file_no` (1-based)."""
     files = layout.groupBy(FILE).agg(F.sum("n").alias("file_n"), F.lit(1).alias("one"))
     files = running_total(
-        files, [FILE], {"file_n": "file_before", "one": "files_before"}, rows
+        files, [FILE], {"file_n": "file_before", "one": "files_before"}
     ).select(FILE, "file_before", (F.col("files_before") + 1).alias("file_no"))
-    blocks = running_total(layout, [FILE, BLOCK], {"n": "before"}, rows)
+    blocks = running_total(layout, [FILE, BLOCK], {"n": "before"})
     return blocks.join(files, FILE)
 
 
@@ -116,15 +81,16 @@ def number_records(
     `blocks` is the number of layout rows, counted here if it is not known.
     """
     rows = layout.count() if blocks is None else blocks
-    offsets = block_offsets(layout, rows).select(
-        FILE, BLOCK, "first_pos", "last_pos", "before", "file_before", "file_no"
-    )
-    joined = scan.join(
-        broadcast_if_small(offsets, rows, LAYOUT_ROW_BYTES), [FILE, BLOCK], "left"
+    # Blocks go by a hash, so that the layout is small; should two share one, the
+    # positions tell which is meant.
+    key = F.xxhash64(FILE, BLOCK)
+    offsets = block_offsets(layout).select(
+        key.alias("_key"), "first_pos", "last_pos", "before", "file_before", "file_no"
     )
+    own_block = (key == F.col("_key")) & F.col(POS).between(F.col("first_pos"), F.col("last_pos"))
+    joined = scan.join(broadcast_if_small(offsets, rows, LAYOUT_ROW_BYTES), own_block, "left")
     in_block = F.col(POS) - F.col("first_pos")
-    same_layout = F.col(POS).between(F.col("first_pos"), F.col("last_pos"))
-    record_no = F.when(same_layout, F.col("before") + in_block + 1).otherwise(
+    record_no = F.when(F.col("before").isNotNull(), F.col("before") + in_block + 1).otherwise(
         F.raise_error(F.lit("input was split differently in the two passes; run again"))
         .cast("bigint")
     )

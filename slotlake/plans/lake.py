@@ -7,8 +7,11 @@ never a mix, and running queries keep the files they planned with.
 
 from __future__ import annotations
 
+import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,12 @@ from pyspark.sql import types as T
 from slotlake.functions import rows as R
 from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
 from slotlake.session import (
+    create_new,
     delete_path,
     marked_before,
-    materialize,
     path_exists,
+    read_small_text,
+    replace_text,
     touch,
 )
 from slotlake.sinks.files import write_rejects
@@ -33,6 +38,10 @@ LOAD_ID = "load_id"
 DROPPED = "_DROPPED"
 
 
+class DuplicateImportError(RuntimeError):
+    """An import of this table is already running."""
+
+
 class ImportFailedError(RuntimeError):
     """The import stopped before its swap; the old data is still live."""
 
@@ -152,11 +161,7 @@ class Lake:
     def load_table(self, df: DataFrame, name: str) -> int:
         """Replace a table's rows by `df`; creates it if absent. Returns the rows."""
         if name.endswith("_delta"):
-            # `df` may read the table it replaces, so the old one goes last.
-            staged = materialize(self._typed(name, df), "delta")
-            self.drop_table(name, keep_files=True)
-            self.create_table(name)
-            self.append_delta(base_name(name), staged)
+            self._replace_delta(df, name)
         else:
             location = self.new_location(name)
             self._typed(name, df).write.parquet(location)
@@ -164,6 +169,33 @@ class Lake:
             self.create_table(name, location)
         return self.table(name).count()
 
+    def _replace_delta(self, df: DataFrame, name: str) -> None:
+        """Write the new rows first, then exchange the tables under the view.
+
+        While the delta table is built anew the view reads a table over the same new
+        files, so it shows the old rows or the new ones at any time. An error while
+        writing leaves everything as it was.
+        """
+        table, load = base_name(name), uuid.uuid4().hex
+        location = self.new_location(name)
+        part = f"{location}/{LOAD_ID}={load}"
+        self._typed(name, df).write.parquet(part)
+        slot = self.active_slot(table)
+        interim = f"{table}_next"
+        if slot:
+            self.drop_table(interim, keep_files=True)
+            self.spark.catalog.createTable(
+                f"{self.database}.{interim}", path=part, source="parquet",
+                schema=self.registry.get(table).struct,
+            )
+            self._point_view(table, slot, interim)
+        self.drop_table(name, keep_files=True)
+        self.create_table(name, location)
+        self._add_load(name, load, part)
+        if slot:
+            self._point_view(table, slot, name)
+            self.spark.sql(f"DROP TABLE {self.sql_name(interim)}")  # its files stay
+
     def _typed(self, name: str, df: DataFrame) -> DataFrame:
         schema = self.registry.for_derived(name).struct
         return df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
@@ -171,13 +203,28 @@ class Lake:
     def append_delta(self, table: str, df: DataFrame, load_id: str | None = None) -> None:
         """Live changes go to the delta table. A load that is repeated under its id
         replaces what it wrote before."""
-        name = delta_name(table)
-        (
-            self._typed(name, df)
-            .withColumn(LOAD_ID, F.lit(load_id or uuid.uuid4().hex))
-            .write.option("partitionOverwriteMode", "dynamic")
-            .insertInto(f"{self.database}.{name}", overwrite=True)
+        name, load = delta_name(table), load_id or uuid.uuid4().hex
+        part = f"{self.location_of(name)}/{LOAD_ID}={quote(load, safe='')}"
+        self._typed(name, df).write.mode("overwrite").parquet(part)
+        self._add_load(name, load, part)
+
+    def _add_load(self, name: str, load: str, part: str) -> None:
+        literal = load.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(
+            f"ALTER TABLE {self.sql_name(name)} ADD IF NOT EXISTS "
+            f"PARTITION ({LOAD_ID} = '{literal}') LOCATION '{part}'"
         )
+        self.spark.catalog.refreshTable(f"{self.database}.{name}")
+
+    def compact_delta(self, table: str) -> int:
+        """Rewrite the delta table's loads as one; returns how many there were. A load
+        that is repeated afterwards under its id adds its rows again, so compact only
+        what will not be repeated."""
+        name = delta_name(table)
+        loads = self.spark.sql(f"SHOW PARTITIONS {self.sql_name(name)}").count()
+        if loads > 1:
+            self._replace_delta(self.rows_of(name), name)
+        return loads
 
     def tables(self) -> DataFrame:
         """Name, type and (for unified tables) active slot of everything here."""
@@ -209,12 +256,15 @@ class Lake:
         """Point the unified view at a main slot (and the delta), in one step."""
         if slot not in SLOTS:
             raise ValueError(f"slot must be one of {SLOTS}, got {slot!r}")
+        self._point_view(table, slot, delta_name(table))
+
+    def _point_view(self, table: str, slot: str, delta: str) -> None:
         names = ", ".join(f"`{f.name}`" for f in self.registry.get(table).struct)
         self.spark.sql(
             f"CREATE OR REPLACE VIEW {self.sql_name(table)} "
             f"TBLPROPERTIES ('{SLOT_PROPERTY}' = '{slot}') AS "
             f"SELECT {names} FROM {self.sql_name(main_name(table, slot))} "
-            f"UNION ALL SELECT {names} FROM {self.sql_name(delta_name(table))}"
+            f"UNION ALL SELECT {names} FROM {self.sql_name(delta)}"
         )
 
     def rotate(self, table: str, new: str, old: str) -> None:
@@ -260,51 +310,22 @@ class Lake:
             raise ValueError(f"unknown import method {method!r}")
         return R.convert_rows(raw, schema.columns, lenient_bool=method == "indexer")
 
-    def load_slot(
-        self, table: str, slot: str, converted: DataFrame, job_id: str
-    ) -> ImportReport:
-        """Write converted rows to a slot table and its rejects to the reject table.
-
-        One pass writes both: the files are split by a two-valued partition column,
-        and the slot table is the directory of the good half.
-        """
-        name = main_name(table, slot)
-        location = self.new_location(name)
-        bad = F.col(R.REJECT).isNotNull()
-        seen = Observation("import")
-        try:
-            (
-                converted.withColumn(REJECTED, bad)
-                .observe(
-                    seen,
-                    F.count_if(~F.col(REJECTED)).alias("processed"),
-                    F.count_if(F.col(REJECTED)).alias("failed"),
-                    F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
-                )
-                .write.partitionBy(REJECTED)
-                .parquet(location)
+    def load_part(self, converted: DataFrame, location: str) -> dict:
+        """Write converted rows, good and rejected ones apart, in one pass; returns
+        the counters of what was written."""
+        seen = Observation(f"import-{uuid.uuid4().hex}")
+        (
+            converted.withColumn(REJECTED, F.col(R.REJECT).isNotNull())
+            .observe(
+                seen,
+                F.count_if(~F.col(REJECTED)).alias("processed"),
+                F.count_if(F.col(REJECTED)).alias("failed"),
+                F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
             )
-            counts = seen.get
-            self.drop_table(name)
-            self.create_table(name, f"{location}/{REJECTED}=false")
-            committed = self.table(name).count()
-            if committed != counts["processed"]:
-                raise ImportFailedError(
-                    f"{name}: {committed} rows committed, {counts['processed']} converted"
-                )
-            if counts["failed"]:
-                rejects = self.spark.read.schema(
-                    f"{R.REJECT} {R.REJECT_TYPE}"
-                ).parquet(f"{location}/{REJECTED}=true")
-                write_rejects(rejects.select(f"{R.REJECT}.*"), self.rejects_path, job_id)
-                delete_path(self.spark, f"{location}/{REJECTED}=true")
-        except Exception:
-            self.drop_table(name, keep_files=True)
-            delete_path(self.spark, location)
-            raise
-        return ImportReport(
-            job_id, table, slot, counts["processed"], counts["failed"], counts["last_line"]
+            .write.partitionBy(REJECTED)
+            .parquet(location)
         )
+        return seen.get
 
     def rejects(self, job_id: str | None = None) -> DataFrame:
         schema = f"{R.REJECT_DDL}, job_id string"
@@ -319,33 +340,149 @@ class Lake:
         path: str,
         method: str | None = None,
         header: bool | None = None,
-        start_line: int = 0,
         max_failed: int | None = None,
+        part_lines: int | None = None,
+        resume: bool = False,
     ) -> ImportReport:
         """Load a file into the idle slot, then swap it in and drop the old slot.
 
-        Until the swap nothing of the live table changes; if anything fails before
-        it, the half-built slot is removed. `start_line` resumes after that line,
-        `max_failed` turns too many rejects into a failure.
+        Until the swap nothing of the live table changes. Only one import of a table
+        runs at a time; another is refused. `max_failed` turns too many rejects into
+        a failure.
+
+        The slot is built of parts of `part_lines` lines each (one part, if not
+        given; each part reads the source again). After a part is written, the job's
+        record says so. A failure leaves the finished parts, and `resume` goes on
+        behind them, in the same slot: the table it swaps in holds all parts. It is
+        refused if there is no such job for this table and path. Without `resume` an
+        import starts anew and what an earlier job left is deleted.
         """
-        job_id = uuid.uuid4().hex
-        old = self.active_slot(table)
-        new = other_slot(old)
+        with self._only_import(table):
+            job = self._job(table)
+            if resume:
+                if not job or job["status"] != "failed" or job["path"] != path:
+                    raise ImportFailedError(f"{table}: no failed import of {path} to resume")
+            else:
+                if job and job["status"] != "completed":
+                    delete_path(self.spark, job["location"])
+                slot = other_slot(self.active_slot(table))
+                job = {
+                    "job_id": uuid.uuid4().hex, "table": table, "path": path, "slot": slot,
+                    "location": self.new_location(main_name(table, slot)),
+                    "parts": [], "processed": 0, "failed": 0, "last_line": 0, "upto": 0,
+                }
+            try:
+                self._save_job(job | {"status": "running", "error": ""})
+                self._build_slot(job, method, header, max_failed, part_lines)
+                self._finish_slot(job)
+            except Exception as exc:
+                if not job["parts"]:
+                    delete_path(self.spark, job["location"])
+                self._save_job(job | {"status": "failed", "error": str(exc).split("\n")[0]})
+                raise
+            self._save_job(job | {"status": "completed", "error": ""})
+        self.drop_table(main_name(table, other_slot(job["slot"])), keep_files=True)
+        self.vacuum()
+        return ImportReport(
+            job["job_id"], table, job["slot"], job["processed"], job["failed"], job["last_line"]
+        )
+
+    def _build_slot(
+        self, job: dict, method: str | None, header: bool | None, max_failed: int | None,
+        part_lines: int | None,
+    ) -> None:
+        """Write the parts behind those that the job has; counts each as it is done."""
+        converted = self.read_source(job["table"], job["path"], method, header)
+        while True:
+            start = job["upto"]
+            rest = R.after_line(converted, start) if start else converted
+            if part_lines:
+                rest = rest.where(F.col("line_no") <= start + part_lines)
+            part = f"{job['location']}/part-{len(job['parts']):05}"
+            delete_path(self.spark, part)  # of a run that stopped midway
+            counts = self.load_part(rest, part)
+            failed = job["failed"] + counts["failed"]
+            if max_failed is not None and failed > max_failed:
+                delete_path(self.spark, part)
+                raise ImportFailedError(f"{job['table']}: {failed} rows rejected")
+            job["parts"].append(part)
+            job["processed"] += counts["processed"]
+            job["failed"] = failed
+            job["last_line"] = max(job["last_line"], counts["last_line"])
+            job["upto"] = start + part_lines if part_lines else job["last_line"]
+            self._save_job(job | {"status": "running", "error": ""})
+            full = part_lines and counts["processed"] + counts["failed"] == part_lines
+            if not part_lines or not (full or R.after_line(converted, job["upto"]).head(1)):
+                return
+
+    def _finish_slot(self, job: dict) -> None:
+        """Make the parts a table, check its rows, store the rejects, and swap."""
+        table, name = job["table"], main_name(job["table"], job["slot"])
         self.create_table(delta_name(table))
-        converted = self.read_source(table, path, method, header)
-        if start_line:
-            converted = R.after_line(converted, start_line)
-        report = self.load_slot(table, new, converted, job_id)
+        if job["failed"]:
+            bad = [f"{part}/{REJECTED}=true" for part in job["parts"]]
+            bad = [part for part in bad if path_exists(self.spark, part)]
+            rejects = self.spark.read.schema(f"{R.REJECT} {R.REJECT_TYPE}").parquet(*bad)
+            if not self.rejects(job["job_id"]).head(1):
+                write_rejects(rejects.select(f"{R.REJECT}.*"), self.rejects_path, job["job_id"])
+            for part in bad:
+                delete_path(self.spark, part)
+        self.drop_table(name, keep_files=True)
+        self.spark.catalog.createTable(
+            f"{self.database}.{name}", path=job["location"], source="parquet",
+            schema=self.registry.get(table).struct, recursiveFileLookup="true",
+        )
+        committed = self.table(name).count()
+        if committed != job["processed"]:
+            self.spark.sql(f"DROP TABLE {self.sql_name(name)}")
+            raise ImportFailedError(
+                f"{name}: {committed} rows committed, {job['processed']} converted"
+            )
+        self.swap(table, job["slot"])
+
+    # --- the record of a table's import ----------------------------------------
+
+    def _record_path(self, table: str) -> str:
+        return f"{self.root}/_imports/{self.database}/{table}"
+
+    def _job(self, table: str) -> dict | None:
+        path = f"{self._record_path(table)}/job.json"
+        if not path_exists(self.spark, path):
+            return None
+        return json.loads(read_small_text(self.spark, path))
+
+    def _save_job(self, job: dict) -> None:
+        replace_text(self.spark, f"{self._record_path(job['table'])}/job.json", json.dumps(job))
+
+    @contextmanager
+    def _only_import(self, table: str):
+        """Hold the table's import lock, a file that only one caller can create."""
+        lock = f"{self._record_path(table)}/_LOCK"
+        if not create_new(self.spark, lock):
+            raise DuplicateImportError(f"{table}: an import is running; see unlock_import()")
         try:
-            if max_failed is not None and report.failed > max_failed:
-                raise ImportFailedError(f"{table}: {report.failed} rows rejected")
-            self.swap(table, new)
-        except Exception:
-            self.drop_table(main_name(table, new))
-            raise
-        self.drop_table(main_name(table, other_slot(new)), keep_files=True)
-        self.vacuum()
-        return report
+            yield
+        finally:
+            delete_path(self.spark, lock)
+
+    def unlock_import(self, table: str) -> None:
+        """Release the lock that a lost driver left; its job counts as failed and can
+        be resumed."""
+        job = self._job(table)
+        if job and job["status"] == "running":
+            self._save_job(job | {"status": "failed", "error": "the import was interrupted"})
+        delete_path(self.spark, f"{self._record_path(table)}/_LOCK")
+
+    def import_jobs(self) -> DataFrame:
+        """The record of the last import of each table."""
+        path = f"{self.root}/_imports/{self.database}"
+        schema = (
+            "job_id string, table string, path string, slot string, status string, error string, "
+            "processed bigint, failed bigint, last_line bigint"
+        )
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).json(f"{path}/*/job.json")
 
     def import_prebuilt(self, table: str, path: str) -> str:
         """Load a published dataset into the idle slot and swap it in."""

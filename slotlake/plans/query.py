@@ -7,12 +7,16 @@ another environment). The statement itself goes to Spark untouched.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from slotlake.operators.fleet import broadcast_outcome
+from slotlake.session import scratch_path
+
 
 class QueryError(ValueError):
     """The request cannot be run."""
@@ -44,7 +48,7 @@ class QueryResult:
 def query(spark: SparkSession, sql: str) -> QueryResult:
     """Run one statement; columns with names and types come with the result."""
     if not sql.strip():
-        raise QueryError("query is required")
+        raise QueryError("there is no statement to run")
     df = spark.sql(sql)
     return QueryResult(
         df=df, columns=[{"name": n, "type": t} for n, t in df.dtypes]
@@ -52,36 +56,52 @@ def query(spark: SparkSession, sql: str) -> QueryResult:
 
 
 def _on(spark: SparkSession, sql: str, databases: list[str], i: int) -> QueryResult:
-    before = spark.catalog.currentDatabase()
+    """Run the statement on a copy, once and to its end: rows go to the shared scratch
+    folder, and status, row count and time are those of this run. Each run has a
+    session of its own, so the caller's current database stays as it is."""
+    if not sql.strip():
+        raise QueryError("there is no statement to run")
+    start = time.monotonic()
     try:
-        spark.catalog.setCurrentDatabase(databases[i])
-        result = query(spark, sql)
-    except QueryError:
-        raise
+        own = spark.newSession()
+        own.catalog.setCurrentDatabase(databases[i])
+        df = own.sql(sql)
+        rows, seen = df, Observation(f"copy-{uuid.uuid4().hex}")
+        if df.columns:
+            # Names may repeat in a result, but not in a file.
+            plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+            void = [n for n, t in plain.dtypes if t == "void"]
+            plain = plain.withColumns({n: F.col(n).cast("string") for n in void})
+            path = scratch_path(spark, f"copy-{i}")
+            plain.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+            rows = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+        count = seen.get["rows"] if df.columns else 0
     except Exception as exc:
-        return QueryResult(None, i, "error", str(exc).split("\n")[0])
-    finally:
-        spark.catalog.setCurrentDatabase(before)
-    result.source_index = i
-    return result
+        return QueryResult(
+            None, i, "error", str(exc).split("\n")[0], elapsed_ms=_since(start)
+        )
+    columns = [{"name": n, "type": t} for n, t in df.dtypes]
+    return QueryResult(rows, i, columns=columns, row_count=count, elapsed_ms=_since(start))
+
+
+def _since(start: float) -> int:
+    return int((time.monotonic() - start) * 1000)
 
 
 def query_target(spark: SparkSession, sql: str, databases: list[str], target: int) -> QueryResult:
     """Run on one copy by its index."""
     if not 0 <= target < len(databases):
-        raise QueryError(
-            f"invalid index: {target} (valid range 0-{len(databases) - 1})"
-        )
+        raise QueryError(f"there is no copy {target} among {len(databases)}")
     return _on(spark, sql, databases, target)
 
 
 def query_any(spark: SparkSession, sql: str, databases: list[str]) -> QueryResult:
-    """Run on the first copy that accepts the statement."""
+    """Run on one copy after another, up to the first that answers in full."""
     for i in range(len(databases)):
         result = _on(spark, sql, databases, i)
         if result.status == "success":
             return result
-    raise QueryError("query failed on all copies")
+    raise QueryError("no copy answered the query")
 
 
 @dataclass
@@ -90,17 +110,25 @@ class BroadcastResult:
     status: str
     df: DataFrame | None
 
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """source_index, status, error, row_count of each copy."""
+        rows = [(r.source_index, r.status, r.error, r.row_count) for r in self.results]
+        return spark.createDataFrame(
+            rows, "source_index int, status string, error string, row_count bigint"
+        )
+
 
 def query_all(spark: SparkSession, sql: str, databases: list[str]) -> BroadcastResult:
-    """Run on every copy: one union, tagged with `source_index`, and an outcome."""
+    """Run on every copy; the answers are one union, tagged with `source_index`. A copy
+    that fails, before or while it runs, takes nothing from the others. The outcome
+    is that of `broadcast_outcome`: copies that are not in use do not count."""
     results = [_on(spark, sql, databases, i) for i in range(len(databases))]
+    out = BroadcastResult(results, "ok", None)
     good = [r for r in results if r.status == "success"]
-    if len(good) == len(results):
-        status = "ok"
-    else:
-        status = "partial" if good else "error"
-    df = None
+    if results:
+        tagged = out.summary(spark).withColumn("_all", F.lit(1))
+        out.status = broadcast_outcome(tagged, "_all").head().status
     if good:
-        tagged = [r.df.withColumn("source_index", F.lit(r.source_index)) for r in good]
-        df = reduce(lambda a, b: a.unionByName(b), tagged)
-    return BroadcastResult(results, status, df)
+        answers = [r.df.withColumn("source_index", F.lit(r.source_index)) for r in good]
+        out.df = reduce(lambda a, b: a.unionByName(b), answers)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotlake.functions.names import last_segment
 from slotlake.plans.lake import Lake
 from slotlake.schema import SLOTS, delta_name, main_name, other_slot
-from slotlake.session import path_exists
+from slotlake.session import folders_with, literal_path, path_exists
 from slotlake.sources.datasets import MissingDatasetError, load_prebuilt
 
 SUFFIX = ".parquet"
@@ -36,21 +36,23 @@ def backup(lake: Lake, name: str, root: str, now: datetime | None = None) -> str
 def list_snapshots(spark: SparkSession, root: str, table: str, kind: str) -> DataFrame:
     """Completed snapshots of a table, newest first: filename, key, size, time.
 
-    `kind` is `main` or `delta`. File contents are never read.
+    `kind` is `main` or `delta`. A snapshot is complete once its folder holds the
+    success marker; only the files of such folders are listed, none is read.
     """
     prefix = f"{table}_main_" if kind == "main" else f"{table}_delta-"
+    done = folders_with(spark, f"{root}/{literal_path(prefix)}*{SUFFIX}/_SUCCESS")
+    if not done:
+        return spark.createDataFrame([], "filename string, key string, size bigint, last_modified timestamp")
     files = (
         spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "part-*")
-        .load(root)
+        .load([literal_path(folder) for folder in done])
         .select("path", "length", "modificationTime")
     )
     parent = F.regexp_replace("path", r"/[^/]*\z", "")
     name = last_segment(parent)
     return (
-        files.where(name.startswith(prefix) & name.endswith(SUFFIX))
-        .groupBy(name.alias("filename"), parent.alias("key"))
+        files.groupBy(name.alias("filename"), parent.alias("key"))
         .agg(
             F.sum("length").alias("size"),
             F.max("modificationTime").alias("last_modified"),

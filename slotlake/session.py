@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -21,26 +24,28 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Row conversion makes wide generated code. The JVM never compiles methods
+        # over 8000 bytes; above that Spark falls back to its split-up projections.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
 
 
-def tune(spark: SparkSession) -> None:
-    """Row conversion makes wide generated code. The JVM never compiles methods over
-    8000 bytes, so above that Spark must fall back to its split-up projections."""
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's spark.checkpoint.dir.
 
-    Only when that is unset (tests, local mode) a local temporary folder is made,
-    and remembered for the rest of the session.
+    Only when that is unset in local mode (tests) a temporary folder is made,
+    remembered for the rest of the session, and deleted when the process ends. On a
+    cluster executors would each write to a disk of their own, so there it must be
+    set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.slotlake.scratchDir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-slotlake-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.slotlake.scratchDir", root)
     return root.rstrip("/")
 
@@ -88,6 +93,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def literal_path(path: str) -> str:
+    """The path as a pattern that only it matches."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def folders_with(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders of the files that a glob pattern matches, sorted."""
+    fs, jpath = hadoop_path(spark, pattern)
+    return sorted(hit.getPath().getParent().toString() for hit in (fs.globStatus(jpath) or []))
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; whether this call made it."""
+    fs, jpath = hadoop_path(spark, path)
+    return bool(fs.createNewFile(jpath))
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file anew; the old one stays until the new one is complete."""
+    fs, jpath = hadoop_path(spark, path)
+    _, draft = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.delete(jpath, False)
+    if not fs.rename(draft, jpath):
+        raise OSError(f"cannot write {path}")
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """Create an empty marker file."""
     fs, jpath = hadoop_path(spark, path)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from slotlake.functions.names import last_segment
 from slotlake.plans import query as Q
 from slotlake.plans import snapshots as S
-from slotlake.plans.lake import ImportFailedError
+from slotlake.plans.lake import DuplicateImportError, ImportFailedError
 from slotlake.schema import columns_of, delta_name, main_name
-from slotlake.session import scratch_path
+from slotlake.session import delete_path, scratch_path
 from slotlake.showcase.common import (
     ORDER_COLUMNS,
     ORDERS_SQL,
@@ -77,6 +77,18 @@ def main_delta_union(spark, sf_dir):
     return lake.table("orders")
 
 
+def delta_compaction(spark, sf_dir):
+    """Orders appended in three loads, one of them repeated under its id, then compacted."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    lake.ensure_tables()
+    rows = order_rows(spark, sf_dir)
+    for k in (0, 1, 2, 1):
+        lake.append_delta("orders", rows.where(F.col("id") % 3 == k), f"load-{k}")
+    before = lake.compact_delta("orders")
+    after = lake.compact_delta("orders")
+    return lake.table("orders").withColumns({"loads": F.lit(before), "remaining": F.lit(after)})
+
+
 def swap_then_read(spark, sf_dir):
     """Two imports; the second one is live and in the other slot."""
     lake = _live_lake(spark, sf_dir)
@@ -101,6 +113,59 @@ def failed_import_keeps_old(spark, sf_dir):
     )
 
 
+def resume_import(spark, sf_dir):
+    """An import in parts fails at a bad line; with the line mended it goes on behind
+    the finished parts, and the table holds all rows."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    last = F.col("id") == table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).head()[0]
+    broken = F.when(last, F.concat(order_line(), F.lit("?"))).otherwise(order_line())
+    path = _orders_file(spark, sf_dir, line=broken)
+    part_lines = max(1, table(spark, sf_dir, "orders").count() // 3)
+    try:
+        lake.import_table("orders", path, max_failed=0, part_lines=part_lines)
+    except ImportFailedError:
+        pass
+    done = lake.import_jobs().head().processed
+    delete_path(spark, path)
+    order_rows(spark, sf_dir).orderBy("id").select(order_line().alias("value")).write.text(path)
+    report = lake.import_table("orders", path, max_failed=0, part_lines=part_lines, resume=True)
+    return lake.table("orders").withColumns(
+        {
+            "resumed": F.lit(0 < done < report.processed),
+            "slot": F.lit(report.slot),
+            "processed": F.lit(report.processed).cast("bigint"),
+        }
+    )
+
+
+def duplicate_import_refused(spark, sf_dir):
+    """While an import of a table runs, another one of it is refused."""
+    lake = _live_lake(spark, sf_dir)
+    refused = False
+    with lake._only_import("orders"):
+        try:
+            lake.import_table("orders", _orders_file(spark, sf_dir, "status = 'F'"))
+        except DuplicateImportError:
+            refused = True
+    return lake.table("orders").withColumn("refused", F.lit(refused))
+
+
+def delta_restore_failure_keeps_old(spark, sf_dir):
+    """A delta whose new rows cannot be written keeps its old ones, in view."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    lake.ensure_tables()
+    lake.append_delta("orders", order_rows(spark, sf_dir))
+    failing = order_rows(spark, sf_dir).withColumn(
+        "cust", F.when(F.col("id") > 0, F.raise_error(F.lit("broken file")).cast("bigint"))
+    )
+    failed = False
+    try:
+        lake.load_table(failing, delta_name("orders"))
+    except Exception:
+        failed = True
+    return lake.table("orders").withColumn("failed", F.lit(failed))
+
+
 def ensure_tables(spark, sf_dir):
     """Empty typed tables, then the delta filled: the view shows it."""
     lake = new_lake(spark, "orders", ORDER_COLUMNS)
@@ -149,6 +214,9 @@ def snapshot_list(spark, sf_dir):
         now = datetime(2025, 1, 2, hour, tzinfo=timezone.utc)
         S.backup(lake, main_name("orders", "a"), root, now)
     S.backup(lake, delta_name("orders"), root, datetime(2025, 1, 2, 3, tzinfo=timezone.utc))
+    # one that was never completed
+    open_ = S.backup(lake, main_name("orders", "a"), root, datetime(2025, 1, 2, 4, tzinfo=timezone.utc))
+    delete_path(spark, f"{root}/{open_}/_SUCCESS")
     listed = S.list_snapshots(spark, root, "orders", "main")
     rows = (
         spark.read.option("recursiveFileLookup", "true")
@@ -164,14 +232,16 @@ def snapshot_list(spark, sf_dir):
 
 def rotate_slots(spark, sf_dir):
     lake = _live_lake(spark, sf_dir)
-    lake.load_table(order_rows(spark, sf_dir).where("status <> 'P'"), main_name("orders", "b"))
+    later = order_rows(spark, sf_dir).withColumn("day", F.col("day") + 1)
+    lake.load_table(later, main_name("orders", "b"))
     lake.rotate("orders", "b", "a")
     return lake.table("orders").withColumn("slot", F.lit(lake.active_slot("orders")))
 
 
 def prebuilt_import(spark, sf_dir):
     lake = _live_lake(spark, sf_dir)
-    path = K.publish(order_rows(spark, sf_dir).where("status = 'O'"), scratch_path(spark, "built"))
+    later = order_rows(spark, sf_dir).withColumn("day", F.col("day") + 1)
+    path = K.publish(later, scratch_path(spark, "built"))
     lake.import_prebuilt("orders", path)
     return lake.table("orders")
 
@@ -230,11 +300,17 @@ SUMMARY = (
 
 
 def _copies(spark, sf_dir, conditions):
-    """Databases that hold the table `lineitem`, one copy per condition."""
+    """Databases that hold the table `lineitem`, one copy per condition. In a copy of
+    the condition None one quantity is no number, so that a sum fails as it runs."""
     names = []
     for condition in conditions:
         lake = new_lake(spark, "unused", [("x", "field")])
-        rows = table(spark, sf_dir, "lineitem").where(condition)
+        rows = table(spark, sf_dir, "lineitem")
+        if condition is None:
+            spoiled = F.when(F.col("l_orderkey") % 7 == 1, "n/a").otherwise(F.col("l_quantity").cast("string"))
+            rows = rows.withColumn("l_quantity", spoiled)
+        else:
+            rows = rows.where(condition)
         rows.write.option("path", scratch_path(spark, "copy")).saveAsTable(
             f"{lake.database}.lineitem"
         )
@@ -263,18 +339,24 @@ def sql_target(spark, sf_dir):
 
 
 def sql_fallback(spark, sf_dir):
-    """The first copy has no such table, so the second one answers."""
+    """The first copy has no such table and the second fails while it runs, so the
+    third one answers."""
     empty = new_lake(spark, "unused", [("x", "field")]).database
-    copies = [empty, *_copies(spark, sf_dir, ["l_linestatus = 'F'"])]
+    copies = [empty, *_copies(spark, sf_dir, [None, "true"])]
     result = Q.query_any(spark, SUMMARY, copies)
-    return result.df.withColumn("source_index", F.lit(result.source_index))
+    return result.df.withColumns(
+        {"source_index": F.lit(result.source_index), "row_count": F.lit(result.row_count).cast("bigint")}
+    )
 
 
 def broadcast_union(spark, sf_dir):
-    copies = _copies(spark, sf_dir, ["true", "l_linestatus = 'O'"])
+    """A copy that fails while it runs and one without the table take nothing from the
+    answers of the others."""
+    copies = _copies(spark, sf_dir, ["true", None, "l_linestatus = 'O'"])
     copies.append(new_lake(spark, "unused", [("x", "field")]).database)
     out = Q.query_all(spark, SUMMARY, copies)
-    return out.df.withColumn("status", F.lit(out.status))
+    rows = out.summary(spark).select("source_index", F.col("row_count").alias("copy_rows"))
+    return out.df.withColumn("status", F.lit(out.status)).join(rows, "source_index")
 
 
 # --- streaming ---------------------------------------------------------------------
@@ -380,6 +462,10 @@ QUERIES = {
           cust, status, price, day FROM o""",
     ),
     "main_delta_union": (main_delta_union, ORDERS_SQL),
+    "delta_compaction": (
+        delta_compaction,
+        f"WITH o AS ({ORDERS_SQL}) SELECT *, CAST(3 AS INTEGER) AS loads, CAST(1 AS INTEGER) AS remaining FROM o",
+    ),
     "swap_then_read": (
         swap_then_read,
         f"WITH o AS ({ORDERS_SQL}) SELECT id, cust, status, price, day + 43200 AS day, 'b' AS slot FROM o",
@@ -388,6 +474,17 @@ QUERIES = {
         failed_import_keeps_old,
         f"WITH o AS ({ORDERS_SQL}) SELECT *, 'a' AS slot, false AS half_built FROM o",
     ),
+    "resume_import": (
+        resume_import,
+        f"""WITH o AS ({ORDERS_SQL}) SELECT *, true AS resumed, 'a' AS slot,
+          (SELECT count(*) FROM orders) AS processed FROM o""",
+    ),
+    "duplicate_import_refused": (
+        duplicate_import_refused, f"WITH o AS ({ORDERS_SQL}) SELECT *, true AS refused FROM o"
+    ),
+    "delta_restore_failure_keeps_old": (
+        delta_restore_failure_keeps_old, f"WITH o AS ({ORDERS_SQL}) SELECT *, true AS failed FROM o"
+    ),
     "ensure_tables": (ensure_tables, ORDERS_SQL),
     "table_listing": (
         table_listing,
@@ -407,9 +504,9 @@ QUERIES = {
     ),
     "rotate_slots": (
         rotate_slots,
-        f"WITH o AS ({ORDERS_SQL}) SELECT *, 'b' AS slot FROM o WHERE status <> 'P'",
+        f"WITH o AS ({ORDERS_SQL}) SELECT id, cust, status, price, day + 1 AS day, 'b' AS slot FROM o",
     ),
-    "prebuilt_import": (prebuilt_import, f"WITH o AS ({ORDERS_SQL}) SELECT * FROM o WHERE status = 'O'"),
+    "prebuilt_import": (prebuilt_import, f"WITH o AS ({ORDERS_SQL}) SELECT id, cust, status, price, day + 1 AS day FROM o"),
     "stored_schema": (
         stored_schema,
         """SELECT t.name, t.type, n.rows FROM (VALUES ('id','bigint'), ('cust','bigint'),
@@ -425,14 +522,15 @@ QUERIES = {
     "sql_target": (sql_target, _SUMMARY_SQL.format(where="l_linestatus = 'O'")),
     "sql_fallback": (
         sql_fallback,
-        f"""WITH s AS ({_SUMMARY_SQL.format(where="l_linestatus = 'F'")})
-        SELECT *, CAST(1 AS INTEGER) AS source_index FROM s""",
+        f"""WITH s AS ({SUMMARY}) SELECT *, CAST(2 AS INTEGER) AS source_index,
+          (SELECT count(*) FROM s) AS row_count FROM s""",
     ),
     "broadcast_union": (
         broadcast_union,
         f"""WITH a AS ({SUMMARY}), b AS ({_SUMMARY_SQL.format(where="l_linestatus = 'O'")})
-        SELECT *, CAST(0 AS INTEGER) AS source_index, 'partial' AS status FROM a
-        UNION ALL SELECT *, 1, 'partial' FROM b""",
+        SELECT *, CAST(0 AS INTEGER) AS source_index, 'partial' AS status,
+          (SELECT count(*) FROM a) AS copy_rows FROM a
+        UNION ALL SELECT *, 2, 'partial', (SELECT count(*) FROM b) FROM b""",
     ),
     "stream_import": (stream_import, f"{_EVENTS_SQL} WHERE event_type <> 'error'"),
     "stream_rejects": (

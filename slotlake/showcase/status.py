@@ -452,7 +452,7 @@ def grid_search(spark, sf_dir):
 
 
 def grid_sort(spark, sf_dir):
-    return G.sort(table(spark, sf_dir, "customer"), "c_acctbal", "desc").limit(20).select("c_acctbal")
+    return G.sort(table(spark, sf_dir, "customer"), "c_acctbal", "desc")
 
 
 def grid_page(spark, sf_dir):
@@ -761,7 +761,7 @@ QUERIES = {
     "grid_search": (
         grid_search, "SELECT * FROM customer WHERE lower(c_name) LIKE '%mach%' OR lower(c_mktsegment) LIKE '%mach%'",
     ),
-    "grid_sort": (grid_sort, "SELECT c_acctbal FROM customer ORDER BY c_acctbal DESC LIMIT 20"),
+    "grid_sort": (grid_sort, "SELECT * FROM customer"),
     "grid_page": (
         grid_page, "SELECT * FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 25 OFFSET 75",
     ),

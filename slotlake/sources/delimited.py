@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from slotlake.functions import records as R
 from slotlake.functions.cells import WHITE_SPACE
 from slotlake.operators import numbering as N
+from slotlake.session import literal_path
 
 CORRUPT = "_corrupt"
 
@@ -80,13 +81,23 @@ def _is_int64(cell: str) -> bool:
     return bool(re.fullmatch(r"[+-]?[0-9]+", cell)) and -(2**63) <= int(cell) < 2**63
 
 
+def first_file(spark: SparkSession, path: str) -> str:
+    """The first file by name with any content under a path, as a pattern that only
+    it matches."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    first = files.agg(F.min("path")).head()[0]
+    if first is None:
+        raise EmptyInputError("there is no line to look at")
+    return literal_path(first)
+
+
 def has_header(spark: SparkSession, path: str, sep: str | None = None) -> bool:
     """A first field that is not an integer means a header; a blank first line
     means none."""
     sep = sep or R.delimiter_of(path)
-    first = _lines(spark, path).head(1)
+    first = _lines(spark, first_file(spark, path)).head(1)
     if not first:
-        raise EmptyInputError("CSV file is empty")
+        raise EmptyInputError("there is no line to look at")
     line = first[0].value
     return line != "" and not _is_int64(line.split(sep)[0].strip(WHITE_SPACE))
 
@@ -142,7 +153,7 @@ def cells_of_lines(
         .collect()
     ]
     layout = layout.drop("open_lines")
-    multi = scan_multiline(spark, [unquote(f) for f in spanning], sep, width)
+    multi = scan_multiline(spark, [literal_path(unquote(f)) for f in spanning], sep, width)
     line_file = ~F.col(N.FILE).isin(spanning)
     return (
         cells.where(line_file).unionByName(multi),
@@ -172,13 +183,13 @@ def read_delimited(
     head = layout_summary(layout)
     if head.file is None:
         if header is not False:
-            raise EmptyInputError("CSV file is empty")
+            raise EmptyInputError("there is no line to look at")
         return spark.createDataFrame([], "line_no bigint, cells array<string>")
     if header is None:
-        header = has_header(spark, unquote(head.file), sep)
+        header = has_header(spark, literal_path(unquote(head.file)), sep)
     if auto_id is None:
         cell = _first_data_cell(
-            spark, unquote(head.file), sep, header, head.open > 0, width + 1
+            spark, literal_path(unquote(head.file)), sep, header, head.open > 0, width + 1
         )
         auto_id = cell is not None and not _is_int64(cell)
 
@@ -211,10 +222,10 @@ def read_lines_split(
     head = layout.agg(F.min(N.FILE).alias("file"), F.count("*").alias("blocks")).head()
     if head.file is None:
         if header is not False:
-            raise EmptyInputError("CSV file is empty")
+            raise EmptyInputError("there is no line to look at")
         return spark.createDataFrame([], "line_no bigint, cells array<string>")
     if header is None:
-        header = has_header(spark, unquote(head.file), sep)
+        header = has_header(spark, literal_path(unquote(head.file)), sep)
     scan = scan.select(
         R.split_plain(F.col("record"), sep).alias("cells"), *N.SCAN_COLUMNS
     )

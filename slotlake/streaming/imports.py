@@ -21,7 +21,9 @@ from slotlake.sinks.files import write_rejects
 from slotlake.sources.delimited import cells_of_lines, layout_summary, line_layout
 
 REJECTED = "rejected"
-PROGRESS_DDL = "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint"
+PROGRESS_DDL = (
+    "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint, upto bigint"
+)
 
 
 def _converted_batch(
@@ -40,19 +42,23 @@ def _converted_batch(
     head = layout_summary(layout)
     scan, layout = cells_of_lines(spark, scan, layout, sep, width, head.open > 0)
     numbered = N.number_records(scan, layout, head.blocks)
-    # This batch's own entry does not count when it is replayed.
-    before = (
-        progress(spark, target)
-        .where(F.col("batch_id") < batch_id)
-        .agg(F.coalesce(F.sum("records"), F.lit(0)))
-        .head()[0]
-    )
-    line = F.col("record_no") + F.lit(before)
+    line = F.col("record_no") + F.lit(_records_before(spark, target, batch_id))
     if auto_id:
         numbered = numbered.withColumn("cells", F.concat(F.array(line.cast("string")), "cells"))
     return R.convert_rows(numbered.select(line.alias("line_no"), "cells"), columns)
 
 
+def _records_before(spark: SparkSession, target: str, batch_id: int) -> int:
+    """Records of all earlier batches. Each batch's progress has the running total,
+    so the one before tells; only if that is missing all are looked at."""
+    last = f"{target}/progress/batch_id={batch_id - 1}"
+    if path_exists(spark, last):
+        return spark.read.schema("upto bigint").parquet(last).head().upto
+    # This batch's own entry does not count when it is replayed.
+    earlier = progress(spark, target).where(F.col("batch_id") < batch_id)
+    return earlier.agg(F.coalesce(F.max("upto"), F.lit(0))).head()[0]
+
+
 def _write_batch(
     batch: DataFrame,
     batch_id: int,
@@ -80,6 +86,7 @@ def _write_batch(
             F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
             F.count("*").alias("records"),
         )
+        .withColumn("upto", F.col("records") + F.lit(_records_before(spark, target, batch_id)))
         .coalesce(1)
         .write.mode("overwrite")
         .parquet(f"{target}/progress/batch_id={batch_id}")
@@ -92,7 +99,7 @@ def progress(spark: SparkSession, target: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], PROGRESS_DDL)
     return spark.read.schema(PROGRESS_DDL).parquet(path).select(
-        "batch_id", "processed", "failed", "last_line", "records"
+        "batch_id", "processed", "failed", "last_line", "records", "upto"
     )
 
 
@@ -145,7 +152,7 @@ def stream_into_delta(
     def write(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, batch_id, columns, target, sep, auto_id)
         load = f"{feed}-{batch_id}"
-        written = _batches(spark, target, columns).where(F.col("batch_id") == batch_id)
+        written = _read_batches(spark, f"{target}/data/batch_id={batch_id}", columns)
         lake.append_delta(table, written.where(~F.col(REJECTED)), load)
         rejects = written.where(F.col(REJECTED)).select(f"{R.REJECT}.*")
         write_rejects(rejects, lake.rejects_path, f"{table}-{load}")
@@ -193,14 +200,20 @@ def delta_rejects(spark: SparkSession, target: str, columns: list[Column]) -> Da
 
 
 def _batches(spark: SparkSession, target: str, columns: list[Column]) -> DataFrame:
+    return _read_batches(spark, f"{target}/data", columns, "batch_id bigint, ")
+
+
+def _read_batches(
+    spark: SparkSession, path: str, columns: list[Column], partition: str = ""
+) -> DataFrame:
     fields = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in struct_type(columns)
     )
     schema = (
         f"line_no bigint, {fields}, {R.REJECT} {R.REJECT_TYPE}, "
-        f"batch_id bigint, {REJECTED} boolean"
+        f"{partition}{REJECTED} boolean"
     )
-    return spark.read.schema(schema).parquet(f"{target}/data")
+    return spark.read.schema(schema).parquet(path)
 
 
 def progress_listener(

@@ -138,10 +138,9 @@ def test_numbers_are_dense_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_two_level_running_total(spark, monkeypatch):
+def test_running_total(spark):
     df = spark.range(0, 5000).selectExpr("id as k", "id % 7 as n", "1 as one")
-    monkeypatch.setattr(N, "FLAT_LIMIT", 10)
-    out = N.running_total(df, ["k"], {"n": "before", "one": "ahead"}, 5000)
+    out = N.running_total(df, ["k"], {"n": "before", "one": "ahead"})
     rows = {r.k: (r.before, r.ahead) for r in out.collect()}
     total = 0
     for k in range(5000):
@@ -180,9 +179,19 @@ def test_good_plus_rejects_is_input(spark, tmp_path):
     assert texts[0] == 'line 2: column "n": invalid unsigned integer (value: "-5")'
 
 
+def test_layout_of_a_large_input_is_broadcast(spark, tmp_path):
+    """At a million blocks the scan itself is neither sorted nor shuffled."""
+    path = str(tmp_path / "lines")
+    spark.range(10).selectExpr("concat('r', id)").write.text(path)
+    scan = D.scan_lines(spark, path)
+    numbered = N.number_records(scan, N.block_layout(scan), 1_000_000)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.record_no for r in numbered.collect()) == list(range(1, 11))
+
+
 def test_numbers_with_many_blocks(spark, tmp_path, monkeypatch):
-    """The two-level running total gives the same numbers as the flat one."""
-    monkeypatch.setattr(N, "FLAT_LIMIT", 0)
+    """Without a broadcast of the layout the numbers are the same."""
     monkeypatch.setattr("slotlake.session.BROADCAST_LIMIT_BYTES", 0)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
     try:

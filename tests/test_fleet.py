@@ -233,3 +233,18 @@ def test_names(spark):
     assert list(r.names) == ["a", "b"] and r.addr == "h.example.com:9306" and r.rep == "m-0.m:9312"
     assert r.rep2 == "search-2.search:9312" and r["last"] == "y.csv" and r.snap == "b" and r.badsnap is None
     assert r.sn == "t-2025-01-02T03-04-05Z.tar.gz" and r.retry and not r.noretry and not r.zero
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_snapshot_name_in_any_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        at = F.timestamp_seconds(F.col("s"))
+        rows = spark.createDataFrame([(0,), (1_741_505_403,), (-1,)], "s long")
+        got = [r.n for r in rows.select(NM.snapshot_name(F.lit("t"), at).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [
+        "t-1970-01-01T00-00-00Z.tar.gz", "t-2025-03-09T07-30-03Z.tar.gz", "t-1969-12-31T23-59-59Z.tar.gz"
+    ]

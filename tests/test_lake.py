@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 import pytest
 
 from slotlake.plans import snapshots as S
-from slotlake.plans.lake import ImportFailedError, Lake
+from slotlake.plans.lake import DuplicateImportError, ImportFailedError, Lake
 from slotlake.schema import Registry, TableSchema, columns_of
 from slotlake.sources.datasets import MissingDatasetError
 from slotlake.sinks.files import publish
@@ -95,10 +95,55 @@ def test_delta_is_unioned(lake, tmp_path):
     assert rows(lake) == [(1, "Widget", 19.99), (1, "again", 2.0), (7, "live", 3.0)]
 
 
-def test_resume_takes_later_lines(lake, tmp_path):
-    path = put(tmp_path, "a.csv", "1,a,1\n2,b,2\n3,c,3\n")
-    report = lake.import_table("products", path, start_line=2)
-    assert report.processed == 1 and rows(lake) == [(3, "c", 3.0)]
+def test_resume_keeps_the_finished_parts(lake, tmp_path):
+    put(tmp_path, "a.csv", "1,old,1\n")
+    lake.import_table("products", str(tmp_path / "a.csv"))
+    path = put(tmp_path, "b.csv", "1,a,1\n2,b,2\n3,c,3\n4,d,x\n5,e,5\n")
+    with pytest.raises(ImportFailedError):
+        lake.import_table("products", path, max_failed=0, part_lines=2)
+    assert rows(lake) == [(1, "old", 1.0)] and lake.active_slot("products") == "a"
+    job = lake.import_jobs().head()
+    assert (job.status, job.processed, job.last_line) == ("failed", 2, 2)
+    put(tmp_path, "b.csv", "1,a,1\n2,b,2\n3,c,3\n4,d,4\n5,e,5\n")
+    report = lake.import_table("products", path, max_failed=0, part_lines=2, resume=True)
+    assert (report.processed, report.slot, report.last_line) == (5, "b", 5)
+    assert [r[0] for r in rows(lake)] == [1, 2, 3, 4, 5]
+    assert lake.import_jobs().head().status == "completed"
+    with pytest.raises(ImportFailedError):
+        lake.import_table("products", path, resume=True)  # nothing failed
+
+
+def test_parts_of_header_lines_only(lake, tmp_path):
+    path = put(tmp_path, "a.csv", "id,name,price\n1,a,1\n2,b,?\n3,c,3\n")
+    report = lake.import_table("products", path, part_lines=1)
+    assert (report.processed, report.failed) == (2, 1)
+    assert [r.line for r in lake.rejects(report.job_id).collect()] == [3]
+    assert [r[0] for r in rows(lake)] == [1, 3]
+
+
+def test_one_import_at_a_time(lake, tmp_path):
+    path = put(tmp_path, "a.csv", "1,a,1\n")
+    with lake._only_import("products"):
+        with pytest.raises(DuplicateImportError):
+            lake.import_table("products", path)
+    lake.import_table("products", path)
+    lake._only_import("products").__enter__()  # of a driver that is gone
+    lake.unlock_import("products")
+    lake.import_table("products", path)
+    assert rows(lake) == [(1, "a", 1.0)]
+
+
+def test_delta_restore_that_fails_keeps_the_rows(lake, tmp_path):
+    lake.import_table("products", put(tmp_path, "a.csv", "1,a,1\n"))
+    lake.append_delta("products", lake.table("products_main_a").limit(1))
+    bad = lake.table("products_delta").selectExpr("id", "name", "double(raise_error('no')) AS price")
+    with pytest.raises(Exception):
+        lake.load_table(bad, "products_delta")
+    assert rows(lake) == [(1, "a", 1.0)] * 2
+    lake.load_table(lake.table("products"), "products_delta")  # reads what it replaces
+    assert rows(lake) == [(1, "a", 1.0)] * 3
+    lake.append_delta("products", lake.table("products_main_a").limit(1))
+    assert rows(lake) == [(1, "a", 1.0)] * 4
 
 
 def test_indexer_method(lake, tmp_path):
