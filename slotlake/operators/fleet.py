@@ -191,12 +191,23 @@ def fleet_status(replicas: DataFrame) -> DataFrame:
     )
 
 
+def version_positions(deployments: DataFrame) -> DataFrame:
+    """Nested versions (`cluster_id`, `versions` array<struct<message, containers>>) to
+    a row per version; `idx` is its position, from 0."""
+    return deployments.select("cluster_id", F.posexplode("versions").alias("idx", "_version")).select(
+        "cluster_id", F.col("idx").cast("bigint").alias("idx"), "_version.message", "_version.containers"
+    )
+
+
 def with_deployment_messages(replicas: DataFrame, versions: DataFrame) -> DataFrame:
     """Add the deployment message of the same position to unhealthy replicas.
 
     `versions` holds one row per deployment version: `cluster_id`, `idx`,
-    `message`, `containers` (array of texts).
+    `message`, `containers` (array of texts), or one row per cluster with the array
+    `versions`, whose positions count as `idx`.
     """
+    if "versions" in versions.columns:
+        versions = version_positions(versions)
     texts = versions.select(
         "cluster_id",
         "idx",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("imports", "cells", "lifecycle", "status")
+MODULES = ("imports", "cells", "lifecycle", "status", "config")
 
 
 def all_queries() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slotlake.functions import names as NM
@@ -82,13 +83,19 @@ def replica_errors(spark, sf_dir):
 
 
 def deployment_messages(spark, sf_dir):
-    status = FL.replica_status(probes(spark, sf_dir))
-    versions = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("cluster_id"),
-        F.col("event_id").alias("idx"),
+    """Versions nested by cluster; a replica takes the one at its own position."""
+    position = F.row_number().over(Window.partitionBy("cluster_id").orderBy("idx")) - 1
+    status = FL.replica_status(probes(spark, sf_dir)).withColumn("idx", position.cast("bigint"))
+    version = F.struct(
         F.when(F.col("event_id") % 2 == 0, F.lit("pulling")).otherwise(F.lit("")).alias("message"),
         F.array(F.lit("pulling"), F.lit(""), text_of("exit ", F.col("event_id") % 7)).alias("containers"),
     )
+    in_order = F.array_sort(F.collect_list(F.struct("event_id", version.alias("v"))))
+    versions = (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("user_id").alias("cluster_id"))
+        .agg(F.transform(in_order, lambda x: x["v"]).alias("versions"))
+    )
     return FL.with_deployment_messages(status, versions).select(
         "cluster_id", "idx", "status", "deployment_message"
     )
@@ -584,7 +591,7 @@ QUERIES = {
     "deployment_messages": (
         deployment_messages,
         f"""WITH {PROBES_SQL}, s AS (SELECT *, {_STATUS} AS status FROM probes)
-        SELECT cluster_id, idx, status, CASE WHEN status = 'not_in_use' OR (status = 'online'
+        SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY idx) - 1 AS idx, status, CASE WHEN status = 'not_in_use' OR (status = 'online'
             AND coalesce(cluster_status IN ('primary', 'synced'), false)) THEN NULL
           ELSE 'pulling' || chr(10) || 'exit ' || (idx % 7) END AS deployment_message FROM s""",
     ),
