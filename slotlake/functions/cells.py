@@ -247,6 +247,7 @@ PARSERS: dict[str, Callable[[SparkColumn], SparkColumn]] = {
 
 def reject_reason(logical_type: str, cell: SparkColumn) -> SparkColumn:
     """Why a cell of this type was rejected. `cell` is the trimmed text."""
+    # These texts are part of the reject table's format.
     quoted = F.concat(F.lit('"'), cell, F.lit('"'))
     if logical_type == "attr_uint":
         return F.lit("invalid unsigned integer")

@@ -78,6 +78,7 @@ def _reject(columns: list[Column]) -> SparkColumn:
     """Description of the failure at position `_bad`."""
     bad = F.col("_bad")
     raw = F.get("cells", bad)
+    # The texts are part of the reject table's format.
     wrong_width = F.concat(
         F.lit(f"expected {len(columns)} data columns (plus ID), got "),
         F.size("cells").cast("string"),

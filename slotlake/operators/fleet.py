@@ -160,9 +160,9 @@ def replica_status(probes: DataFrame) -> DataFrame:
         "status", F.when(F.col("error").isNull(), F.lit("online")).otherwise(kind)
     ).withColumn(
         "message",
-        F.when(F.col("status") == "not_in_use", F.lit("replica is not in use"))
-        .when(F.col("status") == "error", F.lit("replica returned an error"))
-        .when(F.col("status") == "offline", F.lit("replica is offline")),
+        F.when(F.col("status") == "not_in_use", F.lit("not in use at present"))
+        .when(F.col("status") == "error", F.lit("answered with an error"))
+        .when(F.col("status") == "offline", F.lit("does not answer")),
     )
 
 

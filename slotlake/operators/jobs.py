@@ -121,9 +121,9 @@ class JobLog:
     def update(self, job_id: str, status: str, error: str | None = None, **fields) -> None:
         job = self.get(job_id)
         if job is None:
-            raise KeyError(f"job not found: {job_id}")
+            raise KeyError(f"no record of job {job_id}")
         if status not in NEXT.get(job["status"], set()):
-            raise JobStateError(f"cannot move job from {job['status']} to {status}")
+            raise JobStateError(f"a job cannot go from {job['status']} to {status}")
         job.update(fields, status=status)
         if error:
             job["error"] = error
@@ -139,9 +139,9 @@ class JobLog:
         """Only pending or running jobs can be cancelled."""
         job = self.get(job_id)
         if job is None:
-            raise KeyError(f"job not found: {job_id}")
+            raise KeyError(f"no record of job {job_id}")
         if job["status"] not in (PENDING, RUNNING):
-            raise JobStateError(f"cannot cancel job with status: {job['status']}")
+            raise JobStateError(f"a job that is over cannot be cancelled: {job['status']}")
         query = self._queries.pop(job_id, None)
         if query is not None:
             query.stop()

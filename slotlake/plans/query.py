@@ -130,5 +130,8 @@ def query_all(spark: SparkSession, sql: str, databases: list[str]) -> BroadcastR
         out.status = broadcast_outcome(tagged, "_all").head().status
     if good:
         answers = [r.df.withColumn("source_index", F.lit(r.source_index)) for r in good]
-        out.df = reduce(lambda a, b: a.unionByName(b), answers)
+        # By name, unless a result has a name twice.
+        plain = all(len(set(a.columns)) == len(a.columns) for a in answers)
+        unite = DataFrame.unionByName if plain else DataFrame.union
+        out.df = reduce(unite, answers)
     return out

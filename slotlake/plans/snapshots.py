@@ -64,9 +64,9 @@ def list_snapshots(spark: SparkSession, root: str, table: str, kind: str) -> Dat
 def slot_of_snapshot(filename: str, table: str) -> str:
     hit = re.search(re.escape(table) + "_main_(.)", filename)
     if not hit:
-        raise ValueError(f"cannot determine slot from restore filename: {filename}")
+        raise ValueError(f"no slot in the snapshot name {filename}")
     if hit.group(1) not in SLOTS:
-        raise ValueError(f"invalid slot '{hit.group(1)}' in restore filename: {filename}")
+        raise ValueError(f"{filename} names no known slot")
     return hit.group(1)
 
 

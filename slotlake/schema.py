@@ -77,7 +77,7 @@ def columns_of(*pairs: tuple[str, str]) -> list[Column]:
 
 def validate(columns: list[Column]) -> list[Column]:
     if not columns:
-        raise SchemaError("no columns defined")
+        raise SchemaError("there is no column")
     for i, col in enumerate(columns):
         if not col.name:
             raise SchemaError(f"column {i} has empty name")
@@ -174,13 +174,13 @@ class Registry:
 
     def get(self, name: str) -> TableSchema:
         if name not in self.tables:
-            raise KeyError(f"no schema found for table {name}")
+            raise KeyError(f"{name} is not a registered table")
         return self.tables[name]
 
     def for_derived(self, name: str) -> TableSchema:
         base = base_name(name)
         if base not in self.tables:
-            raise KeyError(f"no schema found for table {name} (base: {base})")
+            raise KeyError(f"{name}: its base {base} is not registered")
         return self.tables[base]
 
     def to_df(self, spark: SparkSession) -> DataFrame:

@@ -584,8 +584,8 @@ QUERIES = {
     "replica_errors": (
         replica_errors,
         f"""WITH {PROBES_SQL} SELECT idx, {_STATUS} AS status,
-          CASE {_STATUS} WHEN 'not_in_use' THEN 'replica is not in use' WHEN 'error' THEN 'replica returned an error'
-            WHEN 'offline' THEN 'replica is offline' END AS message,
+          CASE {_STATUS} WHEN 'not_in_use' THEN 'not in use at present' WHEN 'error' THEN 'answered with an error'
+            WHEN 'offline' THEN 'does not answer' END AS message,
           coalesce(error LIKE '%connection reset%', false) AS retryable FROM probes""",
     ),
     "deployment_messages": (

@@ -64,19 +64,19 @@ def test_tsv_split(spark):
 
 
 def test_ids_and_lines(spark, tmp_path):
-    path = put(tmp_path, "p.csv", "1,Widget,19.99\n2,Gadget,29.99\n")
-    assert read(spark, path, 2) == [(1, ["1", "Widget", "19.99"]), (2, ["2", "Gadget", "29.99"])]
+    path = put(tmp_path, "p.csv", "1,Kettle,12.75\n2,Ladle,31.5\n")
+    assert read(spark, path, 2) == [(1, ["1", "Kettle", "12.75"]), (2, ["2", "Ladle", "31.5"])]
 
 
 def test_header_and_auto_id(spark, tmp_path):
-    path = put(tmp_path, "p.csv", "name,price\r\n\r\nWidget,1\r\nGadget,2\r\n")
-    assert read(spark, path, 2) == [(2, ["1", "Widget", "1"]), (3, ["2", "Gadget", "2"])]
+    path = put(tmp_path, "p.csv", "name,price\r\n\r\nKettle,1\r\nLadle,2\r\n")
+    assert read(spark, path, 2) == [(2, ["1", "Kettle", "1"]), (3, ["2", "Ladle", "2"])]
     # Text first and no header: only an explicit flag keeps the first row.
-    path = put(tmp_path, "q.csv", "Widget,1\nGadget,2\n")
+    path = put(tmp_path, "q.csv", "Kettle,1\nLadle,2\n")
     assert read(spark, path, 2, header=False) == [
-        (1, ["1", "Widget", "1"]), (2, ["2", "Gadget", "2"])
+        (1, ["1", "Kettle", "1"]), (2, ["2", "Ladle", "2"])
     ]
-    assert read(spark, path, 2) == [(2, ["1", "Gadget", "2"])]
+    assert read(spark, path, 2) == [(2, ["1", "Ladle", "2"])]
 
 
 def test_blank_first_line_is_no_header(spark, tmp_path):

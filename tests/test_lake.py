@@ -42,10 +42,10 @@ def test_ensure_tables_twice(lake):
 
 
 def test_import_swaps_and_drops(lake, tmp_path):
-    first = put(tmp_path, "a.csv", "1,Widget,19.99\n2,Gadget,bad\n3,Thing,1\n")
+    first = put(tmp_path, "a.csv", "1,Kettle,12.75\n2,Ladle,bad\n3,Thing,1\n")
     report = lake.import_table("products", first)
     assert (report.slot, report.processed, report.failed, report.last_line) == ("a", 2, 1, 3)
-    assert rows(lake) == [(1, "Widget", 19.99), (3, "Thing", 1.0)]
+    assert rows(lake) == [(1, "Kettle", 12.75), (3, "Thing", 1.0)]
     rej = lake.rejects(report.job_id).collect()
     assert [(r.line, r.column, r.value) for r in rej] == [(2, "price", "bad")]
 
@@ -57,11 +57,11 @@ def test_import_swaps_and_drops(lake, tmp_path):
 
 
 def test_readers_keep_the_old_slot_until_vacuum(lake, tmp_path):
-    lake.import_table("products", put(tmp_path, "a.csv", "1,Widget,19.99\n"))
+    lake.import_table("products", put(tmp_path, "a.csv", "1,Kettle,12.75\n"))
     reader = lake.table("products").select("id", "name", "price")
     files = reader.inputFiles()
     lake.import_table("products", put(tmp_path, "b.csv", "2,New,5\n"))
-    assert [tuple(r) for r in reader.collect()] == [(1, "Widget", 19.99)]
+    assert [tuple(r) for r in reader.collect()] == [(1, "Kettle", 12.75)]
     assert lake.vacuum() == 0
     assert lake.vacuum(grace_seconds=0) >= 1
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
@@ -69,7 +69,7 @@ def test_readers_keep_the_old_slot_until_vacuum(lake, tmp_path):
 
 
 def test_failed_import_keeps_old(lake, tmp_path):
-    good = put(tmp_path, "a.csv", "1,Widget,19.99\n")
+    good = put(tmp_path, "a.csv", "1,Kettle,12.75\n")
     lake.import_table("products", good)
     before = rows(lake)
     bad = put(tmp_path, "b.csv", "1,x,y\n2,z,1\n")
@@ -89,10 +89,10 @@ def test_all_rows_rejected(lake, tmp_path):
 
 
 def test_delta_is_unioned(lake, tmp_path):
-    lake.import_table("products", put(tmp_path, "a.csv", "1,Widget,19.99\n"))
+    lake.import_table("products", put(tmp_path, "a.csv", "1,Kettle,12.75\n"))
     extra = lake.spark.createDataFrame([(1, "again", 2.0), (7, "live", 3.0)], "id long, name string, price double")
     lake.append_delta("products", extra)
-    assert rows(lake) == [(1, "Widget", 19.99), (1, "again", 2.0), (7, "live", 3.0)]
+    assert rows(lake) == [(1, "Kettle", 12.75), (1, "again", 2.0), (7, "live", 3.0)]
 
 
 def test_resume_keeps_the_finished_parts(lake, tmp_path):

@@ -25,7 +25,7 @@ from slotlake.streaming import imports as ST
 @pytest.mark.parametrize(
     "text, message",
     [
-        ('{"columns":[]}', "no columns defined"), ("{}", "no columns defined"),
+        ('{"columns":[]}', "there is no column"), ("{}", "there is no column"),
         ('{"columns":[{"name":"","type":"field"}]}', "empty name"),
         ('{"columns":[{"name":"id","type":"invalid_type"}]}', "unknown type"),
         ('{"columns":[}', "parsing config JSON"),
@@ -50,7 +50,7 @@ def test_registry(spark, tmp_path):
         "bulk", True, "nodeads", 0, "2G", None
     )
     assert (b.import_method, b.cluster_main, b.has_header) == ("indexer", False, True)
-    with pytest.raises(KeyError, match="base: zzz"):
+    with pytest.raises(KeyError, match="its base zzz"):
         reg.for_derived("zzz_delta")
     assert [r.name for r in reg.to_df(spark).collect()] == ["a", "b"]
     cols = SC.columns_of(*[(f"c{i}", t) for i, t in enumerate(SC.DDL_TYPES)])
@@ -65,14 +65,14 @@ def test_registry(spark, tmp_path):
 # --- sinks -------------------------------------------------------------------
 
 ALL = SC.columns_of(
-    ("c1", "field"), ("c2", "field_string"), ("c3", "attr_uint"), ("c4", "attr_bigint"),
-    ("c5", "attr_float"), ("c6", "attr_bool"), ("c7", "attr_timestamp"),
-    ("c8", "attr_string"), ("c9", "attr_multi"), ("c10", "attr_multi_64"), ("c11", "attr_json"),
+    ("title", "field"), ("body", "field_string"), ("stock", "attr_uint"), ("seller", "attr_bigint"),
+    ("weight", "attr_float"), ("listed", "attr_bool"), ("added", "attr_timestamp"),
+    ("shelf", "attr_string"), ("tags", "attr_multi"), ("parts", "attr_multi_64"), ("extra", "attr_json"),
 )
 LINE = (
-    '12345,text field,text string,42,9223372036854775807,3.14159,yes,1705276800,'
-    'plain string,"1,2,3","100,200,300","{""key"":""it\'s""}"\n'
-    "7,,,,,,,,,,,\n8,,,,,,,,,,,null\n"
+    '310,oak table,seats six,17,-9223372036854775808,0.625,on,86400,'
+    'row 9,"4,5","60,70,80","{""maker"":""joe\'s""}"\n'
+    "311,,,,,,,,,,,\n312,,,,,,,,,,,null\n"
 )
 
 
@@ -87,9 +87,9 @@ def test_all_types_as_sql(spark, tmp_path):
     rows = K.insert_statements(df, ALL, "items", batch=2).orderBy("batch_no").collect()
     names = "id, " + ", ".join(c.name for c in ALL)
     assert rows[0].statement == (
-        f"INSERT INTO items ({names}) VALUES (12345, 'text field', 'text string', 42, "
-        "9223372036854775807, 3.14159, 1, 1705276800, 'plain string', (1,2,3), "
-        "(100,200,300), '{\"key\":\"it\\'s\"}'), (7, '', '', 0, 0, 0, 0, 0, '', (), (), '{}');"
+        f"INSERT INTO items ({names}) VALUES (310, 'oak table', 'seats six', 17, "
+        "-9223372036854775808, 0.625, 1, 86400, 'row 9', (4,5), "
+        "(60,70,80), '{\"maker\":\"joe\\'s\"}'), (311, '', '', 0, 0, 0, 0, 0, '', (), (), '{}');"
     )
     assert (rows[0].rows, rows[1].rows) == (2, 1)
     K.write_insert_sql(df, str(tmp_path / "sql"), ALL, "items", batch=1)
@@ -100,10 +100,10 @@ def test_bulk_documents(spark, tmp_path):
     df = typed(spark, tmp_path)
     docs = [json.loads(r.value) for r in K.bulk_documents(df, ALL, "items").orderBy("line_no").collect()]
     first = docs[0]["insert"]
-    assert first["index"] == "items" and first["id"] == 12345
-    assert first["doc"]["c11"] == {"key": "it's"} and first["doc"]["c9"] == [1, 2, 3]
-    assert first["doc"]["c6"] is True and first["doc"]["c4"] == 9223372036854775807
-    assert docs[1]["insert"]["doc"]["c11"] == {} and "c11" not in docs[2]["insert"]["doc"]
+    assert first["index"] == "items" and first["id"] == 310
+    assert first["doc"]["extra"] == {"maker": "joe's"} and first["doc"]["tags"] == [4, 5]
+    assert first["doc"]["listed"] is True and first["doc"]["seller"] == -9223372036854775808
+    assert docs[1]["insert"]["doc"]["extra"] == {} and "extra" not in docs[2]["insert"]["doc"]
     K.write_bulk_ndjson(df, str(tmp_path / "nd"), ALL, "items", cluster="main", batch=2)
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "nd")).collect()]
     assert len(lines) == 3 and all(x["insert"]["cluster"] == "main" for x in lines)
@@ -170,7 +170,7 @@ def test_query_copies(spark):
     sql = "SELECT sum(v) AS s FROM t"
     with pytest.raises(Q.QueryError):
         Q.query(spark, "  ")
-    with pytest.raises(Q.QueryError, match="valid range 0-2"):
+    with pytest.raises(Q.QueryError, match="no copy 3 among 3"):
         Q.query_target(spark, sql, names, 3)
     one = Q.query_target(spark, sql, names, 2).count()
     assert one.columns == [{"name": "s", "type": "bigint"}] and one.row_count == 1
@@ -181,6 +181,12 @@ def test_query_copies(spark):
     assert {(r.source_index, r.s) for r in out.df.collect()} == {(0, 10), (2, 30)}
     assert Q.query_all(spark, sql, [names[0], names[2]]).status == "ok"
     assert Q.query_all(spark, sql, [names[1]]).status == "error"
+    # a copy that fails only as it runs, and a result whose names repeat
+    spark.sql(f"CREATE VIEW {names[1]}.t AS SELECT id, CAST(concat('x', id) AS INT) AS v FROM range(5)")
+    assert Q.query_any(spark, sql, [names[1], names[2]]).source_index == 1
+    out = Q.query_all(spark, "SELECT id, id FROM t WHERE v >= 0", names)
+    assert out.status == "partial" and [r.row_count for r in out.results] == [5, None, 5]
+    assert out.results[0].df.columns == ["id", "id"]
     assert spark.catalog.currentDatabase() == "default"
 
 
