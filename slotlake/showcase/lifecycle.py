@@ -391,6 +391,31 @@ def stream_import(spark, sf_dir):
     return ST.delta_rows(spark, target, EVENT_COLUMNS)
 
 
+def _headed_events(spark, sf_dir):
+    """`events` as lines without quotes or ids, a header on top of every file."""
+    line = text_of(F.col("user_id"), ",", F.col("event_type"), ",", F.col("value"), ",{}")
+    return write_lines(
+        table(spark, sf_dir, "events"), line, "event_id", "events", header="user,kind,value,props"
+    )
+
+
+def stream_with_header(spark, sf_dir):
+    """Files with headers, found out, in several batches: ids run on from 1."""
+    target, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    source = _headed_events(spark, sf_dir)
+    _stream(spark, source, target, checkpoint, header=None, auto_id=True, max_files_per_batch=3)
+    return ST.delta_rows(spark, target, EVENT_COLUMNS).drop("id")
+
+
+def stream_indexer(spark, sf_dir):
+    """The indexer method: ids from 0, without a gap over batches and headers."""
+    target, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    source = _headed_events(spark, sf_dir)
+    _stream(spark, source, target, checkpoint, header=True, method="indexer", max_files_per_batch=3)
+    ids = ST.delta_rows(spark, target, EVENT_COLUMNS)
+    return ids.select("id")
+
+
 def stream_rejects(spark, sf_dir):
     target, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
     _stream(spark, _event_files(spark, sf_dir), target, checkpoint)
@@ -533,6 +558,11 @@ QUERIES = {
         UNION ALL SELECT *, 2, 'partial', (SELECT count(*) FROM b) FROM b""",
     ),
     "stream_import": (stream_import, f"{_EVENTS_SQL} WHERE event_type <> 'error'"),
+    "stream_with_header": (
+        stream_with_header,
+        """SELECT user_id AS "user", event_type AS kind, value, '{}' AS props FROM events""",
+    ),
+    "stream_indexer": (stream_indexer, "SELECT row_number() OVER () - 1 AS id FROM events"),
     "stream_rejects": (
         stream_rejects,
         """SELECT 'value' AS "column", 'invalid float' AS reason, count(*) AS rows

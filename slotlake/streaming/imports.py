@@ -6,90 +6,125 @@ so a batch that is replayed after a failure leaves no duplicates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from slotlake.functions import rows as R
+from slotlake.functions.records import delimiter_of, split_plain
 from slotlake.operators import numbering as N
 from slotlake.plans.lake import Lake
 from slotlake.schema import Column, delta_name, struct_type
-from slotlake.session import path_exists
+from slotlake.session import literal_path, path_exists
 from slotlake.sinks.files import write_rejects
-from slotlake.sources.delimited import cells_of_lines, layout_summary, line_layout
+from slotlake.sources.delimited import cells_of_lines, has_header, layout_summary, line_layout
 
 REJECTED = "rejected"
 PROGRESS_DDL = (
-    "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint, upto bigint"
+    "batch_id bigint, processed bigint, failed bigint, last_line bigint, records bigint, upto bigint, files bigint"
 )
 
 
-def _converted_batch(
-    batch: DataFrame, batch_id: int, columns: list[Column], target: str, sep: str, auto_id: bool
-) -> DataFrame:
-    """Typed rows of one micro-batch; line numbers (and made ids) go on after the
-    batches before it."""
+@dataclass(frozen=True)
+class Feed:
+    """How the files of a stream are read.
+
+    `header` None looks at the first file of each batch; with headers every file
+    has one. Method `indexer` splits plain lines, makes ids from 0 and takes any
+    boolean; `bulk` parses quotes, and `auto_id` makes ids from 1. Ids and line
+    numbers run on over all batches. `sep` None goes by the source's extension.
+    """
+
+    columns: list[Column]
+    target: str
+    sep: str = ","
+    auto_id: bool = False
+    header: bool | None = False
+    method: str = "bulk"
+
+
+def _converted_batch(batch: DataFrame, batch_id: int, feed: Feed) -> tuple[DataFrame, int, int]:
+    """Typed rows of one micro-batch, and its records and files so far in all batches."""
     spark = batch.sparkSession
     scan = (
         batch.where(F.col("value") != "")
         .withColumnRenamed("value", "record")
         .withColumn(N.POS, F.monotonically_increasing_id())
     )
-    width = len(columns) if auto_id else len(columns) + 1
-    layout = line_layout(scan, sep)
-    head = layout_summary(layout)
-    scan, layout = cells_of_lines(spark, scan, layout, sep, width, head.open > 0)
+    if feed.method == "indexer":
+        layout = N.block_layout(scan)
+        head = layout.agg(F.count("*").alias("blocks"), F.min(N.FILE).alias("file")).head()
+        scan = scan.select(split_plain(F.col("record"), feed.sep).alias("cells"), *N.SCAN_COLUMNS)
+    else:
+        width = len(feed.columns) if feed.auto_id else len(feed.columns) + 1
+        layout = line_layout(scan, feed.sep)
+        head = layout_summary(layout)
+        scan, layout = cells_of_lines(spark, scan, layout, feed.sep, width, head.open > 0)
+    header = feed.header
+    if header is None:
+        header = head.file is not None and has_header(spark, literal_path(unquote(head.file)), feed.sep)
     numbered = N.number_records(scan, layout, head.blocks)
-    line = F.col("record_no") + F.lit(_records_before(spark, target, batch_id))
-    if auto_id:
-        numbered = numbered.withColumn("cells", F.concat(F.array(line.cast("string")), "cells"))
-    return R.convert_rows(numbered.select(line.alias("line_no"), "cells"), columns)
+    records, files = _totals_before(spark, feed.target, batch_id)
+    line = F.col("record_no") + F.lit(records)
+    number = line
+    if header:
+        numbered = numbered.where(F.col("file_record_no") > 1)
+        number = line - F.col("file_no") - F.lit(files)
+    if feed.method == "indexer":
+        number = number - 1
+    if feed.auto_id or feed.method == "indexer":
+        numbered = numbered.withColumn("cells", F.concat(F.array(number.cast("string")), "cells"))
+    seen = layout.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_distinct(N.FILE).alias("files")
+    ).head()
+    converted = R.convert_rows(
+        numbered.select(line.alias("line_no"), "cells"), feed.columns, feed.method == "indexer"
+    )
+    return converted, records + seen.records, files + seen.files
 
 
-def _records_before(spark: SparkSession, target: str, batch_id: int) -> int:
-    """Records of all earlier batches. Each batch's progress has the running total,
-    so the one before tells; only if that is missing all are looked at."""
+def _totals_before(spark: SparkSession, target: str, batch_id: int) -> tuple[int, int]:
+    """Records and files of all earlier batches. Each batch's progress has the running
+    totals, so the one before tells; only if that is missing all are looked at."""
     last = f"{target}/progress/batch_id={batch_id - 1}"
     if path_exists(spark, last):
-        return spark.read.schema("upto bigint").parquet(last).head().upto
+        row = spark.read.schema("upto bigint, files bigint").parquet(last).head()
+        return row.upto, row.files
     # This batch's own entry does not count when it is replayed.
     earlier = progress(spark, target).where(F.col("batch_id") < batch_id)
-    return earlier.agg(F.coalesce(F.max("upto"), F.lit(0))).head()[0]
+    zero = F.lit(0)
+    row = earlier.agg(F.coalesce(F.max("upto"), zero), F.coalesce(F.max("files"), zero)).head()
+    return row[0], row[1]
 
 
-def _write_batch(
-    batch: DataFrame,
-    batch_id: int,
-    columns: list[Column],
-    target: str,
-    sep: str,
-    auto_id: bool,
-) -> None:
+def _write_batch(batch: DataFrame, batch_id: int, feed: Feed) -> None:
     spark = batch.sparkSession
-    converted = _converted_batch(batch, batch_id, columns, target, sep, auto_id)
-    out = f"{target}/data/batch_id={batch_id}"
+    converted, upto, files = _converted_batch(batch, batch_id, feed)
+    out = f"{feed.target}/data/batch_id={batch_id}"
+    seen = Observation(f"batch-{uuid.uuid4().hex}")
     (
         converted.withColumn(REJECTED, F.col(R.REJECT).isNotNull())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(REJECTED)
-        .parquet(out)
-    )
-    # Counters come from what was committed.
-    done = spark.read.schema(f"line_no bigint, {REJECTED} boolean").parquet(out)
-    (
-        done.agg(
+        .observe(
+            seen,
             F.count_if(~F.col(REJECTED)).alias("processed"),
             F.count_if(F.col(REJECTED)).alias("failed"),
             F.coalesce(F.max("line_no"), F.lit(0)).alias("last_line"),
-            F.count("*").alias("records"),
         )
-        .withColumn("upto", F.col("records") + F.lit(_records_before(spark, target, batch_id)))
-        .coalesce(1)
         .write.mode("overwrite")
-        .parquet(f"{target}/progress/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(REJECTED)
+        .parquet(out)
+    )
+    done = seen.get
+    row = (done["processed"], done["failed"], done["last_line"], done["processed"] + done["failed"], upto, files)
+    schema = PROGRESS_DDL.removeprefix("batch_id bigint, ")
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(
+        f"{feed.target}/progress/batch_id={batch_id}"
     )
 
 
@@ -99,7 +134,7 @@ def progress(spark: SparkSession, target: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], PROGRESS_DDL)
     return spark.read.schema(PROGRESS_DDL).parquet(path).select(
-        "batch_id", "processed", "failed", "last_line", "records", "upto"
+        "batch_id", "processed", "failed", "last_line", "records", "upto", "files"
     )
 
 
@@ -109,19 +144,22 @@ def stream_import(
     columns: list[Column],
     target: str,
     checkpoint: str,
-    sep: str = ",",
+    sep: str | None = None,
     auto_id: bool = False,
     max_files_per_batch: int | None = None,
     available_now: bool = True,
+    header: bool | None = False,
+    method: str = "bulk",
 ) -> StreamingQuery:
-    """Import the files of a directory, and files that arrive later.
+    """Import the files of a directory, and files that arrive later (see `Feed`).
 
-    Files carry no header. Batches follow the arrival of files, records in a batch
-    the file order. A restart on the same checkpoint goes on after the last finished
-    batch. With `auto_id` ids run on over all batches.
+    Batches follow the arrival of files, records in a batch the file order. A
+    restart on the same checkpoint goes on after the last finished batch.
     """
+    how = Feed(columns, target, sep or delimiter_of(source), auto_id, header, method)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, columns, target, sep, auto_id)
+        _write_batch(batch, batch_id, how)
 
     return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
 
@@ -132,11 +170,13 @@ def stream_into_delta(
     source: str,
     target: str,
     checkpoint: str,
-    sep: str = ",",
+    sep: str | None = None,
     auto_id: bool = False,
     max_files_per_batch: int | None = None,
     available_now: bool = True,
     feed: str = "stream",
+    header: bool | None = False,
+    method: str = "bulk",
 ) -> StreamingQuery:
     """Live feed of a table: good rows go to its delta table, where the unified view
     shows them at once, and rejects to the lake's reject table.
@@ -148,9 +188,10 @@ def stream_into_delta(
     spark = lake.spark
     columns = lake.registry.get(table).columns
     lake.create_table(delta_name(table))
+    how = Feed(columns, target, sep or delimiter_of(source), auto_id, header, method)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, columns, target, sep, auto_id)
+        _write_batch(batch, batch_id, how)
         load = f"{feed}-{batch_id}"
         written = _read_batches(spark, f"{target}/data/batch_id={batch_id}", columns)
         lake.append_delta(table, written.where(~F.col(REJECTED)), load)
