@@ -51,6 +51,7 @@ class Feed:
 def _converted_batch(batch: DataFrame, batch_id: int, feed: Feed) -> tuple[DataFrame, int, int]:
     """Typed rows of one micro-batch, and its records and files so far in all batches."""
     spark = batch.sparkSession
+    raw = batch.withColumn(N.POS, F.monotonically_increasing_id())
     scan = (
         batch.where(F.col("value") != "")
         .withColumnRenamed("value", "record")
@@ -61,10 +62,9 @@ def _converted_batch(batch: DataFrame, batch_id: int, feed: Feed) -> tuple[DataF
         head = layout.agg(F.count("*").alias("blocks"), F.min(N.FILE).alias("file")).head()
         scan = scan.select(split_plain(F.col("record"), feed.sep).alias("cells"), *N.SCAN_COLUMNS)
     else:
-        width = len(feed.columns) if feed.auto_id else len(feed.columns) + 1
         layout = line_layout(scan, feed.sep)
         head = layout_summary(layout)
-        scan, layout = cells_of_lines(spark, scan, layout, feed.sep, width, head.open > 0)
+        scan, layout = cells_of_lines(raw, scan, layout, feed.sep, head.open > 0)
     header = feed.header
     if header is None:
         header = head.file is not None and has_header(spark, literal_path(unquote(head.file)), feed.sep)

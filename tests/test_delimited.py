@@ -207,3 +207,91 @@ def test_numbers_with_many_blocks(spark, tmp_path, monkeypatch):
         assert rows.where("id <> v + 1 or line_no <> v + 2 + floor(v / 600)").count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+# --- records over lines, in small blocks ------------------------------------------
+
+
+def brute_records(text):
+    """One pass over the lines: a record goes on while a quote is open."""
+    import re
+
+    field = r',(?:"[^"]*(?:(?:""|"(?!,|\Z|"))[^"]*)*"(?=,|\Z)|(?!")[^,]*)'
+    closed = re.compile(rf"(?:{field})*\Z")
+    cut = re.compile(r',("[^"]*(?:(?:""|"(?!,|\Z|"))[^"]*)*"(?=,|\Z)|(?!")[^,]*|"[^,]*)')
+    lines = [x.removesuffix("\r") for x in text.split("\n")]
+    if lines and lines[-1] == "":
+        lines.pop()
+    out, held = [], None
+    for line in lines:
+        if held is None and line == "":
+            continue
+        held = line if held is None else f"{held}\n{line}"
+        if closed.match("," + held):
+            out.append(held)
+            held = None
+    if held is not None:
+        out.append(held)
+    return [
+        [f[1:-1].replace('""', '"') if f.startswith('"') else f for f in cut.findall("," + r)] for r in out
+    ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_text_gives_the_same_records_in_any_blocks(spark, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    path = tmp_path / "r"
+    path.mkdir()
+    want = []
+    for k in range(2):
+        pieces = ["a", "b", ",", '"', '""', "\n", "\r\n", '","', '"x', 'y"', " ", "\n\n", ',"q",']
+        body = "".join(rng.choice(pieces) for _ in range(400)) + '"\n1,2\n'
+        text = f'k{k},"v"\n' + body
+        (path / f"f{k}.csv").write_bytes(text.encode())
+        want += brute_records(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = D.read_delimited(spark, str(path), 2, header=False, auto_id=False).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.line_no for r in got] == list(range(1, len(want) + 1))
+    closed = len(want) - 1  # a record that never ends is cut by its own rules
+    assert [list(r.cells) for r in got][:closed] == want[:closed]
+
+
+def test_cells_do_not_depend_on_other_lines(spark, tmp_path):
+    plain = 'id,t\n1," a "\n2,x\r\n'
+    path = put(tmp_path, "a.csv", plain + '3,"p\r\nq"\n')
+    rows = read(spark, path, 1, header=True)
+    assert rows[-1] == (4, ["3", "p\nq"])
+    alone = read(spark, put(tmp_path, "b.csv", plain), 1, header=True)
+    assert rows[: len(alone)][1:] == alone[1:]
+
+
+def test_one_stray_quote_leaves_the_file_split(spark, tmp_path):
+    path = str(tmp_path / "big")
+    line = F.when(F.col("id") == 10_000, F.lit('7,"bad"x,1')).otherwise(F.concat(F.col("id"), F.lit(',"t",1')))
+    spark.range(0, 20_000, 1, 1).select(line.alias("value")).write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = D.read_delimited(spark, path, 2, header=False)
+        assert df.count() == 19_999
+        spread = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(spread) > 3 and max(r["count"] for r in spread) < 15_000
+
+
+def test_header_of_a_directory_is_that_of_its_first_file(spark, tmp_path):
+    (tmp_path / "d[1]").mkdir()
+    (tmp_path / "d[1]" / "a.csv").write_text("name,n\n")
+    (tmp_path / "d[1]" / "b.csv").write_text("1,2\n" * 1000)
+    from slotlake.session import literal_path
+
+    assert D.has_header(spark, literal_path(str(tmp_path / "d[1]")))
