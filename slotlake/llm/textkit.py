@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 # The word separators of the contracts: [\x20\x09-\x0D].
 SEPARATOR = np.zeros(256, bool)
