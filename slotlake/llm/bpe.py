@@ -26,8 +26,8 @@ class Chunking:
     anew when full; it has no bearing on results."""
 
     bits: int = 7
-    chunks: int = 60_000
-    pieces: int = 300_000
+    chunks: int = 20_000
+    pieces: int = 250_000
 
 
 @lru_cache(2)
@@ -137,9 +137,9 @@ class ChunkCache:
                 piece = raw[a:b]
                 if not chunk:
                     windows.append(piece)
-                elif piece in self.chunks:
+                elif piece in self.chunks or piece in fresh:
                     self.reused += 1
-                elif piece not in fresh:
+                else:
                     fresh[piece] = piece.split()
         wanted = set(windows)
         for words in fresh.values():
