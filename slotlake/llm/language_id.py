@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from slotlake.llm import textkit as kit
 from slotlake.llm.common import arrow_schema, extended
-from slotlake.session import materialize
+from slotlake.session import broadcast_if_small, materialize
 
 WORD_LEVEL = 0  # of the model's entries; other levels are n-gram lengths
 UNDETERMINED = "und"
@@ -125,7 +125,10 @@ def fit(labelled: DataFrame, profile: Profile = Profile()) -> DataFrame:
     scale = 1 << 40
     share = F.least(F.lit(1.0), F.lit(float(profile.sample_docs)) / F.col("docs"))
     limits = sizes.select("lang", (share * scale).cast("long").alias("limit"))
-    # One row a language; a language with many texts is split by the planner.
+    # A row a language: broadcast while their number is small, so no text is shuffled
+    # by language before the sample is drawn.
+    limits = materialize(limits, "language-limits")
+    limits = broadcast_if_small(limits, limits.count(), 200)
     drawn = rows.join(limits, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < F.col("limit"))
     counts = (
         drawn.select("text", "lang")
