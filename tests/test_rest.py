@@ -231,7 +231,7 @@ def test_replayed_batch_leaves_no_duplicates(spark, tmp_path):
         F.col("_metadata.file_block_start").alias(N.BLOCK),
     )
     for _ in range(2):
-        ST._write_batch(lines, 0, COLS, out, ",", False)
+        ST._write_batch(lines, 0, ST.Feed(COLS, out))
     assert ST.delta_rows(spark, out, COLS).count() == 2
     assert ST.progress(spark, out).head().records == 2
 
