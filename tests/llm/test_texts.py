@@ -189,6 +189,16 @@ def test_noise_is_rejected_and_clean_text_kept(spark, documents):
     assert len(kept) > 0.8 * clean.count()
 
 
+def test_a_third_of_junk_leaves_the_filter_on(documents):
+    clean = documents.filter("lang = 'en' AND n_chars > 300")
+    marked = clean.withColumn("text", F.regexp_replace("text", r"(\w)(\s|$)", "$1%%%$2"))
+    junk = marked.withColumn("doc_id", F.col("doc_id") + 100_000).limit(clean.count() // 2)
+    judged = quality.judge(clean.unionByName(junk)).filter("NOT base_failed").collect()
+    kept = lambda rows: sum(r.kept for r in rows) / len(rows)
+    assert kept([r for r in judged if r.doc_id >= 100_000]) < 0.05
+    assert kept([r for r in judged if r.doc_id < 100_000]) > 0.8
+
+
 def test_small_model_budget_gives_the_same_verdicts(documents):
     few = quality.Rules(model_bytes=1)  # a language at a time
     rows = lambda df: sorted((r.doc_id, r.kept, round(r.log_perplexity or 0, 9)) for r in df.collect())
