@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -24,7 +25,7 @@ class Forest:
 
     Each of `trees` tries sorts the signatures by labels of `depth` values. Prefixes
     are matched at that depth first, and shortened by one value at a time until the
-    estimated share of similar pairs that meet in some trie reaches `recall`.
+    chance to meet in some trie reaches `recall` for pairs at the threshold itself.
     Candidates whose signatures agree in less than `prune` of the values are dropped
     (at 80 % similarity that is over seven standard deviations away). `block` is how
     many texts a verifying task compares with as many others. `small_rows` is how
@@ -105,10 +106,8 @@ def sign(forest: Forest, schema: pa.Schema):
 # --- candidates -------------------------------------------------------------------
 
 
-def matches(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    """id, center: sets whose labels share a prefix of `depth` values in some tree,
-    each with the least id of its prefix. A prefix shared by any number of sets is
-    summed up where the rows are, and gives as many pairs as it has sets."""
+def prefixes(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
+    """id, key: the prefix of `depth` values of a set's label in each tree."""
     keys = F.array(
         *[
             F.xxhash64(
@@ -117,14 +116,25 @@ def matches(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
             for t in range(forest.trees)
         ]
     )
-    rows = sets.select("id", F.explode(keys).alias("key"))
+    return sets.select("id", F.explode(keys).alias("key"))
+
+
+def matches(rows: DataFrame, round_: int = 0) -> DataFrame:
+    """id, key, center: rows (id, key) whose key others share, each with the centers of
+    its key: 1, 2, 4 and up to 32 rows, by the round, that come first by a hash of their
+    id. A key shared by any number of sets is summed up where the rows are."""
+    n = 1 << min(round_, 5)
+    first = [F.min_by("id", F.xxhash64("id", F.lit(round_), F.lit(k))) for k in range(n)]
     centers = (
         rows.groupBy("key")
-        .agg(F.min("id").alias("center"), F.count(F.lit(1)).alias("n"))
+        .agg(F.array_distinct(F.array(*first)).alias("centers"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .drop("n")
     )
-    return rows.join(centers, "key").filter("id <> center").select("id", "center").distinct()
+    met = rows.join(centers, "key").filter(~F.array_contains("centers", F.col("id")))
+    between = centers.filter("size(centers) > 1").select(F.explode("centers").alias("id"), "key", "centers")
+    met = met.select("id", "key", "centers").unionByName(between)
+    return met.select("id", "key", F.explode("centers").alias("center")).filter("id <> center")
 
 
 def agreement(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,13 +158,41 @@ def agreement(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def met_pairs(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
+    """id, center, estimate of the pairs that are looked at for prefixes of `depth`.
+
+    A set that agrees with its center in `stay` of the values or more is done with the
+    key: what is similar to it is near that center, too. All others, so those whose
+    center is unlike, get further centers from among themselves until none is left.
+    """
+    stay = forest.prune + 1 - forest.percent / 100
+    rows = prefixes(sets, forest, depth)
+    parts, round_ = [], 0
+    while True:
+        met = materialize(matches(rows, round_), "near-met")
+        pairs = materialize(agreement(met.select("id", "center").distinct(), sets), f"near-pairs-{depth}")
+        parts.append(pairs)
+        # Centers are done: all sets of the key were compared with them.
+        done = met.join(pairs.filter(F.col("estimate") >= stay), ["id", "center"]).select("id", "key")
+        done = done.unionByName(met.select(F.col("center").alias("id"), "key")).distinct()
+        rows = met.select("id", "key").distinct().join(done, ["id", "key"], "left_anti")
+        rows = materialize(rows, "near-left")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, parts).distinct()
+        round_ += 1
+
+
 def candidates(sets: DataFrame, forest: Forest) -> DataFrame:
     """a, b: links of the candidate graph, from prefixes shortened until the target
-    recall. A found pair of similarity s stands for 1 / p(s) pairs, where p(s) is the
-    chance to share a prefix in some tree, so the found share is estimated from the
-    found pairs alone."""
+    recall holds for pairs at the threshold, and for the found pairs: a found pair of
+    similarity s stands for 1 / p(s) pairs, where p(s) is the chance to share a prefix
+    in some tree. The pairs of all depths are kept."""
+    kept = []
     for depth in range(forest.depth, 0, -1):
-        pairs = materialize(agreement(matches(sets, forest, depth), sets), f"near-pairs-{depth}")
+        pairs = met_pairs(sets, forest, depth)
+        kept.append(pairs.filter(F.col("estimate") >= forest.prune))
+        if depth > 1 and threshold_recall(forest, depth) < forest.recall:
+            continue
         near = F.greatest("estimate", F.lit(forest.percent / 100))
         chance = 1 - F.pow(1 - F.pow(near, depth), F.lit(float(forest.trees)))
         found, stand_for = (
@@ -162,12 +200,15 @@ def candidates(sets: DataFrame, forest: Forest) -> DataFrame:
             .agg(F.count(F.lit(1)), F.sum(1 / chance))
             .first()
         )
-        if depth == 1 or found >= forest.recall * (stand_for or 0.0) and (
-            1 - (1 - (forest.percent / 100) ** depth) ** forest.trees >= 0.99
-        ):
+        if depth == 1 or found >= forest.recall * (stand_for or 0.0):
             break
-    kept = pairs.filter(F.col("estimate") >= forest.prune)
-    return kept.select(F.col("id").alias("a"), F.col("center").alias("b"))
+    links = reduce(DataFrame.unionByName, kept)
+    return links.select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+
+
+def threshold_recall(forest: Forest, depth: int) -> float:
+    """The chance that a pair at the threshold shares a prefix in some tree."""
+    return 1 - (1 - (forest.percent / 100) ** depth) ** forest.trees
 
 
 # --- components -------------------------------------------------------------------

@@ -107,6 +107,28 @@ def test_prefixes_are_shortened_to_the_recall(spark):
     assert found(near_dup.link(df)) == brute_links(rows)
 
 
+def test_pairs_at_the_threshold_reach_the_recall(spark, monkeypatch):
+    depths = []
+    monkeypatch.setattr(near_dup, "materialize", lambda df, name: depths.append(name) or df.localCheckpoint())
+    rows = family(random.Random(4), 0, 200, 9)  # easy copies
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(near_dup.link(df)) == brute_links(rows)
+    deepest = min(int(d.rsplit("-", 1)[1]) for d in depths if d.startswith("near-pairs-"))
+    assert 1 - (1 - 0.8**deepest) ** 24 >= near_dup.Forest().recall
+
+
+def test_rows_behind_an_unlike_center_are_linked(spark):
+    # All share the first values of the one tree; 0 is unlike both 1 and 2, which are alike.
+    forest = near_dup.Forest(trees=1, depth=4)
+
+    def sig(*values):
+        return np.array(values, ">u4").tobytes()
+    rows = [(0, sig(1, 7, 7, 7)), (1, sig(1, 2, 3, 4)), (2, sig(1, 2, 3, 4)), (3, sig(9, 9, 9, 9))]
+    sets = spark.createDataFrame(rows, "id long, sig binary")
+    links = near_dup.met_pairs(sets, forest, 1).filter("estimate >= 0.5").collect()
+    assert {frozenset((r.id, r.center)) for r in links} == {frozenset((1, 2))}
+
+
 # --- top-k ------------------------------------------------------------------------
 
 
