@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotlake.llm import bpe, language_id, licenses, mixing, near_dup, pii, quality, sharding, topk, warc
+from slotlake.llm import (
+    bpe, compression, hamming_join, language_id, licenses, mixing, near_dup, pii, quality, sharding, spelling, topk, warc,
+)
 from slotlake.llm.common import table
 from slotlake.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -65,6 +67,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.find_components(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.code_table(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_exact_top_k": op2_exact_top_k,
@@ -76,4 +90,7 @@ QUERIES = {
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_hamming_near_dup": op12_hamming_near_dup,
+    "op13_vector_codes": op13_vector_codes,
 }
