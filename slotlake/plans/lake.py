@@ -7,34 +7,25 @@ never a mix, and running queries keep the files they planned with.
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotlake.functions import rows as R
+from slotlake.plans.commits import CommitLog
+from slotlake.plans.delta import Ledger, loads_name
 from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
-from slotlake.session import (
-    create_new,
-    delete_path,
-    marked_before,
-    path_exists,
-    read_small_text,
-    replace_text,
-    touch,
-)
+from slotlake.session import delete_path, marked_before, path_exists, touch
 from slotlake.sinks.files import write_rejects
 from slotlake.sources.datasets import load_prebuilt
 from slotlake.sources.delimited import read_delimited, read_lines_split
 
-SLOT_PROPERTY = "slotlake.slot"
 REJECTED = "rejected"
-LOAD_ID = "load_id"
 DROPPED = "_DROPPED"
 
 
@@ -103,27 +94,21 @@ class Lake:
         return self.registry.for_derived(name).struct
 
     def create_table(self, name: str, location: str | None = None) -> bool:
-        """Typed table under the schema of its base name; a no-op if it exists.
-
-        Delta tables are partitioned by the load that brought the rows, so that a
-        load can be repeated without leaving its rows twice.
-        """
+        """Typed table under the schema of its base name; a no-op if it exists. A delta
+        table is a view over its loads (see `Ledger`)."""
+        if name.endswith("_delta"):
+            return self.delta(base_name(name)).create()
         schema = self.registry.for_derived(name).struct
         if self.exists(name):
             return False
-        location = location or self.new_location(name)
-        if name.endswith("_delta"):
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-            self.spark.sql(
-                f"CREATE TABLE {self.sql_name(name)} ({columns}, {LOAD_ID} STRING) "
-                f"USING parquet PARTITIONED BY ({LOAD_ID}) LOCATION '{location}'"
-            )
-        else:
-            self.spark.catalog.createTable(
-                f"{self.database}.{name}", path=location, source="parquet", schema=schema
-            )
+        self.spark.catalog.createTable(
+            f"{self.database}.{name}", path=location or self.new_location(name), source="parquet", schema=schema
+        )
         return True
 
+    def delta(self, table: str) -> Ledger:
+        return Ledger(self, table)
+
     def rows_of(self, name: str) -> DataFrame:
         """Declared columns of a slot, delta or unified table."""
         return self.table(name).select(
@@ -156,12 +141,16 @@ class Lake:
             gone += marked_before(self.spark, pattern, grace)
         for location in gone:
             delete_path(self.spark, location)
-        return len(gone)
+        hidden = [
+            self.delta(name).vacuum(grace) for name in self.registry.names() if self.exists(delta_name(name))
+        ]
+        return len(gone) + sum(hidden)
 
     def load_table(self, df: DataFrame, name: str) -> int:
         """Replace a table's rows by `df`; creates it if absent. Returns the rows."""
         if name.endswith("_delta"):
-            self._replace_delta(df, name)
+            self.create_table(name)
+            self.delta(base_name(name)).replace(self._typed(name, df))
         else:
             location = self.new_location(name)
             self._typed(name, df).write.parquet(location)
@@ -169,68 +158,28 @@ class Lake:
             self.create_table(name, location)
         return self.table(name).count()
 
-    def _replace_delta(self, df: DataFrame, name: str) -> None:
-        """Write the new rows first, then exchange the tables under the view.
-
-        While the delta table is built anew the view reads a table over the same new
-        files, so it shows the old rows or the new ones at any time. An error while
-        writing leaves everything as it was.
-        """
-        table, load = base_name(name), uuid.uuid4().hex
-        location = self.new_location(name)
-        part = f"{location}/{LOAD_ID}={load}"
-        self._typed(name, df).write.parquet(part)
-        slot = self.active_slot(table)
-        interim = f"{table}_next"
-        if slot:
-            self.drop_table(interim, keep_files=True)
-            self.spark.catalog.createTable(
-                f"{self.database}.{interim}", path=part, source="parquet",
-                schema=self.registry.get(table).struct,
-            )
-            self._point_view(table, slot, interim)
-        self.drop_table(name, keep_files=True)
-        self.create_table(name, location)
-        self._add_load(name, load, part)
-        if slot:
-            self._point_view(table, slot, name)
-            self.spark.sql(f"DROP TABLE {self.sql_name(interim)}")  # its files stay
-
     def _typed(self, name: str, df: DataFrame) -> DataFrame:
         schema = self.registry.for_derived(name).struct
         return df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
 
-    def append_delta(self, table: str, df: DataFrame, load_id: str | None = None) -> None:
+    def append_delta(self, table: str, df: DataFrame, load_id: str | None = None) -> bool:
         """Live changes go to the delta table. A load that is repeated under its id
-        replaces what it wrote before."""
-        name, load = delta_name(table), load_id or uuid.uuid4().hex
-        part = f"{self.location_of(name)}/{LOAD_ID}={quote(load, safe='')}"
-        self._typed(name, df).write.mode("overwrite").parquet(part)
-        self._add_load(name, load, part)
-
-    def _add_load(self, name: str, load: str, part: str) -> None:
-        literal = load.replace("\\", "\\\\").replace("'", "\\'")
-        self.spark.sql(
-            f"ALTER TABLE {self.sql_name(name)} ADD IF NOT EXISTS "
-            f"PARTITION ({LOAD_ID} = '{literal}') LOCATION '{part}'"
-        )
-        self.spark.catalog.refreshTable(f"{self.database}.{name}")
-
-    def compact_delta(self, table: str) -> int:
-        """Rewrite the delta table's loads as one; returns how many there were. A load
-        that is repeated afterwards under its id adds its rows again, so compact only
-        what will not be repeated."""
-        name = delta_name(table)
-        loads = self.spark.sql(f"SHOW PARTITIONS {self.sql_name(name)}").count()
-        if loads > 1:
-            self._replace_delta(self.rows_of(name), name)
-        return loads
+        replaces what it wrote before, or adds nothing if that was compacted. Whether
+        the rows were taken."""
+        self.create_table(delta_name(table))
+        return self.delta(table).append(self._typed(delta_name(table), df), load_id)
+
+    def compact_delta(self, table: str, fan_in: int | None = None) -> int:
+        """Rewrite the delta table's loads as one, or, with `fan_in`, tier by tier;
+        returns how many loads there were (see `Ledger.compact`). Rows may be appended,
+        and loads repeated, at any time."""
+        return self.delta(table).compact(fan_in)
 
     def tables(self) -> DataFrame:
         """Name, type and (for unified tables) active slot of everything here."""
-        rows = []
+        rows, hidden = [], {loads_name(name) for name in self.registry.names()}
         for t in self.spark.catalog.listTables(self.database):
-            if t.isTemporary:
+            if t.isTemporary or t.name in hidden:
                 continue
             unified = t.tableType == "VIEW" and t.name in self.registry.tables
             rows.append(
@@ -248,25 +197,28 @@ class Lake:
         """Live slot, empty if the table has no unified view yet."""
         if not self.exists(table):
             return ""
-        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.sql_name(table)}")
-        hit = rows.where(F.col("key") == SLOT_PROPERTY).head()
-        return hit.value if hit else ""
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.sql_name(table)}")
+        hit = rows.where("col_name = 'View Text'").head()
+        return next((s for s in SLOTS if hit and f"`{main_name(table, s)}`" in hit.data_type), "")
 
     def swap(self, table: str, slot: str) -> None:
         """Point the unified view at a main slot (and the delta), in one step."""
         if slot not in SLOTS:
             raise ValueError(f"slot must be one of {SLOTS}, got {slot!r}")
-        self._point_view(table, slot, delta_name(table))
-
-    def _point_view(self, table: str, slot: str, delta: str) -> None:
         names = ", ".join(f"`{f.name}`" for f in self.registry.get(table).struct)
-        self.spark.sql(
-            f"CREATE OR REPLACE VIEW {self.sql_name(table)} "
-            f"TBLPROPERTIES ('{SLOT_PROPERTY}' = '{slot}') AS "
+        self.replace_view(
+            table,
             f"SELECT {names} FROM {self.sql_name(main_name(table, slot))} "
-            f"UNION ALL SELECT {names} FROM {self.sql_name(delta)}"
+            f"UNION ALL SELECT {names} FROM {self.sql_name(delta_name(table))}",
         )
 
+    def replace_view(self, name: str, select: str) -> None:
+        """Give a view its text in one step of the catalog. (CREATE OR REPLACE would drop
+        it first, and be two.)"""
+        if not self.exists(name):
+            self.spark.sql(f"CREATE VIEW IF NOT EXISTS {self.sql_name(name)} AS {select}")
+        self.spark.sql(f"ALTER VIEW {self.sql_name(name)} AS {select}")
+
     def rotate(self, table: str, new: str, old: str) -> None:
         """Make `new` live and drop `old`; both must be slots, and differ."""
         if new not in SLOTS or old not in SLOTS:
@@ -342,7 +294,7 @@ class Lake:
         header: bool | None = None,
         max_failed: int | None = None,
         part_lines: int | None = None,
-        resume: bool = False,
+        resume: bool | None = False,
     ) -> ImportReport:
         """Load a file into the idle slot, then swap it in and drop the old slot.
 
@@ -354,45 +306,52 @@ class Lake:
         given; each part reads the source again). After a part is written, the job's
         record says so. A failure leaves the finished parts, and `resume` goes on
         behind them, in the same slot: the table it swaps in holds all parts. It is
-        refused if there is no such job for this table and path. Without `resume` an
-        import starts anew and what an earlier job left is deleted.
+        refused if there is no such job for this table and path, or if that one read
+        the file otherwise; None resumes if there is one. With False an import starts
+        anew and what an earlier job left is deleted.
+
+        Every step is safe to repeat, so a job whose driver was lost at any point can be
+        resumed after `unlock_import`; if that one is alive after all, its next step is
+        refused.
         """
-        with self._only_import(table):
-            job = self._job(table)
-            if resume:
-                if not job or job["status"] != "failed" or job["path"] != path:
-                    raise ImportFailedError(f"{table}: no failed import of {path} to resume")
+        how = {"method": method, "header": header, "part_lines": part_lines}
+        with self._only_import(table) as (job, save):
+            again = job.get("status") == "failed" and job.get("path") == path
+            if resume and not again:
+                raise ImportFailedError(f"{table}: no failed import of {path} to resume")
+            if again and resume is not False:
+                if job["how"] != how:
+                    raise ImportFailedError(f"{table}: {path} was begun with {job['how']}")
             else:
-                if job and job["status"] != "completed":
+                if job.get("location") and job["status"] != "completed":
                     delete_path(self.spark, job["location"])
                 slot = other_slot(self.active_slot(table))
                 job = {
                     "job_id": uuid.uuid4().hex, "table": table, "path": path, "slot": slot,
-                    "location": self.new_location(main_name(table, slot)),
-                    "parts": [], "processed": 0, "failed": 0, "last_line": 0, "upto": 0,
+                    "location": self.new_location(main_name(table, slot)), "how": how,
+                    "parts": [], "processed": 0, "failed": 0, "last_line": 0, "upto": 0, "built": False,
                 }
             try:
-                self._save_job(job | {"status": "running", "error": ""})
-                self._build_slot(job, method, header, max_failed, part_lines)
-                self._finish_slot(job)
+                save(job | {"status": "running", "error": ""})
+                if not job["built"]:
+                    self._build_slot(job, save, max_failed)
+                self._finish_slot(job, save)
             except Exception as exc:
                 if not job["parts"]:
                     delete_path(self.spark, job["location"])
-                self._save_job(job | {"status": "failed", "error": str(exc).split("\n")[0]})
+                save(job | {"status": "failed", "error": str(exc).split("\n")[0]})
                 raise
-            self._save_job(job | {"status": "completed", "error": ""})
+            save(job | {"status": "completed", "error": ""})
         self.drop_table(main_name(table, other_slot(job["slot"])), keep_files=True)
         self.vacuum()
         return ImportReport(
             job["job_id"], table, job["slot"], job["processed"], job["failed"], job["last_line"]
         )
 
-    def _build_slot(
-        self, job: dict, method: str | None, header: bool | None, max_failed: int | None,
-        part_lines: int | None,
-    ) -> None:
+    def _build_slot(self, job: dict, save: Callable[[dict], None], max_failed: int | None) -> None:
         """Write the parts behind those that the job has; counts each as it is done."""
-        converted = self.read_source(job["table"], job["path"], method, header)
+        part_lines = job["how"]["part_lines"]
+        converted = self.read_source(job["table"], job["path"], job["how"]["method"], job["how"]["header"])
         while True:
             start = job["upto"]
             rest = R.after_line(converted, start) if start else converted
@@ -410,23 +369,27 @@ class Lake:
             job["failed"] = failed
             job["last_line"] = max(job["last_line"], counts["last_line"])
             job["upto"] = start + part_lines if part_lines else job["last_line"]
-            self._save_job(job | {"status": "running", "error": ""})
             full = part_lines and counts["processed"] + counts["failed"] == part_lines
-            if not part_lines or not (full or R.after_line(converted, job["upto"]).head(1)):
+            job["built"] = not part_lines or not (full or R.after_line(converted, job["upto"]).head(1))
+            save(job | {"status": "running", "error": ""})
+            if job["built"]:
                 return
 
-    def _finish_slot(self, job: dict) -> None:
+    def _finish_slot(self, job: dict, save: Callable[[dict], None]) -> None:
         """Make the parts a table, check its rows, store the rejects, and swap."""
         table, name = job["table"], main_name(job["table"], job["slot"])
         self.create_table(delta_name(table))
-        if job["failed"]:
-            bad = [f"{part}/{REJECTED}=true" for part in job["parts"]]
-            bad = [part for part in bad if path_exists(self.spark, part)]
+        if self.active_slot(table) == job["slot"] and self._is_at(name, job["location"]):
+            return  # swapped by a driver that was lost right behind it
+        bad = [f"{part}/{REJECTED}=true" for part in job["parts"]]
+        bad = [part for part in bad if path_exists(self.spark, part)]
+        if bad:
             rejects = self.spark.read.schema(f"{R.REJECT} {R.REJECT_TYPE}").parquet(*bad)
             if not self.rejects(job["job_id"]).head(1):
                 write_rejects(rejects.select(f"{R.REJECT}.*"), self.rejects_path, job["job_id"])
             for part in bad:
                 delete_path(self.spark, part)
+        save(job | {"status": "running", "error": ""})  # nobody has taken the job over
         self.drop_table(name, keep_files=True)
         self.spark.catalog.createTable(
             f"{self.database}.{name}", path=job["location"], source="parquet",
@@ -440,38 +403,52 @@ class Lake:
             )
         self.swap(table, job["slot"])
 
-    # --- the record of a table's import ----------------------------------------
-
-    def _record_path(self, table: str) -> str:
-        return f"{self.root}/_imports/{self.database}/{table}"
+    def _is_at(self, name: str, location: str) -> bool:
+        """Whether a table's files are in the folder of that (unique) name."""
+        folder = location.rstrip("/").rpartition("/")[2]
+        return self.exists(name) and self.location_of(name).rstrip("/").endswith("/" + folder)
 
-    def _job(self, table: str) -> dict | None:
-        path = f"{self._record_path(table)}/job.json"
-        if not path_exists(self.spark, path):
-            return None
-        return json.loads(read_small_text(self.spark, path))
+    # --- the record of a table's import ----------------------------------------
 
-    def _save_job(self, job: dict) -> None:
-        replace_text(self.spark, f"{self._record_path(job['table'])}/job.json", json.dumps(job))
+    def _imports(self, table: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.root}/_imports/{self.database}/{table}")
 
     @contextmanager
     def _only_import(self, table: str):
-        """Hold the table's import lock, a file that only one caller can create."""
-        lock = f"{self._record_path(table)}/_LOCK"
-        if not create_new(self.spark, lock):
-            raise DuplicateImportError(f"{table}: an import is running; see unlock_import()")
+        """Claim the table's import record; gives the record of the import before and a
+        function that writes it anew. Both the claim and every write are the next
+        record of a log, which only one caller can make."""
+        log, owner, before = self._imports(table), uuid.uuid4().hex, {}
+
+        def claim(state: dict) -> dict:
+            if state.get("status") == "running":
+                raise DuplicateImportError(f"{table}: an import is running; see unlock_import()")
+            before.clear()
+            before.update(state)
+            return state | {"table": table, "status": "running", "owner": owner}
+
+        def held(state: dict) -> bool:
+            return state.get("status") == "running" and state.get("owner") == owner
+
+        def save(job: dict) -> None:
+            def write(state: dict) -> dict:
+                if not held(state):
+                    raise ImportFailedError(f"{table}: another import has taken over")
+                return job | {"owner": owner}
+
+            log.update(write)
+
+        log.update(claim)
         try:
-            yield
+            yield dict(before), save
         finally:
-            delete_path(self.spark, lock)
+            log.update(lambda state: {"status": "idle"} | before if held(state) else None)
 
     def unlock_import(self, table: str) -> None:
-        """Release the lock that a lost driver left; its job counts as failed and can
+        """Take the import from a driver that is lost; its job counts as failed and can
         be resumed."""
-        job = self._job(table)
-        if job and job["status"] == "running":
-            self._save_job(job | {"status": "failed", "error": "the import was interrupted"})
-        delete_path(self.spark, f"{self._record_path(table)}/_LOCK")
+        taken = {"status": "failed", "error": "the import was interrupted"}
+        self._imports(table).update(lambda state: state | taken if state.get("status") == "running" else None)
 
     def import_jobs(self) -> DataFrame:
         """The record of the last import of each table."""
@@ -482,7 +459,10 @@ class Lake:
         )
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{path}/*/job.json")
+        records = self.spark.read.schema(schema).json(f"{path}/*/*.json")
+        row = F.struct(*records.columns)
+        newest = records.groupBy("table").agg(F.max_by(row, "_metadata.file_name").alias("job"))
+        return newest.select("job.*").where("job_id IS NOT NULL")
 
     def import_prebuilt(self, table: str, path: str) -> str:
         """Load a published dataset into the idle slot and swap it in."""

@@ -104,24 +104,6 @@ def folders_with(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(hit.getPath().getParent().toString() for hit in (fs.globStatus(jpath) or []))
 
 
-def create_new(spark: SparkSession, path: str) -> bool:
-    """Create an empty file unless it exists; whether this call made it."""
-    fs, jpath = hadoop_path(spark, path)
-    return bool(fs.createNewFile(jpath))
-
-
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file anew; the old one stays until the new one is complete."""
-    fs, jpath = hadoop_path(spark, path)
-    _, draft = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    fs.delete(jpath, False)
-    if not fs.rename(draft, jpath):
-        raise OSError(f"cannot write {path}")
-
-
 def touch(spark: SparkSession, path: str) -> None:
     """Create an empty marker file."""
     fs, jpath = hadoop_path(spark, path)

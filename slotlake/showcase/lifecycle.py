@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotlake.functions.names import last_segment
 from slotlake.plans import query as Q
 from slotlake.plans import snapshots as S
-from slotlake.plans.lake import DuplicateImportError, ImportFailedError
+from slotlake.plans.lake import DuplicateImportError, ImportFailedError, Lake
 from slotlake.schema import columns_of, delta_name, main_name
 from slotlake.session import delete_path, scratch_path
 from slotlake.showcase.common import (
@@ -89,6 +89,105 @@ def delta_compaction(spark, sf_dir):
     return lake.table("orders").withColumns({"loads": F.lit(before), "remaining": F.lit(after)})
 
 
+class _BusyLake(Lake):
+    """A lake to which something happens while a compaction has read its loads."""
+
+    meanwhile = None
+
+    def delta(self, table):
+        ledger = super().delta(table)
+        plain = ledger.write
+
+        def write(df):
+            part, task = plain(df), self.meanwhile
+            self.meanwhile = None
+            if task:
+                task()
+            return part
+
+        ledger.write = write
+        return ledger
+
+
+def _busy_lake(spark):
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    busy = _BusyLake(spark, lake.root, lake.registry, lake.database)
+    busy.ensure_tables()
+    return busy
+
+
+def append_during_compaction(spark, sf_dir):
+    """Two loads are compacted; a third one comes while they are being rewritten, and one
+    of the two is repeated then. Every row is there once, and the third is a load still."""
+    lake, rows = _busy_lake(spark), order_rows(spark, sf_dir)
+    for k in (0, 1):
+        lake.append_delta("orders", rows.where(F.col("id") % 3 == k), f"feed-{k}")
+    lake.meanwhile = lambda: lake.append_delta("orders", rows.where("id % 3 = 2"), "feed-2")
+    before = lake.compact_delta("orders")
+    return lake.table("orders").withColumns(
+        {"loads": F.lit(before), "remaining": F.lit(lake.compact_delta("orders"))}
+    )
+
+
+def replay_after_compaction(spark, sf_dir):
+    """Batches of a feed that are repeated after they were compacted, as a stream does
+    that lost its driver: they are known. A load replaced during a compaction stops it."""
+    lake, rows = _busy_lake(spark), order_rows(spark, sf_dir)
+    part = lambda k: rows.where(F.col("id") % 3 == k)
+    for k in (0, 1):
+        lake.append_delta("orders", part(k), f"feed-{k}")
+    lake.meanwhile = lambda: lake.append_delta("orders", part(1), "feed-1")
+    lake.compact_delta("orders")
+    stopped = lake.compact_delta("orders")
+    taken = [lake.append_delta("orders", part(k), f"feed-{k}") for k in (0, 1, 2)]
+    return lake.table("orders").withColumns(
+        {"loads_left": F.lit(stopped), "taken": F.lit(sum(taken)), "remaining": F.lit(lake.compact_delta("orders"))}
+    )
+
+
+def tiered_compaction(spark, sf_dir):
+    """Eight loads of like size, compacted by twos after each: the rows are there once,
+    in as many loads as eight has bits set, and a row was rewritten three times."""
+    lake, rows = new_lake(spark, "orders", ORDER_COLUMNS), order_rows(spark, sf_dir)
+    lake.ensure_tables()
+    for k in range(8):
+        lake.append_delta("orders", rows.where(F.pmod(F.hash("id"), F.lit(8)) == k), f"feed-{k}")
+        while True:
+            before = lake.delta("orders").log.latest()[1]["loads"]
+            lake.compact_delta("orders", fan_in=2)
+            if lake.delta("orders").log.latest()[1]["loads"].keys() == before.keys():
+                break
+    few = len(lake.delta("orders").log.latest()[1]["loads"]) <= 4
+    return lake.table("orders").withColumn("few_loads", F.lit(few))
+
+
+def interrupted_import(spark, sf_dir):
+    """An import whose driver is lost right behind its swap, taken over and resumed: the
+    record says completed, the table is whole, and the lost driver's next write is refused."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    path = _orders_file(spark, sf_dir)
+    refused, plain = [], lake.swap
+
+    def swap_and_vanish(table, slot):
+        plain(table, slot)
+        lake.unlock_import(table)  # by another driver
+
+    lake.swap = swap_and_vanish
+    try:
+        lake.import_table("orders", path)
+    except ImportFailedError as error:
+        refused.append(str(error))
+    lake.swap = plain
+    interrupted = lake.import_jobs().head().status
+    report = lake.import_table("orders", path, resume=None)
+    return lake.table("orders").withColumns(
+        {
+            "refused": F.lit(len(refused)), "interrupted": F.lit(interrupted),
+            "record": F.lit(lake.import_jobs().head().status), "slot": F.lit(report.slot),
+        }
+    )
+
+
 def swap_then_read(spark, sf_dir):
     """Two imports; the second one is live and in the other slot."""
     lake = _live_lake(spark, sf_dir)
@@ -521,6 +620,20 @@ QUERIES = {
     ),
     "backup_restore": (backup_restore, f"WITH o AS ({ORDERS_SQL}) SELECT *, 'a' AS slot FROM o"),
     "delta_restore": (delta_restore, ORDERS_SQL),
+    "append_during_compaction": (
+        append_during_compaction,
+        f"WITH o AS ({ORDERS_SQL}) SELECT *, 2 AS loads, 2 AS remaining FROM o",
+    ),
+    "replay_after_compaction": (
+        replay_after_compaction,
+        f"WITH o AS ({ORDERS_SQL}) SELECT *, 2 AS loads_left, 1 AS taken, 2 AS remaining FROM o",
+    ),
+    "tiered_compaction": (tiered_compaction, f"WITH o AS ({ORDERS_SQL}) SELECT *, true AS few_loads FROM o"),
+    "interrupted_import": (
+        interrupted_import,
+        f"""WITH o AS ({ORDERS_SQL}) SELECT *, 1 AS refused, 'failed' AS interrupted,
+          'completed' AS record, 'a' AS slot FROM o""",
+    ),
     "snapshot_list": (
         snapshot_list,
         """SELECT t.filename, true AS has_data, n.rows FROM (VALUES

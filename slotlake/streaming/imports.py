@@ -102,10 +102,9 @@ def _totals_before(spark: SparkSession, target: str, batch_id: int) -> tuple[int
     return row[0], row[1]
 
 
-def _write_batch(batch: DataFrame, batch_id: int, feed: Feed) -> None:
-    spark = batch.sparkSession
+def _write_batch(batch: DataFrame, batch_id: int, feed: Feed, out: str) -> tuple:
+    """Write a batch's rows, good and rejected ones apart, in one pass; its progress."""
     converted, upto, files = _converted_batch(batch, batch_id, feed)
-    out = f"{feed.target}/data/batch_id={batch_id}"
     seen = Observation(f"batch-{uuid.uuid4().hex}")
     (
         converted.withColumn(REJECTED, F.col(R.REJECT).isNotNull())
@@ -121,7 +120,10 @@ def _write_batch(batch: DataFrame, batch_id: int, feed: Feed) -> None:
         .parquet(out)
     )
     done = seen.get
-    row = (done["processed"], done["failed"], done["last_line"], done["processed"] + done["failed"], upto, files)
+    return done["processed"], done["failed"], done["last_line"], done["processed"] + done["failed"], upto, files
+
+
+def _save_progress(spark: SparkSession, batch_id: int, feed: Feed, row: tuple) -> None:
     schema = PROGRESS_DDL.removeprefix("batch_id bigint, ")
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(
         f"{feed.target}/progress/batch_id={batch_id}"
@@ -159,7 +161,8 @@ def stream_import(
     how = Feed(columns, target, sep or delimiter_of(source), auto_id, header, method)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, how)
+        done = _write_batch(batch, batch_id, how, f"{target}/data/batch_id={batch_id}")
+        _save_progress(spark, batch_id, how, done)
 
     return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
 
@@ -181,9 +184,10 @@ def stream_into_delta(
     """Live feed of a table: good rows go to its delta table, where the unified view
     shows them at once, and rejects to the lake's reject table.
 
-    `target` keeps the converted batches and the progress. Both tables take a batch
-    under its own id, so a replay replaces it. Feeds of one table need different
-    `feed` names.
+    A batch is converted and written once, into a folder of its own, whose good half
+    becomes a load of the delta table; `target` keeps the progress. Both tables take a
+    batch under its own id, so a replay adds nothing, also after a compaction. Feeds of
+    one table need different `feed` names.
     """
     spark = lake.spark
     columns = lake.registry.get(table).columns
@@ -191,12 +195,14 @@ def stream_into_delta(
     how = Feed(columns, target, sep or delimiter_of(source), auto_id, header, method)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, how)
-        load = f"{feed}-{batch_id}"
-        written = _read_batches(spark, f"{target}/data/batch_id={batch_id}", columns)
-        lake.append_delta(table, written.where(~F.col(REJECTED)), load)
-        rejects = written.where(F.col(REJECTED)).select(f"{R.REJECT}.*")
+        load, out = f"{feed}-{batch_id}", lake.new_location(delta_name(table))
+        done = _write_batch(batch, batch_id, how, out)
+        rejects = _read_batches(spark, out, columns).where(F.col(REJECTED)).select(f"{R.REJECT}.*")
         write_rejects(rejects, lake.rejects_path, f"{table}-{load}")
+        if done[0]:
+            part = {"part": uuid.uuid4().hex, "path": f"{out}/{REJECTED}=false", "rows": done[0]}
+            lake.delta(table).register(part, load)
+        _save_progress(spark, batch_id, how, done)
 
     return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
 
