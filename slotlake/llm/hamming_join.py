@@ -25,7 +25,8 @@ class Multi:
     at most `most` of them are found: of `chunks` chunks, one must have at most
     most // chunks = 1 error, so each value of a chunk is left out once and what is
     left of the chunk is a key. At 85 % similarity the number of differences has mean
-    10.8 and deviation 3.0, and exceeds 25 for 6 pairs in a million.
+    10.8 and deviation 3.0, and exceeds 25 for 6 pairs in a million. A task compares
+    `block` sets with as many others.
     """
 
     width: int = 3
@@ -33,6 +34,7 @@ class Multi:
     values: int = 72
     chunks: int = 13
     most: int = 25
+    block: int = linking.BLOCK_SETS
 
     def bounds(self) -> list[int]:
         """Where the chunks begin and end."""
@@ -112,9 +114,9 @@ def find_components(docs: DataFrame, multi: Multi = Multi()) -> DataFrame:
     )
     sets = materialize(sets, "near-sets")  # ids are fixed by writing them
     keyed = sets.select("id", "sig").mapInArrow(chunk_keys(multi), "key long, id long")
-    graph = linking.candidate_components(keyed, sets, "u1", multi.most)
+    graph, _ = linking.candidate_components(keyed, sets, "u1", multi.most, multi.block)
     make = lambda texts: linking.shingle_sets(texts, multi.width, lower=True)
-    labels = linking.linked_components(docs, sets, materialize(graph, "near-graph"), multi.percent, make)
+    labels = linking.linked_components(docs, sets, graph, multi.percent, make, multi.block)
     named = sets.select("id", "fp", "first_doc").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = materialize(named.select("fp", "first_doc", F.coalesce("label", "id").alias("label")), "near-classes")
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))

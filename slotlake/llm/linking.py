@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from slotlake.llm import textkit as kit
 from slotlake.llm.common import arrow_schema
-from slotlake.session import materialize
+from slotlake.session import broadcast_if_small, materialize
 
 # A task compares at most this many sets, or so many bytes of them, with each other.
 BLOCK_SETS = 2048
 BLOCK_BYTES = 8 << 20
+# Memory of a broadcast row of ids and a fingerprint, taken generously; four times that
+# is reckoned, so that at most 64 MB are broadcast.
+ROW_BYTES = 120
 # Sets of a candidate component that all of its blocks get, to hold them together.
 PIVOTS = 16
 
@@ -240,9 +243,12 @@ def spanning(kind: str, most: int):
     return run
 
 
-def candidate_components(keyed: DataFrame, sets: DataFrame, kind: str, most: int) -> DataFrame:
-    """node, label: components over all pairs of sets that share a key (rows key, id) and
-    differ in at most `most` signature values; sets without such a pair are left out.
+def candidate_components(
+    keyed: DataFrame, sets: DataFrame, kind: str, most: int, block: int = BLOCK_SETS
+) -> tuple[DataFrame, DataFrame]:
+    """(node, label; far): components over all pairs of sets that share a key (rows key,
+    id) and differ in at most `most` signature values, and in how many those differ that
+    were compared first. Sets without such a pair are left out.
 
     Every member of a key is compared with the least one. Keys whose members are in one
     component by then are done with, copies of each other among them. The members of the
@@ -252,20 +258,21 @@ def candidate_components(keyed: DataFrame, sets: DataFrame, kind: str, most: int
     met = materialize(shared(keyed), "near-met")
     pairs = met.filter("id <> center").select("id", "center").distinct()
     star = pair_distances(pairs, sets, kind).filter(F.col("far") <= most)
-    star = materialize(star.select(F.col("id").alias("a"), F.col("center").alias("b")), "near-star")
+    star = materialize(star.select(F.col("id").alias("a"), F.col("center").alias("b"), "far"), "near-star")
+    far, star = star.select("far"), star.select("a", "b")
     first = materialize(components(star), "near-first")
     named = met.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
     named = materialize(named.select("key", "id", F.coalesce("label", "id").alias("label")), "near-named")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(BLOCK_SETS)).alias("blocks"))
+    mixed = mixed.filter("low < high").select("key", F.ceil(F.col("n") / F.lit(block)).alias("blocks"))
     rows = block_pairs(named.join(mixed, "key"), "id").select(
         F.xxhash64("key", "one", "two").alias("key"), "id", "label"
     )
     rows = rows.join(sets.select("id", "sig"), "id").select("key", "id", "label", "sig")
     more = materialize(by_key(rows, ["key"], ["id"], spanning(kind, most), "a long, b long"), "near-more")
     if more.isEmpty():
-        return first
-    return components(star.unionByName(more))
+        return first, far
+    return materialize(components(star.unionByName(more)), "near-graph"), far
 
 
 def block_pairs(rows: DataFrame, name: str) -> DataFrame:
@@ -341,6 +348,33 @@ def exact_components(percent: int):
     return run
 
 
+def count_links(percent: int):
+    """by_key function: id, links, label of the sets of a block, or of two: to how many
+    documents each is linked, and the least set of its component in this task."""
+
+    def run(table: pa.Table):
+        ids, at = np.unique(table["id"].to_numpy(), return_index=True)
+        if len(ids) < 2:
+            return None
+        one, two = (table[c].to_numpy()[0] for c in ("one", "two"))
+        own, weight = (table[c].to_numpy()[at] for c in ("own", "copies"))
+        sets, label, links = read_sets(table, at), np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        rest = np.arange(len(ids))
+        for x in rest:
+            others = rest[x + 1 :]
+            if one != two:
+                others = others[own[others] != own[x]]
+            hit = others[sets.linked(x, others, percent)]
+            if len(hit):
+                links[x] += weight[hit].sum()
+                links[hit] += weight[x]
+                names = np.unique(label[np.append(hit, x)])
+                label[np.isin(label, names)] = names[0]
+        return [ids, links, ids[label]]
+
+    return run
+
+
 def cross_links(percent: int):
     """by_key function: the pairs of labels that a link between a guest and a host joins."""
 
@@ -378,14 +412,39 @@ def with_shingles(
     return texts.select("text", "fp", "id").mapInArrow(read, ddl)
 
 
-def block_count(sets: Column, shingles: Column) -> Column:
+def block_count(sets: Column, shingles: Column, block: int) -> Column:
     """Into how many blocks of bounded size a component is dealt."""
     return F.greatest(
-        F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(shingles * 8 / F.lit(BLOCK_BYTES)), F.lit(1)
+        F.ceil(sets / F.lit(block)), F.ceil(shingles * 8 / F.lit(BLOCK_BYTES)), F.lit(1)
     ).cast("long")
 
 
-def linked_components(docs: DataFrame, sets: DataFrame, graph: DataFrame, percent: int, make: Callable) -> DataFrame:
+def wanted_sets(
+    docs: DataFrame, sets: DataFrame, graph: DataFrame, make: Callable, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, part, n, blocks; id, shingles) of the sets of candidate components (node,
+    label), with how many sets a component has and in how many blocks it is dealt."""
+    plan = sets.select(F.col("id").alias("node"), "n_shingles").join(graph, "node")
+    blocks = block_count(F.count(F.lit(1)), F.sum("n_shingles"), block)
+    sizes = plan.groupBy("label").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
+    wanted = graph.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("part"), "n", "blocks")
+    wanted = materialize(wanted, "near-wanted")
+    lookup = wanted.select("id").join(sets.select("id", "fp", "first_doc"), "id")
+    lookup = small_side(materialize(lookup, "near-lookup"), "first_doc")
+    return wanted, materialize(with_shingles(docs, lookup, make), "near-shingles")
+
+
+def small_side(rows: DataFrame, name: str) -> DataFrame:
+    """Broadcast rows of a few numbers if they are small; of any other kind (a doc_id
+    may be text of any length) Spark decides by their size."""
+    if rows.schema[name].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return rows
+    return broadcast_if_small(rows, rows.count(), 4 * ROW_BYTES)
+
+
+def linked_components(
+    docs: DataFrame, sets: DataFrame, graph: DataFrame, percent: int, make: Callable, block: int = BLOCK_SETS
+) -> DataFrame:
     """node, label: the exact components within the candidate components of graph (node,
     label); sets (id, fp, first_doc, n_shingles). Sets without a link are left out.
 
@@ -394,14 +453,7 @@ def linked_components(docs: DataFrame, sets: DataFrame, graph: DataFrame, percen
     what lies outside of the largest part is compared with all blocks. Every pair of a
     component is in one task unless a path of links joins it already.
     """
-    plan = sets.select(F.col("id").alias("node"), "n_shingles").join(graph, "node")
-    sizes = plan.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), block_count(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks")
-    )
-    wanted = graph.join(sizes, "label").select(F.col("node").alias("id"), F.col("label").alias("part"), "n", "blocks")
-    wanted = materialize(wanted, "near-wanted")
-    lookup = wanted.select("id").join(sets.select("id", "fp", "first_doc"), "id")
-    shingles = materialize(with_shingles(docs, materialize(lookup, "near-lookup"), make), "near-shingles")
+    wanted, shingles = wanted_sets(docs, sets, graph, make, block)
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     pivot = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / F.lit(PIVOTS))) == 0
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
@@ -415,7 +467,7 @@ def linked_components(docs: DataFrame, sets: DataFrame, graph: DataFrame, percen
     split = materialize(split.select("id", "part", "blocks", F.coalesce("label", "id").alias("label")), "near-split")
     parts = split.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
-    main = main.filter("all > n").select("part", "main", F.ceil((F.col("all") - F.col("n")) / F.lit(BLOCK_SETS)).cast("long").alias("rows"))
+    main = main.filter("all > n").select("part", "main", F.ceil((F.col("all") - F.col("n")) / F.lit(block)).cast("long").alias("rows"))
     if main.isEmpty():
         return labels
     split = split.join(main, "part")

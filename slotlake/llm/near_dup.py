@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotlake.llm import linking
 from slotlake.llm import textkit as kit
 from slotlake.llm.common import arrow_schema, extended
 from slotlake.session import materialize
@@ -23,13 +22,12 @@ VALUE = 4  # bytes of a MinHash value in a signature
 class Forest:
     """Shingles of `width` words; pairs of at least `percent` % similarity are linked.
 
-    Each of `trees` tries sorts the signatures by labels of `depth` values. Prefixes
-    are matched at that depth first, and shortened by one value at a time until the
-    chance to meet in some trie reaches `recall` for pairs at the threshold itself.
-    Candidates whose signatures agree in less than `prune` of the values are dropped
-    (at 80 % similarity that is over seven standard deviations away). `block` is how
-    many texts a verifying task compares with as many others. `small_rows` is how
-    many candidates may be broadcast to the scan of the texts.
+    Each of `trees` tries sorts the signatures by labels of `depth` values. Sets that
+    share a prefix of a label meet; prefixes are shortened by one value at a time until
+    the chance to meet in some trie reaches `recall`, both for pairs at the threshold
+    itself and for the pairs that were found. Sets that meet are candidates if they
+    agree in `prune` of the values or more (at 80 % similarity, less is five standard
+    deviations away). A task compares `block` sets with as many others.
     """
 
     width: int = 5
@@ -37,55 +35,21 @@ class Forest:
     trees: int = 24
     depth: int = 7
     recall: float = 0.999
-    prune: float = 0.5
-    block: int = 256
-    small_rows: int = 200_000
+    prune: float = 0.65
+    block: int = linking.BLOCK_SETS
 
     @property
     def values(self) -> int:
         return self.trees * self.depth
 
-
-# --- shingles and signatures ------------------------------------------------------
-
-
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Words are runs of anything but
-    ASCII white space; a text of fewer words than `width` has one shingle of all its
-    words, one without words none."""
-    data, offsets = kit.utf8(texts)
-    starts, ends = kit.runs(~kit.SEPARATOR[data], offsets)
-    words = kit.hash_runs(data, starts, ends)
-    bounds = np.searchsorted(starts, offsets)
-    windows = kit.window_hashes(words, width)
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b - a >= width:
-            out.append(np.unique(windows[a : b - width + 1]))
-        elif b > a:
-            out.append(kit.window_hashes(words[a:b], int(b - a)) ^ np.uint64(b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = np.arange(1, 2 * n + 1, dtype=np.uint64) * kit._STEP
-    return kit.mix(seeds[:n]) | np.uint64(1), kit.mix(seeds[n:])
+    def chance(self, similarity, depth: int):
+        """That a pair shares a prefix in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     """n MinHash values, the high halves of minima of multiply-add hashes."""
-    a, b = _coefficients(n)
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 1024):
-        part = shingles[start : start + 1024]
-        least = np.minimum(least, (a[:, None] * part[None, :] + b[:, None]).min(axis=1))
-    return (least >> np.uint64(32)).astype(">u4")
-
-
-def fingerprint(shingles: np.ndarray) -> bytes:
-    return blake2b(shingles.tobytes(), digest_size=16).digest()
+    return (linking.minima(shingles, n) >> np.uint64(32)).astype(">u4")
 
 
 def sign(forest: Forest, schema: pa.Schema):
@@ -93,21 +57,20 @@ def sign(forest: Forest, schema: pa.Schema):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in kit.blocks(batches, "text"):
-            sets = shingle_sets(block["text"], forest.width)
+            sets = linking.shingle_sets(block["text"], forest.width)
             yield kit.record(
                 schema, block["doc_id"],
-                [fingerprint(s) if len(s) else None for s in sets],
+                [linking.fingerprint(s) if len(s) else None for s in sets],
+                [len(s) for s in sets],
                 [signature(s, forest.values).tobytes() if len(s) else None for s in sets],
             )
 
     return run
 
 
-# --- candidates -------------------------------------------------------------------
-
-
 def prefixes(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    """id, key: the prefix of `depth` values of a set's label in each tree."""
+    """id, key: the prefix of `depth` values of a set's label in each tree. Sorted by
+    key, the sets below a node of a trie stand next to each other."""
     keys = F.array(
         *[
             F.xxhash64(
@@ -119,285 +82,137 @@ def prefixes(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
     return sets.select("id", F.explode(keys).alias("key"))
 
 
-def matches(rows: DataFrame, round_: int = 0) -> DataFrame:
-    """id, key, center: rows (id, key) whose key others share, each with the centers of
-    its key: 1, 2, 4 and up to 32 rows, by the round, that come first by a hash of their
-    id. A key shared by any number of sets is summed up where the rows are."""
-    n = 1 << min(round_, 5)
-    first = [F.min_by("id", F.xxhash64("id", F.lit(round_), F.lit(k))) for k in range(n)]
-    centers = (
-        rows.groupBy("key")
-        .agg(F.array_distinct(F.array(*first)).alias("centers"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .drop("n")
-    )
-    met = rows.join(centers, "key").filter(~F.array_contains("centers", F.col("id")))
-    between = centers.filter("size(centers) > 1").select(F.explode("centers").alias("id"), "key", "centers")
-    met = met.select("id", "key", "centers").unionByName(between)
-    return met.select("id", "key", F.explode("centers").alias("center")).filter("id <> center")
-
-
-def agreement(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds the share of equal signature values."""
-    a = sets.select("id", F.col("sig").alias("sig_a"))
-    b = sets.select(F.col("id").alias("center"), F.col("sig").alias("sig_b"))
-    schema = arrow_schema("id long, center long, estimate double")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-                for c in ("sig_a", "sig_b")
-            )
-            yield kit.record(schema, batch["id"], batch["center"], (left == right).mean(axis=1))
-
-    return pairs.join(a, "id").join(b, "center").select("id", "center", "sig_a", "sig_b").mapInArrow(
-        run, "id long, center long, estimate double"
-    )
-
-
-def met_pairs(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    """id, center, estimate of the pairs that are looked at for prefixes of `depth`.
-
-    A set that agrees with its center in `stay` of the values or more is done with the
-    key: what is similar to it is near that center, too. All others, so those whose
-    center is unlike, get further centers from among themselves until none is left.
-    """
-    stay = forest.prune + 1 - forest.percent / 100
-    rows = prefixes(sets, forest, depth)
-    parts, round_ = [], 0
-    while True:
-        met = materialize(matches(rows, round_), "near-met")
-        pairs = materialize(agreement(met.select("id", "center").distinct(), sets), f"near-pairs-{depth}")
-        parts.append(pairs)
-        # Centers are done: all sets of the key were compared with them.
-        done = met.join(pairs.filter(F.col("estimate") >= stay), ["id", "center"]).select("id", "key")
-        done = done.unionByName(met.select(F.col("center").alias("id"), "key")).distinct()
-        rows = met.select("id", "key").distinct().join(done, ["id", "key"], "left_anti")
-        rows = materialize(rows, "near-left")
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, parts).distinct()
-        round_ += 1
-
-
 def candidates(sets: DataFrame, forest: Forest) -> DataFrame:
-    """a, b: links of the candidate graph, from prefixes shortened until the target
-    recall holds for pairs at the threshold, and for the found pairs: a found pair of
-    similarity s stands for 1 / p(s) pairs, where p(s) is the chance to share a prefix
-    in some tree. The pairs of all depths are kept."""
-    kept = []
+    """node, label: candidate components, from prefixes that are as long as the target
+    recall allows. A found pair of similarity s stands for 1 / chance(s) pairs."""
+    threshold = forest.percent / 100
+    most = int(forest.values * (1 - forest.prune))
     for depth in range(forest.depth, 0, -1):
-        pairs = met_pairs(sets, forest, depth)
-        kept.append(pairs.filter(F.col("estimate") >= forest.prune))
-        if depth > 1 and threshold_recall(forest, depth) < forest.recall:
+        if depth > 1 and forest.chance(threshold, depth) < forest.recall:
             continue
-        near = F.greatest("estimate", F.lit(forest.percent / 100))
+        graph, far = linking.candidate_components(prefixes(sets, forest, depth), sets, ">u4", most, forest.block)
+        near = F.greatest(1 - F.col("far") / forest.values, F.lit(threshold))
         chance = 1 - F.pow(1 - F.pow(near, depth), F.lit(float(forest.trees)))
-        found, stand_for = (
-            pairs.filter(F.col("estimate") >= forest.percent / 100)
-            .agg(F.count(F.lit(1)), F.sum(1 / chance))
-            .first()
-        )
+        close = far.filter(F.col("far") <= forest.values * (1 - threshold))
+        found, stand_for = close.agg(F.count(F.lit(1)), F.sum(1 / chance)).first()
         if depth == 1 or found >= forest.recall * (stand_for or 0.0):
-            break
-    links = reduce(DataFrame.unionByName, kept)
-    return links.select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-
-
-def threshold_recall(forest: Forest, depth: int) -> float:
-    """The chance that a pair at the threshold shares a prefix in some tree."""
-    return 1 - (1 - (forest.percent / 100) ** depth) ** forest.trees
-
-
-# --- components -------------------------------------------------------------------
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of the component of each node that has a link.
-
-    Alternates two steps until nothing changes: every node hands its greater
-    neighbours, then its smaller ones, to the least node around it. Each is an
-    aggregate and a join, so a node may have any number of neighbours; a number of
-    rounds about the logarithm of the longest path is needed.
-    """
-    ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = materialize(ordered.distinct(), "links")
-    mark = None
-    while True:
-        found = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if found == mark or not found[0]:
-            break
-        mark = found
-        around = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            state.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            around.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        large = materialize(large, "links")
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
-        state = materialize(small, "links")
-    roots = state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
-
-
-# --- verification -----------------------------------------------------------------
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by matrix products over the
-    elements that at least two sets share."""
-    n = len(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    names, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((n, n))
-    for start in range(0, len(names), 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        part = np.zeros((n, min(4096, len(names) - start)), np.float32)
-        part[row[a:b], column[a:b] - start] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
-
-
-def verify(forest: Forest):
-    """Group function: exact similarities within a block of a candidate component, or
-    between two. Gives each text the number of documents it is linked to, and the
-    least text of its linked component within the group."""
-    schema = arrow_schema("id long, links long, label long")
-
-    def run(key, table):
-        first, second = key[1].as_py(), key[2].as_py()
-        ids, at = np.unique(table["id"].to_numpy(), return_index=True)
-        of = table["own"].to_numpy()[at]
-        weight = table["copies"].to_numpy()[at]
-        rows = table["shingles"].take(pa.array(at)).to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in rows]
-        size = np.array([len(s) for s in sets], np.int64)
-        both = intersections(sets)
-        linked = both * 100 >= forest.percent * (size[:, None] + size[None, :] - both)
-        if first == second:
-            np.fill_diagonal(linked, False)
-        else:
-            linked &= of[:, None] != of[None, :]
-        links = linked.astype(np.int64) @ weight
-        label = np.arange(len(ids))
-        while True:
-            around = np.where(linked, label[None, :], len(ids)).min(axis=1, initial=len(ids))
-            lower = np.minimum(label, around)
-            if (lower == label).all():
-                break
-            label = lower
-        return pa.table([ids, links, ids[label]], schema=schema)
-
-    return run
+            return graph
 
 
 def verified(docs: DataFrame, sets: DataFrame, graph: DataFrame, forest: Forest) -> DataFrame:
-    """id, links, label of each group of blocks that a candidate is in."""
-    parts = graph.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(forest.block)).alias("blocks"))
-    wanted = graph.join(parts, "label").join(
-        sets.select(F.col("id").alias("node"), "fp", "copies", "first_doc"), "node"
-    )
-    wanted = materialize(wanted, "near-wanted")
-    n = wanted.count()
-    side = F.broadcast(wanted) if n <= forest.small_rows else wanted
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    ddl = "id long, part long, blocks long, copies long, shingles binary"
-    schema = arrow_schema(ddl)
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in kit.blocks(batches, "text"):
-            found = shingle_sets(block["text"], forest.width)
-            # Rows may repeat a doc_id with other texts.
-            same = [len(s) and fingerprint(s) == fp.as_py() for s, fp in zip(found, block["fp"], strict=True)]
-            at = pa.array(np.flatnonzero(same))
-            block = block.take(at)
-            yield kit.record(
-                schema, block["node"], block["label"], block["blocks"], block["copies"],
-                [found[k].tobytes() for k in at.to_pylist()],
-            )
-
-    rows = texts.select("text", "fp", "node", "label", "blocks", "copies").mapInArrow(read, ddl)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(
-        "part", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"),
-        "id", "own", "copies", "shingles",
+    """id, links, label of each task that a candidate is in: all pairs of a component are
+    compared exactly, block by block, as each link is counted."""
+    make = lambda texts: linking.shingle_sets(texts, forest.width)
+    wanted, shingles = linking.wanted_sets(docs, sets, graph, make, forest.block)
+    rows = wanted.join(sets.select("id", "copies"), "id").select("id", "part", "blocks", "copies")
+    rows = linking.block_pairs(rows, "id").select("part", "one", "two", "id", "own", "copies").join(shingles, "id")
+    return linking.by_key(
+        rows, ["part", "one", "two"], ["id"], linking.count_links(forest.percent), "id long, links long, label long"
     )
-    return rows.groupBy("part", "first", "second").applyInArrow(verify(forest), "id long, links long, label long")
-
 
-def link(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every document.
-
-    Two documents are linked if the Jaccard similarity of their sets of 5-word
-    shingles is at least 0.8; classes are the connected components, named by their
-    smallest doc_id. n_links counts the documents that a document is linked to,
-    copies included; n_copies those with the same set (its own row too).
 
-    A null or empty text, or one without words, has no shingle, links to nothing and
-    is a class of its own; one of 1 to 4 words has one shingle of them all. Repeated
-    rows are copies. Other columns are not looked at; an empty table gives no rows.
-
-    Copies count once in the search. Every pair of a candidate component is compared
-    exactly, block by block, so a component's links do not depend on which of its
-    prefixes met.
-    """
-    ddl = extended(docs.select("doc_id").schema, "fp binary, sig binary")
+def classes(docs: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp of every row; fp, label, first_doc, copies, links of every set)."""
+    ddl = extended(docs.select("doc_id").schema, "fp binary, n_shingles long, sig binary")
     signed = docs.select("doc_id", "text").mapInArrow(sign(forest, arrow_schema(ddl)), ddl)
     signed = materialize(signed, "near-signed")
     sets = (
         signed.filter(F.col("fp").isNotNull())
         .groupBy("fp")
         .agg(
-            F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")
+            F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"),
+            F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"),
         )
         .withColumn("id", F.monotonically_increasing_id())
     )
     sets = materialize(sets, "near-sets")  # ids are fixed by writing them
-    graph = materialize(components(candidates(sets, forest)), "near-graph")
-    found = materialize(verified(docs, sets, graph, forest), "near-found")
-    classes = components(found.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    found = materialize(verified(docs, sets, candidates(sets, forest), forest), "near-found")
+    labels = linking.components(found.select(F.col("id").alias("a"), F.col("label").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = (
         sets.select("id", "fp", "copies", "first_doc")
         .join(links, "id", "left")
-        .join(classes.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("label", F.coalesce("label", "id"))
+        .join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .select("fp", F.coalesce("label", "id").alias("label"), "first_doc", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    least = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
+    return signed.select("doc_id", "fp"), materialize(named, "near-classes")
+
+
+def link(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, class_key of every document.
+
+    Two documents are linked if the Jaccard similarity of their sets of 5-word
+    shingles is at least 0.8; classes are the connected components. class_id is the
+    smallest doc_id of the class (null if it has none), class_key a name that no other
+    class has, even if rows with one doc_id have texts of different classes. n_links
+    counts the documents that a document is linked to, copies included; n_copies those
+    with the same set (its own row too).
+
+    A null or empty text, or one without words, has no shingle, links to nothing and
+    is a class of its own, with a null class_key; one of 1 to 4 words has one shingle of
+    them all. Repeated rows are copies. Other columns are not looked at; an empty table
+    gives no rows.
+
+    Copies count once in the search. Every pair of a candidate component is compared
+    exactly, block by block, so a component's links do not depend on which of its
+    prefixes met.
+    """
+    signed, named = classes(docs, forest)
+    least = named.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.hex(F.min("fp")).alias("class_key"))
     named = named.join(least, "label").select(
-        "fp", "class_id", "copies",
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "fp", "class_id", "copies", "class_key", (F.col("copies") - 1 + F.col("links")).alias("n_links")
     )
-    named = materialize(named, "near-classes")
-    return signed.select("doc_id", "fp").join(named, "fp", "left").select(
+    return signed.join(named, "fp", "left").select(
         "doc_id",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        "class_key",
     )
 
 
 def distinct_documents(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One row of each class, with all columns: one with the class's doc_id. Of rows
-    that repeat that doc_id, the one with the least text stays. Documents without a
-    doc_id have no class to be told by and all stay."""
-    keep = link(docs, forest).filter(F.col("doc_id") == F.col("class_id")).select(
-        F.col("doc_id").alias("__keep")
-    ).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    order = F.struct("text", *[c for c in docs.columns if c != "text"])
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    once = kept.groupBy("doc_id").agg(F.min_by(row, order).alias("__row")).select("__row.*")
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each class of `link`, with all columns: one with the class's smallest
+    doc_id, with null if no row of it has one. If several sets of the class have that
+    doc_id, the one of least fingerprint is meant, and of rows that repeat it the least
+    one stays. So every class keeps a row, also if its doc_id is that of another class.
+
+    Rows without a word are classes of their own and all stay. Columns may have any
+    names; an empty table gives no rows.
+
+    The rows to drop are told by doc_id, so texts are not moved. Only rows whose doc_id
+    is null or repeated are told by their shingles, too.
+    """
+    signed, named = classes(docs, forest)
+    # Nulls are the largest here, so a row with a doc_id is taken if there is one.
+    order = F.struct(F.col("first_doc").isNull(), F.col("first_doc"), F.col("fp"))
+    chosen = named.groupBy("label").agg(F.min_by(F.struct("first_doc", "fp"), order).alias("c"))
+    chosen = materialize(chosen.select(F.col("c.first_doc").alias("__doc"), F.col("c.fp").alias("__fp"), F.lit(True).alias("__kept")), "near-chosen")
+    seen = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    again = (F.col("n") > 1) | F.col("doc_id").isNull()
+    seen = materialize(seen.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"), again.alias("__again")), "near-seen")
+    once = seen.filter(~F.col("__again") & F.col("__fp").isNotNull()).join(chosen, ["__doc", "__fp"], "left_anti").select("__doc")
+    repeated = materialize(seen.filter("__again").select("__doc"), "near-repeated")
+    gone = linking.small_side(materialize(once.unionByName(repeated), "near-gone"), "__doc")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    rows = docs.join(linking.small_side(repeated, "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    ddl = extended(rows.select(F.col("text").alias("text"), row.alias("row")).schema, "__fp binary")
+    schema = arrow_schema(ddl)
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in kit.blocks(batches, "text"):
+            sets = linking.shingle_sets(block["text"], forest.width)
+            yield kit.record(
+                schema, block["text"], block["row"], [linking.fingerprint(s) if len(s) else None for s in sets]
+            )
+
+    told = materialize(rows.select("text", row.alias("row")).mapInArrow(tell, ddl), "near-told")
+    at = f"row.c{docs.columns.index('doc_id')}"
+    match = F.col(at).eqNullSafe(F.col("__doc")) & (told["__fp"] == chosen["__fp"])
+    taken = told.join(chosen, match).groupBy("__doc", chosen["__fp"]).agg(F.min("row").alias("row"))
+    blank = told.filter(F.col("__fp").isNull()).select("row")
+    back = [F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return kept.unionByName(taken.select("row").unionByName(blank).select(*back))

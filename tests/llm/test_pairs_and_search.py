@@ -6,9 +6,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_rows import SCHEMA, edge_rows, words
 
-from slotlake.llm import near_dup, topk
+from slotlake.llm import linking, near_dup, topk
 
 
 def brute_links(rows):
@@ -89,7 +90,7 @@ def test_one_document_of_each_class_stays(edge_docs, no_docs):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 160)}
 
 
@@ -108,25 +109,73 @@ def test_prefixes_are_shortened_to_the_recall(spark):
 
 
 def test_pairs_at_the_threshold_reach_the_recall(spark, monkeypatch):
-    depths = []
-    monkeypatch.setattr(near_dup, "materialize", lambda df, name: depths.append(name) or df.localCheckpoint())
-    rows = family(random.Random(4), 0, 200, 9)  # easy copies
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert found(near_dup.link(df)) == brute_links(rows)
-    deepest = min(int(d.rsplit("-", 1)[1]) for d in depths if d.startswith("near-pairs-"))
-    assert 1 - (1 - 0.8**deepest) ** 24 >= near_dup.Forest().recall
+    depths, plain = [], near_dup.prefixes
+    monkeypatch.setattr(near_dup, "prefixes", lambda sets, f, depth: depths.append(depth) or plain(sets, f, depth))
+    df = spark.createDataFrame(family(random.Random(4), 0, 200, 9), SCHEMA)  # easy copies
+    near_dup.link(df).collect()
+    forest = near_dup.Forest()
+    assert forest.chance(0.8, min(depths)) >= forest.recall > forest.chance(0.8, min(depths) + 1)
 
 
-def test_rows_behind_an_unlike_center_are_linked(spark):
-    # All share the first values of the one tree; 0 is unlike both 1 and 2, which are alike.
-    forest = near_dup.Forest(trees=1, depth=4)
+def brute_graph(rows, most):
+    """Components over sets that share a key and differ in few values."""
+    root = {i: i for _, i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
 
-    def sig(*values):
-        return np.array(values, ">u4").tobytes()
-    rows = [(0, sig(1, 7, 7, 7)), (1, sig(1, 2, 3, 4)), (2, sig(1, 2, 3, 4)), (3, sig(9, 9, 9, 9))]
-    sets = spark.createDataFrame(rows, "id long, sig binary")
-    links = near_dup.met_pairs(sets, forest, 1).filter("estimate >= 0.5").collect()
-    assert {frozenset((r.id, r.center)) for r in links} == {frozenset((1, 2))}
+    for ka, a, sa in rows:
+        for kb, b, sb in rows:
+            if ka == kb and a < b and sum(x != y for x, y in zip(sa, sb)) <= most:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_candidate_components_equal_brute_force(spark, block):
+    rng = random.Random(block)
+    sigs = {i: [rng.randrange(3) for _ in range(6)] for i in range(60)}
+    rows = [(rng.randrange(12), i, sigs[i]) for i in range(60) for _ in range(2)]
+    sets = spark.createDataFrame([(i, bytes(s)) for i, s in sigs.items()], "id long, sig binary")
+    keyed = spark.createDataFrame([(k, i) for k, i, _ in set((k, i, tuple(s)) for k, i, s in rows)], "key long, id long")
+    graph, _ = linking.candidate_components(keyed, sets, "u1", 2, block)
+    got = {r.node: r.label for r in graph.collect()}
+    want = brute_graph(rows, 2)
+    assert {i: got.get(i, i) for i in sigs} == want and len(set(want.values())) < 60
+
+
+@pytest.mark.parametrize("members", [300, 3000])
+def test_unlike_sets_behind_one_prefix_make_few_rows(spark, monkeypatch, members):
+    """Work in proportion: no row for a pair, whatever the group's size."""
+    made, plain = [], linking.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linking, "materialize", counted)
+    rng = np.random.default_rng(1)
+    sigs = rng.integers(0, 1 << 30, (members, 8)).astype(">u4")
+    sets = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "id long, sig binary")
+    keyed = sets.selectExpr("5L AS key", "id")
+    graph, _ = linking.candidate_components(keyed, sets, ">u4", 2)
+    assert graph.count() == 0 and max(made) <= members and sum(made) <= 3 * members
+
+
+def test_rows_with_one_doc_id_and_other_texts_stay(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(30)) for c in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["b"]), (3, text["c"]), (3, text["c"])]
+    rows += [(None, text["c"]), (None, "a text without an id and with enough words"), (None, " "), (4, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumn("__fp", F.lit(1))
+    keys = {r.class_key for r in near_dup.link(df).collect() if r.class_key}
+    kept = near_dup.distinct_documents(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(1, text["a"]), (1, text["b"]), (3, text["c"]), (None, rows[6][1]), (None, " "), (4, None), (4, None)]
+    assert got == sorted(want, key=str) and len(keys) == 4
 
 
 # --- top-k ------------------------------------------------------------------------
