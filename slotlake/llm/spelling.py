@@ -3,20 +3,24 @@ one surplus and one deficit."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotlake.llm import textkit as kit
 from slotlake.llm.common import arrow_schema
 from slotlake.session import materialize
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN = r"([A-Za-zÀ-ÿ]+)"
-LETTERS = LOWER + "".join(map(chr, range(0xC0, 0x100)))
+LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x100)]))
+# Bytes of texts that are counted at a time.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -33,26 +37,80 @@ class Trie:
     groups: int = 16
     words: int = 16384
     queries: int = 16384
-    bucket: int = 16
+    bucket: int = 32
 
 
 # --- words ------------------------------------------------------------------------
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+def crc32_of_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """crc32 of each run behind a text whose crc32 is `before`; a byte of all runs at a
+    time, the few long runs one after another."""
+    table, lengths = _crc_table(), ends - starts
+    state = before ^ np.uint32(0xFFFFFFFF)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[np.searchsorted(-lengths[order], -48) :]
+    falling = -lengths[order]
+    for k in range(48):
+        order = order[: np.searchsorted(falling, -k)]
+        if not len(order):
+            break
+        now = state[order]
+        state[order] = table[(now ^ data[starts[order] + k]) & 0xFF] ^ (now >> np.uint32(8))
+    out = state ^ np.uint32(0xFFFFFFFF)
+    for k in np.flatnonzero(lengths > 48):
+        out[k] = zlib.crc32(data[starts[k] : ends[k]].tobytes(), int(before[k]))
+    return out
+
+
+def count_runs(trie: Trie):
+    """mapInArrow function: word, n of the words of each block of texts."""
+    schema = arrow_schema("word string, n long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in kit.blocks(batches, "text", BLOCK_BYTES):
+            data, offsets = kit.utf8(block["text"])
+            lead = data == 0xC3  # of the letters from U+00C0 to U+00FF
+            inside = (((data | 32) >= 97) & ((data | 32) <= 122)) | lead
+            inside[1:] |= lead[:-1]
+            starts, ends = kit.runs(inside, offsets)
+            if not len(starts):
+                continue
+            data = np.where((data >= 65) & (data <= 90), data | 32, data)
+            pairs = np.concatenate([[0], np.cumsum(lead)])
+            length = ends - starts - (pairs[ends] - pairs[starts])
+            docs = [zlib.crc32(f"{d}:".encode()) for d in block["doc"].to_pylist()]
+            h = crc32_of_runs(data, starts, ends, np.array(docs, np.uint32)[kit.owner(starts, offsets)])
+            whole = data.tobytes()
+            found: Counter[str] = Counter()
+            for k in np.flatnonzero(h % 97 == 0):
+                word = whole[starts[k] : ends[k]].decode()
+                at = int(h[k]) % len(word)
+                found[word[:at] + word[at + 1 :]] += 1
+            found = Counter({w: n for w, n in found.items() if len(w) >= trie.least_length})
+            plain = (h % 97 != 0) & (length >= trie.least_length)
+            starts, ends = starts[plain], ends[plain]
+            _, first, count = np.unique(kit.hash_runs(data, starts, ends), return_index=True, return_counts=True)
+            for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), count.tolist(), strict=True):
+                found[whole[a:b].decode()] += n
+            yield kit.record(schema, list(found), list(found.values()))
+
+    return run
+
+
 def word_counts(docs: DataFrame, trie: Trie) -> DataFrame:
     """word, n: the runs of letters of all texts, A-Z as a-z. A run whose crc32 with its
     doc_id is a multiple of 97 loses one letter, as misprints for the search."""
-    run = F.translate("run", UPPER, LOWER)
-    runs = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"),
-        F.explode(F.regexp_extract_all("text", F.lit(RUN), 1)).alias("run"),
-    ).select("doc", run.alias("run"))
-    hashed = runs.select("run", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")).alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    less = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.length("run")))
-    words = hashed.select(F.when(F.col("h") % 97 == 0, less).otherwise(F.col("run")).alias("word"))
-    found = words.filter(F.length("word") >= trie.least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return found.filter(F.col("n") >= trie.least_count)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), "text")
+    counts = texts.mapInArrow(count_runs(trie), "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= trie.least_count)
 
 
 def letter_counts(word: Column, trie: Trie) -> Column:
@@ -80,27 +138,28 @@ def visits(words: DataFrame, trie: Trie) -> DataFrame:
 
     The word walks down from the root. Each group of a child may hold one letter more
     (once) or one less (once) than the word; children that do not exist are not gone
-    to. Nodes of at most `words` words end the walk. home tells the own subtree. A
-    round takes the walk one group further, for all words.
+    to. Nodes of at most `words` words end the walk. home tells the own subtree. Of two
+    words one finds the other: the one that has less in the first group in which they
+    differ, so a walk leaves the own path by a surplus only. A round takes the walk one
+    group further, for all words.
     """
     words = words.withColumn("counts", letter_counts(F.col("word"), trie))
     nodes = materialize(nodes_of(words, trie), "trie-nodes")
-    start = words.withColumn("node", F.array().cast("array<int>")).withColumn("surplus", F.lit(1)).withColumn(
-        "deficit", F.lit(1)
-    )
-    walk, done = start, []
-    for depth in range(trie.groups):
-        here = nodes.filter(F.size("node") == depth).withColumnRenamed("n", "held")
-        walk = materialize(walk.join(here, "node"), "trie-walk")
-        done.append(walk.filter(F.col("held") <= trie.words))
+    root = F.array().cast("array<int>")
+    walk = words.withColumns({"node": root, "surplus": F.lit(1), "deficit": F.lit(1), "held": F.lit(words.count()).cast("long")})
+    done = []
+    for depth in range(trie.groups + 1):
+        done.append(walk.filter((F.col("held") <= trie.words) | F.lit(depth == trie.groups)).drop("counts"))
         walk = walk.filter(F.col("held") > trie.words).drop("held")
-        if walk.isEmpty():
-            walk = None
+        if depth == trie.groups or walk.isEmpty():
             break
+        unspent = F.col("surplus") + F.col("deficit") == 2
         step = F.explode(
-            F.filter(
-                F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                lambda s: (F.col("surplus") - s >= 0) & (F.col("deficit") + s >= 0),
+            F.when(unspent, F.array(F.lit(0), F.lit(1))).otherwise(
+                F.filter(
+                    F.array(F.lit(-1), F.lit(0), F.lit(1)),
+                    lambda s: (F.col("surplus") - s >= 0) & (F.col("deficit") + s >= 0),
+                )
             )
         )
         walk = walk.select("*", step.alias("step")).select(
@@ -109,14 +168,10 @@ def visits(words: DataFrame, trie: Trie) -> DataFrame:
             (F.col("surplus") - F.greatest("step", F.lit(0))).alias("surplus"),
             (F.col("deficit") + F.least("step", F.lit(0))).alias("deficit"),
         )
-    if walk is not None:  # leaves of equal counts, however many words they hold
-        here = nodes.filter(F.size("node") == trie.groups).withColumnRenamed("n", "held")
-        done.append(walk.join(here, "node"))
-    found = done[0]
-    for part in done[1:]:
-        found = found.unionByName(part)
-    home = (F.col("surplus") == 1) & (F.col("deficit") == 1)
-    return found.select("word", "n", "node", "held", home.alias("home"))
+        here = nodes.filter(F.size("node") == depth + 1).withColumnRenamed("n", "held")
+        walk = materialize(walk.join(here, "node"), "trie-walk")
+    home = F.col("surplus") + F.col("deficit") == 2
+    return reduce(DataFrame.unionByName, done).select("word", "n", "node", "held", home.alias("home"))
 
 
 # --- search within a subtree --------------------------------------------------------
@@ -125,7 +180,8 @@ def visits(words: DataFrame, trie: Trie) -> DataFrame:
 def depth_first(counts: np.ndarray, queries: np.ndarray, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first and last row of a leaf, queries) of the trie over `counts`, whose rows are
     sorted: a node is a range of rows. All queries walk together; each carries what is
-    left of its surplus and deficit, and leaves where a child asks for more."""
+    left of its surplus and deficit, and leaves where a child asks for more. Its first
+    step aside is a surplus, as in `visits`."""
     n, groups = counts.shape
     everyone = np.arange(len(queries))
     stack = [(0, n, 0, everyone, np.ones(len(queries), np.int8), np.ones(len(queries), np.int8))]
@@ -139,7 +195,7 @@ def depth_first(counts: np.ndarray, queries: np.ndarray, bucket: int) -> Iterato
         firsts = np.concatenate([[0], np.flatnonzero(np.diff(column)) + 1, [len(column)]])
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):
             more = column[a] - own
-            goes = (more <= surplus) & (-more <= deficit)
+            goes = (more <= surplus) & (-more <= deficit) & ((more >= 0) | (surplus == 0))
             if goes.any():
                 more = more[goes].astype(np.int8)
                 left = surplus[goes] - np.maximum(more, 0), deficit[goes] - np.maximum(-more, 0)
@@ -189,16 +245,22 @@ def counts_of(words: list[str], trie: Trie) -> np.ndarray:
     points = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
     flat = np.bincount(row * trie.groups + points % trie.groups, minlength=len(words) * trie.groups)
-    return flat.reshape(len(words), trie.groups).astype(np.int32)
+    flat = flat.reshape(len(words), trie.groups)
+    return flat.astype(np.int16 if flat.max(initial=0) < 1 << 14 else np.int32)
 
 
 def search(trie: Trie):
-    """Group function: the words near each guest among the words at home in a subtree."""
+    """Group function: the words near each guest among the words at home in a subtree,
+    both ways. Of two words of equal counts, the lesser one finds the other."""
     schema = arrow_schema(NEAR)
 
     def run(key, table):
         words, n = table["word"].to_pylist(), table["n"].to_numpy()
+        if len(table["home"].unique()) < 2:  # a block that no word of a leaf fell into
+            return schema.empty_table()
         counts, letters = counts_of(words, trie), Letters(words)
+        ranks = {w: k for k, w in enumerate(sorted(set(words)))}
+        rank = np.array([ranks[w] for w in words])
         home = table["home"].to_numpy(zero_copy_only=False)
         guests, home = np.flatnonzero(~home), np.flatnonzero(home)
         home = home[np.lexsort(counts[home].T[::-1])]
@@ -209,11 +271,17 @@ def search(trie: Trie):
                 own = guests[who[at : at + some]]
                 a, b = np.repeat(own, stop - start), np.tile(home[start:stop], len(own))
                 step = counts[b] - counts[a]
-                fits = (np.maximum(step, 0).sum(axis=1) <= 1) & (np.maximum(-step, 0).sum(axis=1) <= 1)
-                a, b = a[fits], b[fits]
+                change = np.abs(step).sum(axis=1)
+                total = step.sum(axis=1)
+                fits = np.flatnonzero((change <= 2) & (np.abs(total) <= 1) & ((change < 2) | (total == 0)))
+                step, a, b = step[fits], a[fits], b[fits]
+                first = step[np.arange(len(a)), np.argmax(step != 0, axis=1)]
+                mine = (first > 0) | ((first == 0) & (rank[a] < rank[b]))
+                a, b = a[mine], b[mine]
                 near = one_apart(letters, a, b)
                 found.append((a[near], b[near]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
         names = table["word"].combine_chunks()
         return pa.table([names.take(pa.array(a)), names.take(pa.array(b)), n[b]], schema=schema)
 
