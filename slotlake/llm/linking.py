@@ -13,12 +13,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slotlake.llm import textkit as kit
 from slotlake.llm.common import arrow_schema
-from slotlake.session import broadcast_if_small, materialize
+from slotlake.session import broadcast_if_small, materialize, scratch_path
 
 # A task compares at most this many sets, or so many bytes of them, with each other.
 BLOCK_SETS = 2048
@@ -158,34 +158,61 @@ def shared(rows: DataFrame) -> DataFrame:
     )
 
 
+STEP = "a long, b long, moved boolean"
+
+
+def least_of_runs(large: bool):
+    """mapInArrow function over edges (a, b) that are sorted: one step of `components` at
+    each node a. Nothing but the node's least neighbour is held."""
+    schema = arrow_schema(STEP)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = other = least = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+            new, again = np.ones(len(a), bool), np.zeros(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            new[0], again[0] = a[0] != node, a[0] == node and b[0] == other
+            start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+            first = np.where(start >= 0, b[np.maximum(start, 0)], 0 if least is None else least)
+            node, other, least = a[-1], b[-1], first[-1]
+            if large:  # greater neighbours go to the least around, be it the node itself
+                goal, keep = np.minimum(first, a), ~again & (b > a)
+                yield kit.record(schema, b[keep], goal[keep], (goal < a)[keep])
+            else:  # the node and its other smaller neighbours go to the least of them
+                head = b == first
+                keep = np.where(head, new, ~again)
+                yield kit.record(schema, np.where(head, a, b)[keep], first[keep], ~head[keep])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of the component of each node that has a link.
 
-    Alternates two steps until nothing changes: every node hands its greater
-    neighbours, then its smaller ones, to the least node around it. Each is an
-    aggregate and a join, so a node may have any number of neighbours; a number of
-    rounds about the logarithm of the longest path is needed.
+    Alternates two steps until nothing moves: every node hands its greater neighbours,
+    then its smaller ones, to the least node around it. Each is one shuffle by node
+    and a pass over the sorted edges, so a node may have any number of neighbours; a
+    number of rounds about the logarithm of the longest path is needed.
     """
-    ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = materialize(ordered.distinct(), "links")
-    mark = None
+    spark = links.sparkSession
+    state = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        found = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if found == mark or not found[0]:
+        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        steps, moved = both, []
+        for large in (True, False):
+            seen = Observation()
+            steps = steps.repartition("a").sortWithinPartitions("a", "b").mapInArrow(least_of_runs(large), STEP)
+            steps = steps.observe(seen, F.count_if("moved").alias("moved")).select("a", "b")
+            moved.append(seen)
+        path = scratch_path(spark, "links")
+        steps.write.parquet(path)
+        state = spark.read.schema("a long, b long").parquet(path)
+        if not any(seen.get["moved"] for seen in moved):
             break
-        mark = found
-        around = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            state.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            around.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        large = materialize(large, "links")
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
-        state = materialize(small, "links")
     roots = state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
