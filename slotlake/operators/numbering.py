@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from slotlake.session import broadcast_if_small, materialize
 
 FILE, BLOCK, POS = "_file", "_block", "_pos"
+# A hash of file and block; what rows carry from which the two are gone.
+KEY = "_block_key"
 SCAN_COLUMNS = (FILE, BLOCK, POS)
 
 # Memory of one broadcast layout row, all integers, taken generously: 3.7 million
@@ -84,17 +86,21 @@ def number_records(
     # Blocks go by a hash, so that the layout is small; should two share one, the
     # positions tell which is meant.
     key = F.xxhash64(FILE, BLOCK)
+    if KEY in scan.columns:
+        scan = scan.withColumn("_own", F.col(KEY))
+    else:
+        scan = scan.withColumn("_own", key)
     offsets = block_offsets(layout).select(
         key.alias("_key"), "first_pos", "last_pos", "before", "file_before", "file_no"
     )
-    own_block = (key == F.col("_key")) & F.col(POS).between(F.col("first_pos"), F.col("last_pos"))
+    own_block = (F.col("_own") == F.col("_key")) & F.col(POS).between(F.col("first_pos"), F.col("last_pos"))
     joined = scan.join(broadcast_if_small(offsets, rows, LAYOUT_ROW_BYTES), own_block, "left")
     in_block = F.col(POS) - F.col("first_pos")
     record_no = F.when(F.col("before").isNotNull(), F.col("before") + in_block + 1).otherwise(
         F.raise_error(F.lit("input was split differently in the two passes; run again"))
         .cast("bigint")
     )
-    keep = [c for c in scan.columns if c not in SCAN_COLUMNS]
+    keep = [c for c in scan.columns if c not in (*SCAN_COLUMNS, KEY, "_own")]
     return joined.select(
         *keep, record_no.alias("record_no"), "file_before", "file_no"
     ).select(

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 # Broadcast only what was measured to stay below this many bytes in memory.
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
+_SHIPPED: set[str] = set()
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings every slotlake session should have. UTC is required: timestamps
@@ -75,6 +79,21 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application: the
+    driver serves it to them as a file."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="slotlake-code-")) / "slotlake.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) for any URI Spark can write to."""
     jvm = spark.sparkContext._jvm

@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake.functions import records as R
 from slotlake.functions.cells import WHITE_SPACE
 from slotlake.operators import numbering as N
 from slotlake.session import broadcast_if_small, literal_path, materialize
+from slotlake.sources.quotes import line_map, spanning_records
 
 
 class EmptyInputError(ValueError):
@@ -68,10 +69,38 @@ def has_header(spark: SparkSession, path: str, sep: str | None = None) -> bool:
     return line != "" and not _is_int64(line.split(sep)[0].strip(WHITE_SPACE))
 
 
-def _first_data_cell(cells: DataFrame, header: bool) -> str | None:
-    """First cell of the first data record, None if there is none."""
-    rows = cells.select(F.col("cells")[0]).head(2 if header else 1)[1 if header else 0 :]
-    return rows[0][0] if rows else None
+def _first_data_cell(spark: SparkSession, file: str, sep: str, header: bool) -> str | None:
+    """First cell of a file's first data record, None if there is none. The line that it
+    starts in is enough to know an integer; only a header over many lines asks for more
+    lines (a header of over 32,768 lines counts as all there is)."""
+    lines = _lines(spark, literal_path(file))
+    for some in (8, 512, 32_768):
+        values = [r.value for r in lines.head(some)]
+        records = _first_records(spark, values, sep)
+        if len(records) > header:
+            return records[header][0]
+        if len(values) < some:
+            break
+    return None
+
+
+def _first_records(spark: SparkSession, values: list[str], sep: str) -> list[list[str]]:
+    """The cells of the records of a few lines."""
+    rows = spark.createDataFrame([(v,) for v in values], "value string") if values else None
+    if rows is None:
+        return []
+    marked = rows.coalesce(1).select("value", line_map(F.col("value"), sep).alias("map")).collect()
+    texts, inside = [], 0
+    for row in marked:
+        if inside:
+            texts[-1] += "\n" + row.value
+        elif row.value != "":
+            texts.append(row.value)
+        inside = row.map >> inside & 1
+    cut = spark.createDataFrame(list(enumerate(texts)), "k int, text string") if texts else None
+    if cut is None:
+        return []
+    return [r.cells for r in cut.select("k", R.split_record(F.col("text"), sep).alias("cells")).orderBy("k").collect()]
 
 
 def line_layout(scan: DataFrame, sep: str) -> DataFrame:
@@ -105,101 +134,15 @@ def cells_of_lines(
     opened = layout.groupBy(N.FILE).agg(F.sum("open_lines").alias("open_lines"))
     opened = materialize(opened.where("open_lines > 0").select(N.FILE), "opened")
     layout = layout.drop("open_lines")
-    records, spanning = spanning_records(raw.join(opened, N.FILE, "left_semi"), sep)
-    return (
-        cells.join(opened, N.FILE, "left_anti").select("cells", *N.SCAN_COLUMNS).unionByName(records),
-        layout.join(opened, N.FILE, "left_anti").select("n", "first_pos", "last_pos", N.FILE, N.BLOCK)
-        .unionByName(spanning),
-    )
-
-
-def spanning_records(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
-    """Cells and layout of files whose records may go over several lines.
-
-    Whether a line starts inside a quote depends on all lines before it, but each
-    line maps that state to the next in one of four ways: keep, turn round, open,
-    closed. Within a block the last line that sets the state and the turns since
-    give the state of every line; the same over the blocks of a file gives the state
-    at each block's start. So blocks are worked on apart, and only a row per block is
-    put in order. A record belongs to the block in which it starts.
-    """
-    value, block = F.col("value"), (N.FILE, N.BLOCK)
-    quoted = value.contains('"')
-    after_closed = quoted & ~R.is_closed(value, sep)
-    after_open = ~quoted | ~R.is_closed(F.concat(F.lit('"'), value), sep)
-    sets = F.when(after_closed == after_open, after_closed.cast("int"))
-    turns = F.when(after_closed & ~after_open, 1).otherwise(0)
-    upto = Window.partitionBy(*block).orderBy(N.POS).rowsBetween(Window.unboundedPreceding, -1)
-    through = Window.partitionBy(*block).orderBy(N.POS).rowsBetween(Window.unboundedPreceding, 0)
-    nothing = F.lit(None).cast("int")
-
-    def state(last, turned, start):
-        """The state that the last setting left (else `start`), turned since."""
-        at = F.coalesce(last["value"], start)
-        since = turned - F.coalesce(last["turned"], F.lit(0))
-        return (at + since) % 2
-
-    marked = lines.select("value", *N.SCAN_COLUMNS, sets.alias("sets"), turns.alias("turns"))
-    marked = marked.withColumn("turned", F.sum("turns").over(through)).withColumn(
-        "setting",
-        F.when(F.col("sets").isNotNull(), F.struct(F.col("sets").alias("value"), F.col("turned").alias("turned"))),
-    )
-    marked = marked.withColumn("last", F.last("setting", ignorenulls=True).over(upto)).withColumn(
-        "turned_before", F.coalesce(F.sum("turns").over(upto), F.lit(0))
-    )
-    marked = materialize(marked.drop("sets", "turns"), "quotes")
-    ends = marked.groupBy(*block).agg(
-        F.max_by("setting", F.when(F.col("setting").isNotNull(), F.col(N.POS))).alias("last"),
-        F.max("turned").alias("turned"),
-    )
-    # The same again over blocks: what a block does to the state is to set it, or to
-    # turn it an odd or even number of times.
-    before = Window.partitionBy(N.FILE).orderBy(N.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(N.FILE).orderBy(N.BLOCK).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.when(F.col("last").isNotNull(), state(F.col("last"), F.col("turned"), nothing))
-    ends = ends.select(*block, left.alias("left"), F.when(F.col("last").isNull(), F.col("turned")).otherwise(0).alias("turns"))
-    ends = ends.withColumn("turned", F.sum("turns").over(over)).withColumn(
-        "setting",
-        F.when(F.col("left").isNotNull(), F.struct(F.col("left").alias("value"), F.col("turned").alias("turned"))),
-    )
-    starts = ends.select(
-        *block,
-        state(
-            F.last("setting", ignorenulls=True).over(before),
-            F.coalesce(F.sum("turns").over(before), F.lit(0)),
-            F.lit(0),
-        ).alias("start"),
-    )
-    inside = state(F.col("last"), F.col("turned_before"), F.col("start")) == 1
-    # Written, as the window over a file's blocks would else pass its partitioning on
-    # to the lines; a path and a few numbers a block.
-    starts = materialize(starts, "quote-states")
-    blocks = starts.count()
-    known = marked.join(broadcast_if_small(starts, blocks, 400), list(block)).select("value", *N.SCAN_COLUMNS, inside.alias("inside"))
-    known = known.where(F.col("inside") | (value != ""))
-    known = known.withColumn("number", F.count_if(~F.col("inside")).over(through))
-    known = materialize(known, "quoted-lines")
-    counts = known.groupBy(*block).agg(F.max("number").alias("n"))
-    # Lines ahead of a block's first record go on with the last one before it.
-    latest = F.last(F.when(F.col("n") > 0, F.struct(F.col(N.BLOCK).alias("block"), "n")), ignorenulls=True)
-    counts = materialize(counts.withColumn("open", latest.over(before)), "record-counts")
-    own = F.col("number") > 0
-    owners = broadcast_if_small(counts.select(*block, "open"), blocks, 400)
-    parts = known.join(owners, list(block)).select(
-        N.FILE,
-        F.when(own, F.col(N.BLOCK)).otherwise(F.col("open.block")).alias("at"),
-        (F.when(own, F.col("number")).otherwise(F.col("open.n")) - 1).alias("record"),
-        F.struct(N.BLOCK, N.POS, "value").alias("line"),
-    )
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n")
-    records = parts.groupBy(N.FILE, "at", "record").agg(text.alias("text")).select(
-        R.split_record(F.col("text"), sep).alias("cells"),
-        N.FILE, F.col("at").alias(N.BLOCK), F.col("record").alias(N.POS),
-    )
-    spanning = counts.where("n > 0").select(
-        "n", F.lit(0).cast("long").alias("first_pos"), (F.col("n") - 1).alias("last_pos"), *block
-    )
-    return records, materialize(spanning, "layout")
+    plain = layout.join(opened, N.FILE, "left_anti").select("n", "first_pos", "last_pos", N.FILE, N.BLOCK)
+    rows = opened.count()
+    lines = raw.join(broadcast_if_small(opened, rows, N.LAYOUT_ROW_BYTES * 4), N.FILE, "left_semi")
+    records, spanning = spanning_records(lines, sep)
+    if plain.isEmpty():
+        return records, spanning
+    cells = cells.join(broadcast_if_small(opened, rows, N.LAYOUT_ROW_BYTES * 4), N.FILE, "left_anti")
+    cells = cells.select("cells", F.xxhash64(N.FILE, N.BLOCK).alias(N.KEY), N.POS)
+    return cells.unionByName(records), plain.unionByName(spanning)
 
 
 def read_delimited(
@@ -231,12 +174,7 @@ def read_delimited(
     raw = N.with_positions(_lines(spark, path))
     scan, layout = cells_of_lines(raw, scan, layout, sep, head.open > 0)
     if auto_id is None:
-        if head.open:
-            first = scan.where(F.col(N.FILE) == head.file).orderBy(N.BLOCK, N.POS)
-        else:  # the file's first lines will do
-            first = _lines(spark, literal_path(unquote(head.file))).where(F.col("value") != "")
-            first = first.select(R.split_record(F.col("value"), sep).alias("cells"))
-        cell = _first_data_cell(first, header)
+        cell = _first_data_cell(spark, unquote(head.file), sep, header)
         auto_id = cell is not None and not _is_int64(cell)
     numbered = N.number_records(scan, layout, head.blocks)
     if header:
