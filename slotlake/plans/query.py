@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from slotlake.operators.fleet import broadcast_outcome
-from slotlake.session import scratch_path
+from slotlake.session import delete_path, scratch_path
 
 
 class QueryError(ValueError):
@@ -24,7 +25,8 @@ class QueryError(ValueError):
 
 @dataclass
 class QueryResult:
-    """A result that stays distributed; `count()` and `page()` are the actions."""
+    """A result that stays distributed; `count()` and `page()` are the actions. That of
+    a copy owns the rows that it wrote to the scratch folder: `close()` deletes them."""
 
     df: DataFrame | None
     source_index: int | None = None
@@ -33,6 +35,13 @@ class QueryResult:
     columns: list[dict[str, str]] = field(default_factory=list)
     row_count: int | None = None
     elapsed_ms: int | None = None
+    started: float | None = None
+    path: str | None = None
+
+    def close(self) -> None:
+        if self.path:
+            delete_path(self.df.sparkSession, self.path)
+            self.path = None
 
     def count(self) -> "QueryResult":
         start = time.monotonic()
@@ -55,14 +64,17 @@ def query(spark: SparkSession, sql: str) -> QueryResult:
     )
 
 
-def _on(spark: SparkSession, sql: str, databases: list[str], i: int) -> QueryResult:
+def _on(spark: SparkSession, sql: str, databases: list[str], i: int, tag: str | None = None) -> QueryResult:
     """Run the statement on a copy, once and to its end: rows go to the shared scratch
     folder, and status, row count and time are those of this run. Each run has a
     session of its own, so the caller's current database stays as it is."""
     if not sql.strip():
         raise QueryError("there is no statement to run")
-    start = time.monotonic()
+    start, began, context, path = time.monotonic(), time.time(), spark.sparkContext, None
+    tags = [tag, f"{tag}-{i}"] if tag else []
     try:
+        for name in tags:
+            context.addJobTag(name)
         own = spark.newSession()
         own.catalog.setCurrentDatabase(databases[i])
         df = own.sql(sql)
@@ -77,11 +89,23 @@ def _on(spark: SparkSession, sql: str, databases: list[str], i: int) -> QueryRes
             rows = spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
         count = seen.get["rows"] if df.columns else 0
     except Exception as exc:
-        return QueryResult(
-            None, i, "error", str(exc).split("\n")[0], elapsed_ms=_since(start)
-        )
+        if path:
+            delete_path(spark, path)
+        status = "cancelled" if "cancelled" in str(exc) and tags else "error"
+        return QueryResult(None, i, status, str(exc).split("\n")[0], elapsed_ms=_since(start), started=began)
+    finally:
+        for name in tags:
+            context.removeJobTag(name)
     columns = [{"name": n, "type": t} for n, t in df.dtypes]
-    return QueryResult(rows, i, columns=columns, row_count=count, elapsed_ms=_since(start))
+    return QueryResult(
+        rows, i, columns=columns, row_count=count, elapsed_ms=_since(start), started=began, path=path
+    )
+
+
+def cancel(spark: SparkSession, tag: str, copy: int | None = None) -> None:
+    """Stop a broadcast that runs under that tag, on all copies or on one. What has
+    answered by then stays an answer."""
+    spark.sparkContext.cancelJobsWithTag(tag if copy is None else f"{tag}-{copy}")
 
 
 def _since(start: float) -> int:
@@ -110,6 +134,17 @@ class BroadcastResult:
     status: str
     df: DataFrame | None
 
+    def __enter__(self) -> "BroadcastResult":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the rows of all copies."""
+        for result in self.results:
+            result.close()
+
     def summary(self, spark: SparkSession) -> DataFrame:
         """source_index, status, error, row_count of each copy."""
         rows = [(r.source_index, r.status, r.error, r.row_count) for r in self.results]
@@ -118,11 +153,18 @@ class BroadcastResult:
         )
 
 
-def query_all(spark: SparkSession, sql: str, databases: list[str]) -> BroadcastResult:
-    """Run on every copy; the answers are one union, tagged with `source_index`. A copy
-    that fails, before or while it runs, takes nothing from the others. The outcome
-    is that of `broadcast_outcome`: copies that are not in use do not count."""
-    results = [_on(spark, sql, databases, i) for i in range(len(databases))]
+def query_all(
+    spark: SparkSession, sql: str, databases: list[str], tag: str | None = None, at_once: int = 16
+) -> BroadcastResult:
+    """Run on every copy, `at_once` of them at a time; the answers are one union, tagged
+    with `source_index`. A copy that fails, before or while it runs, or is stopped by
+    `cancel` under the tag, takes nothing from the others. The outcome is that of
+    `broadcast_outcome`: copies that are not in use do not count."""
+    if not sql.strip():
+        raise QueryError("there is no statement to run")
+    tag = tag or f"broadcast-{uuid.uuid4().hex}"
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        results = list(pool.map(lambda i: _on(spark, sql, databases, i, tag), range(len(databases))))
     out = BroadcastResult(results, "ok", None)
     good = [r for r in results if r.status == "success"]
     if results:
