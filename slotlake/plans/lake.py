@@ -10,20 +10,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotlake.functions import rows as R
+from slotlake.functions.records import delimiter_of
 from slotlake.plans.commits import CommitLog
 from slotlake.plans.delta import Ledger, loads_name
 from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
-from slotlake.session import delete_path, marked_before, path_exists, touch
+from slotlake.session import delete_path, literal_path, marked_before, path_exists, touch
 from slotlake.sinks.files import write_rejects
 from slotlake.sources.datasets import load_prebuilt
-from slotlake.sources.delimited import read_delimited, read_lines_split
+from slotlake.sources.delimited import Before, delimited_part, lines_part, source_parts
 
 REJECTED = "rejected"
 DROPPED = "_DROPPED"
@@ -251,16 +252,23 @@ class Lake:
         `bulk` parses quotes, detects ids and is strict about booleans; `indexer`
         splits plain lines, always makes new ids and takes any boolean.
         """
+        return self._read(table, path, delimiter_of(path), method, header)[0]
+
+    def _read(
+        self, table: str, path: str | list[str], sep: str, method: str | None, header: bool | None,
+        before: Before | None = None,
+    ) -> tuple[DataFrame, Before | None]:
+        """`read_source` of some of a source's files, and what comes before the next."""
         schema = self.registry.get(table)
         method = method or schema.import_method
         header = schema.has_header if header is None else header
         if method == "bulk":
-            raw = read_delimited(self.spark, path, len(schema.columns), header=header)
+            raw, after = delimited_part(self.spark, path, len(schema.columns), sep, header, before=before)
         elif method == "indexer":
-            raw = read_lines_split(self.spark, path, header=header)
+            raw, after = lines_part(self.spark, path, sep, header, before)
         else:
             raise ValueError(f"unknown import method {method!r}")
-        return R.convert_rows(raw, schema.columns, lenient_bool=method == "indexer")
+        return R.convert_rows(raw, schema.columns, lenient_bool=method == "indexer"), after
 
     def load_part(self, converted: DataFrame, location: str) -> dict:
         """Write converted rows, good and rejected ones apart, in one pass; returns
@@ -295,6 +303,7 @@ class Lake:
         max_failed: int | None = None,
         part_lines: int | None = None,
         resume: bool | None = False,
+        part_bytes: int | None = None,
     ) -> ImportReport:
         """Load a file into the idle slot, then swap it in and drop the old slot.
 
@@ -302,9 +311,10 @@ class Lake:
         runs at a time; another is refused. `max_failed` turns too many rejects into
         a failure.
 
-        The slot is built of parts of `part_lines` lines each (one part, if not
-        given; each part reads the source again). After a part is written, the job's
-        record says so. A failure leaves the finished parts, and `resume` goes on
+        The slot is built in parts: of whole files of about `part_bytes` bytes in all,
+        each of which is read by its own part alone, whose numbers go on behind the
+        parts before; or of `part_lines` lines each, for which each part reads the
+        source again; or in one. After a part is written, the job's record says so. A failure leaves the finished parts, and `resume` goes on
         behind them, in the same slot: the table it swaps in holds all parts. It is
         refused if there is no such job for this table and path, or if that one read
         the file otherwise; None resumes if there is one. With False an import starts
@@ -314,7 +324,9 @@ class Lake:
         resumed after `unlock_import`; if that one is alive after all, its next step is
         refused.
         """
-        how = {"method": method, "header": header, "part_lines": part_lines}
+        if part_lines and part_bytes:
+            raise ValueError("parts are either of lines or of files")
+        how = {"method": method, "header": header, "part_lines": part_lines, "part_bytes": part_bytes}
         with self._only_import(table) as (job, save):
             again = job.get("status") == "failed" and job.get("path") == path
             if resume and not again:
@@ -350,6 +362,8 @@ class Lake:
 
     def _build_slot(self, job: dict, save: Callable[[dict], None], max_failed: int | None) -> None:
         """Write the parts behind those that the job has; counts each as it is done."""
+        if job["how"]["part_bytes"]:
+            return self._build_by_files(job, save, max_failed)
         part_lines = job["how"]["part_lines"]
         converted = self.read_source(job["table"], job["path"], job["how"]["method"], job["how"]["header"])
         while True:
@@ -357,17 +371,7 @@ class Lake:
             rest = R.after_line(converted, start) if start else converted
             if part_lines:
                 rest = rest.where(F.col("line_no") <= start + part_lines)
-            part = f"{job['location']}/part-{len(job['parts']):05}"
-            delete_path(self.spark, part)  # of a run that stopped midway
-            counts = self.load_part(rest, part)
-            failed = job["failed"] + counts["failed"]
-            if max_failed is not None and failed > max_failed:
-                delete_path(self.spark, part)
-                raise ImportFailedError(f"{job['table']}: {failed} rows rejected")
-            job["parts"].append(part)
-            job["processed"] += counts["processed"]
-            job["failed"] = failed
-            job["last_line"] = max(job["last_line"], counts["last_line"])
+            counts = self._add_part(job, rest, max_failed)
             job["upto"] = start + part_lines if part_lines else job["last_line"]
             full = part_lines and counts["processed"] + counts["failed"] == part_lines
             job["built"] = not part_lines or not (full or R.after_line(converted, job["upto"]).head(1))
@@ -375,6 +379,46 @@ class Lake:
             if job["built"]:
                 return
 
+    def _build_by_files(self, job: dict, save: Callable[[dict], None], max_failed: int | None) -> None:
+        """Parts of whole files. The list of files is written when the job begins, so a
+        resume has the same parts; a part knows how many records and files come before
+        it, and reads its own files only."""
+        how, listed = job["how"], f"{job['location']}/_files"
+        if not path_exists(self.spark, f"{listed}/_SUCCESS"):
+            parts = source_parts(self.spark, job["path"], how["part_bytes"])
+            parts.write.mode("overwrite").parquet(listed)
+        files = self.spark.read.schema("part bigint, path string").parquet(listed)
+        numbers = [r.part for r in files.select("part").distinct().orderBy("part").collect()]
+        if not numbers:  # says what an empty source is
+            numbers, own = [0], [job["path"]]
+        sep = delimiter_of(job["path"])
+        for k, number in enumerate(numbers):
+            if k >= len(job["parts"]):
+                if files.head(1):
+                    rows = files.where(F.col("part") == number).orderBy("path").collect()
+                    own = [literal_path(r.path) for r in rows]
+                before = Before(**job.get("before", {}))
+                converted, after = self._read(job["table"], own, sep, how["method"], how["header"], before)
+                self._add_part(job, converted, max_failed)
+                job["before"] = asdict(after)
+                job["upto"] = after.records
+                job["built"] = k == len(numbers) - 1
+                save(job | {"status": "running", "error": ""})
+
+    def _add_part(self, job: dict, rows: DataFrame, max_failed: int | None) -> dict:
+        part = f"{job['location']}/part-{len(job['parts']):05}"
+        delete_path(self.spark, part)  # of a run that stopped midway
+        counts = self.load_part(rows, part)
+        failed = job["failed"] + counts["failed"]
+        if max_failed is not None and failed > max_failed:
+            delete_path(self.spark, part)
+            raise ImportFailedError(f"{job['table']}: {failed} rows rejected")
+        job["parts"].append(part)
+        job["processed"] += counts["processed"]
+        job["failed"] = failed
+        job["last_line"] = max(job["last_line"], counts["last_line"])
+        return counts
+
     def _finish_slot(self, job: dict, save: Callable[[dict], None]) -> None:
         """Make the parts a table, check its rows, store the rejects, and swap."""
         table, name = job["table"], main_name(job["table"], job["slot"])

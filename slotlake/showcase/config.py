@@ -26,8 +26,8 @@ def _type_of(key):
 
 
 def column_config(spark, sf_dir):
-    """A column config with a column for each nation: types, their classes, the stored
-    type, and the DDL text of all."""
+    """A column config with a column for each nation, read back: types, their classes and
+    the DDL text of all, looked up for the nation of every customer."""
     columns = F.struct(
         F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("name"),
         _type_of("n_nationkey").alias("type"),
@@ -38,11 +38,13 @@ def column_config(spark, sf_dir):
     read = load_columns(path, spark)
     rows = [(k, c.name, c.type, c.is_string, c.is_numeric) for k, c in enumerate(read)]
     schema = "position bigint, name string, type string, is_string boolean, is_numeric boolean"
-    return spark.createDataFrame(rows, schema).withColumn("ddl", F.lit(create_table_text("nations", read)))
+    known = spark.createDataFrame(rows, schema).withColumn("ddl", F.md5(F.lit(create_table_text("nations", read))))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("position"))
+    return customers.join(known, "position")
 
 
 def registry_file(spark, sf_dir):
-    """A registry with a table for each region; each nation's table looked up by the
+    """A registry with a table for each region; each customer's table looked up by the
     name of one of its slots."""
     config = F.when(
         F.col("r_regionkey") % 2 == 0,
@@ -56,24 +58,27 @@ def registry_file(spark, sf_dir):
     doc = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.lower("r_name").alias("k"), body.alias("v")))))
     path = _text_file(table(spark, sf_dir, "region").agg(doc.alias("value")), "registry")
     known = load_registry(path, spark).to_df(spark)
-    slots = table(spark, sf_dir, "nation").join(
+    nations = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_name", F.concat(F.lower("r_name"), F.lit("_main_b")).alias("name"))
+    )
+    slots = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.concat(F.lower("r_name"), F.lit("_main_b")).alias("name")
+    )
     return TB.with_schema(slots, known).select(
-        "n_name", "name", "import_method", "cluster_main", "agent_retry_count", "has_header", "n_columns"
+        "c_custkey", "name", "import_method", "cluster_main", "agent_retry_count", "has_header", "n_columns"
     )
 
 
 def job_files(spark, sf_dir):
-    """A job record for each nation, a JSON file each, read after a restart."""
-    key = F.col("n_nationkey")
-    jobs = table(spark, sf_dir, "nation").select(
-        text_of("job-", key).alias("id"), F.col("n_name").alias("table"), text_of("/in/", key, ".csv").alias("csvPath"),
-        F.get(F.array(*[F.lit(s) for s in ("pending", "running", "completed", "failed")]), key % 4).alias("status"),
+    """A job record for each supplier, a JSON file each, read after a restart."""
+    key = F.col("s_suppkey")
+    jobs = table(spark, sf_dir, "supplier").select(
+        text_of("job-", key).alias("id"), F.col("s_name").alias("table"), text_of("/in/", key, ".csv").alias("csvPath"),
+        F.get(F.array(*[F.lit(s) for s in ("pending", "running", "completed", "failed")]), (key % 4).cast("int")).alias("status"),
         (key + 1).alias("startedAt"), F.when(key % 4 > 1, key + 2).alias("endedAt"), (key * 10).alias("lastLineNum"),
     )
     path = scratch_path(spark, "job-files")
-    jobs.coalesce(1).write.option("maxRecordsPerFile", 1).json(path)
+    jobs.repartition(16, "id").write.option("maxRecordsPerFile", 1).json(path)
     return DS.read_jobs(spark, path, NOW).select("id", "table", "csvPath", "status", "error", "startedAt", "endedAt", "lastLineNum")
 
 
@@ -85,23 +90,24 @@ QUERIES = {
     "column_config": (
         column_config,
         f"""WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS k, lower(replace(n_name, ' ', '_')) AS name FROM nation),
-          d AS (SELECT 'CREATE TABLE IF NOT EXISTS nations (id bigint, ' || string_agg(name || ' ' ||
-            {_DDL_LIST}[CAST(k % {len(TYPES)} AS INTEGER) + 1], ', ' ORDER BY k) || ')' AS ddl FROM n)
-        SELECT k AS position, name, {_TYPE} AS type, {_TYPE} IN ('field', 'field_string', 'attr_string') AS is_string,
-          {_TYPE} IN ('attr_uint', 'attr_bigint', 'attr_float', 'attr_timestamp') AS is_numeric, ddl FROM n, d""",
+          d AS (SELECT md5('CREATE TABLE IF NOT EXISTS nations (id bigint, ' || string_agg(name || ' ' ||
+            {_DDL_LIST}[CAST(k % {len(TYPES)} AS INTEGER) + 1], ', ' ORDER BY k) || ')') AS ddl FROM n)
+        SELECT c_custkey, k AS position, name, {_TYPE} AS type, {_TYPE} IN ('field', 'field_string', 'attr_string') AS is_string,
+          {_TYPE} IN ('attr_uint', 'attr_bigint', 'attr_float', 'attr_timestamp') AS is_numeric, ddl
+        FROM customer JOIN n ON c_nationkey = k, d""",
     ),
     "registry_file": (
         registry_file,
-        """SELECT n_name, lower(r_name) || '_main_b' AS name,
+        """SELECT c_custkey, lower(r_name) || '_main_b' AS name,
           CASE WHEN r_regionkey % 2 = 0 THEN 'indexer' ELSE 'bulk' END AS import_method, true AS cluster_main,
           CASE WHEN r_regionkey % 2 = 0 THEN CAST(r_regionkey AS INTEGER) ELSE 0 END AS agent_retry_count,
           CASE WHEN r_regionkey % 2 = 0 THEN r_regionkey > 2 END AS has_header, 1 AS n_columns
-        FROM nation JOIN region ON n_regionkey = r_regionkey""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     ),
     "job_files": (
         job_files,
-        f"""WITH j AS (SELECT n_nationkey AS k, n_name FROM nation)
-        SELECT 'job-' || k AS id, n_name AS "table", '/in/' || k || '.csv' AS "csvPath",
+        f"""WITH j AS (SELECT s_suppkey AS k, s_name FROM supplier)
+        SELECT 'job-' || k AS id, s_name AS "table", '/in/' || k || '.csv' AS "csvPath",
           CASE WHEN k % 4 = 2 THEN 'completed' ELSE 'failed' END AS status,
           CASE WHEN k % 4 < 2 THEN '{DS.RESTART_MESSAGE}' END AS error, CAST(k + 1 AS BIGINT) AS "startedAt",
           CASE WHEN k % 4 < 2 THEN CAST({NOW} AS BIGINT) ELSE CAST(k + 2 AS BIGINT) END AS "endedAt",

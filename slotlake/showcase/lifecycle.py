@@ -13,7 +13,7 @@ from slotlake.plans import query as Q
 from slotlake.plans import snapshots as S
 from slotlake.plans.lake import DuplicateImportError, ImportFailedError, Lake
 from slotlake.schema import columns_of, delta_name, main_name
-from slotlake.session import delete_path, scratch_path
+from slotlake.session import delete_path, hadoop_path, materialize, scratch_path
 from slotlake.showcase.common import (
     ORDER_COLUMNS,
     ORDERS_SQL,
@@ -237,6 +237,36 @@ def resume_import(spark, sf_dir):
     )
 
 
+def import_in_parts(spark, sf_dir):
+    """Whole files in parts of some KB; the last part fails at a bad line, and the import
+    resumes behind the finished ones."""
+    lake = new_lake(spark, "orders", ORDER_COLUMNS)
+    last = F.col("id") == table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).head()[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # several files
+        path = _orders_file(spark, sf_dir, line=F.when(last, F.concat(order_line(), F.lit("?"))).otherwise(order_line()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    bad = spark.read.text(path).where("value LIKE '%?'").select(F.col("_metadata.file_path")).head()[0]
+    try:
+        lake.import_table("orders", path, max_failed=0, part_bytes=1 << 14)
+    except ImportFailedError:
+        pass
+    done = lake.import_jobs().head().processed
+    # The list of files is that of the beginning, so the bad one is mended in place.
+    mended = materialize(spark.read.text(bad).select(F.rtrim("value", F.lit("?")).alias("value")), "mended")
+    draft = scratch_path(spark, "draft")
+    mended.coalesce(1).write.text(draft)
+    made = spark.read.text(draft).select(F.col("_metadata.file_path")).head()[0]
+    fs, old = hadoop_path(spark, bad)
+    fs.delete(old, False)
+    fs.rename(hadoop_path(spark, made)[1], old)
+    report = lake.import_table("orders", path, max_failed=0, part_bytes=1 << 14, resume=True)
+    return lake.table("orders").withColumns(
+        {"resumed": F.lit(0 < done < report.processed), "last_line": F.lit(report.last_line).cast("bigint")}
+    )
+
+
 def duplicate_import_refused(spark, sf_dir):
     """While an import of a table runs, another one of it is refused."""
     lake = _live_lake(spark, sf_dir)
@@ -603,6 +633,10 @@ QUERIES = {
         f"""WITH o AS ({ORDERS_SQL}) SELECT *, true AS resumed, 'a' AS slot,
           (SELECT count(*) FROM orders) AS processed FROM o""",
     ),
+    "import_in_parts": (
+        import_in_parts,
+        f"""WITH o AS ({ORDERS_SQL}) SELECT *, true AS resumed, (SELECT count(*) FROM orders) AS last_line FROM o""",
+    ),
     "duplicate_import_refused": (
         duplicate_import_refused, f"WITH o AS ({ORDERS_SQL}) SELECT *, true AS refused FROM o"
     ),

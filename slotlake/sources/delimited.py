@@ -7,6 +7,7 @@ line breaks: the state of the quotes is carried from block to block.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,31 @@ class EmptyInputError(ValueError):
     """There is no first line to look at."""
 
 
+@dataclass(frozen=True)
+class Before:
+    """Records and files of the parts of a source that come before this one, and what
+    was found out about the source in its first part."""
+
+    records: int = 0
+    files: int = 0
+    header: bool | None = None
+    auto_id: bool | None = None
+
+
+def behind(layout: DataFrame, before: Before, header: bool, auto_id: bool) -> Before:
+    """What comes before the next part, if this one has the given layout."""
+    zero = F.lit(0)
+    seen = layout.agg(F.coalesce(F.sum("n"), zero), F.count_distinct(N.FILE)).head()
+    return Before(before.records + seen[0], before.files + seen[1], header, auto_id)
+
+
+def source_parts(spark: SparkSession, path: str, part_bytes: int) -> DataFrame:
+    """part, path: the files of a source in parts of about `part_bytes` bytes, by name."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+    ahead = N.running_total(files, ["path"], {"length": "ahead"})
+    return ahead.select(F.floor(F.col("ahead") / F.lit(part_bytes)).alias("part"), "path")
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
     """Lines without their terminator; a single trailing carriage return is cut."""
     raw = spark.read.option("lineSep", "\n").text(paths)
@@ -161,14 +187,31 @@ def read_delimited(
     1, 2, 3, ... in file order. Every file of a directory carries the header or
     none does. Line numbers count records over all files, headers included.
     """
-    sep = sep or R.delimiter_of(path)
+    rows, _ = delimited_part(spark, path, width, sep or R.delimiter_of(path), header, auto_id)
+    return rows
+
+
+def delimited_part(
+    spark: SparkSession,
+    path: str | list[str],
+    width: int,
+    sep: str,
+    header: bool | None = None,
+    auto_id: bool | None = None,
+    before: Before | None = None,
+) -> tuple[DataFrame, Before | None]:
+    """`read_delimited` of some files of a source, whose numbers go on behind those of
+    the files before; with that, also what comes before the next ones."""
+    at = before or Before()
+    header = at.header if at.header is not None else header
+    auto_id = at.auto_id if at.auto_id is not None else auto_id
     scan = scan_lines(spark, path)
     layout = line_layout(scan, sep)
     head = layout_summary(layout)
     if head.file is None:
-        if header is not False:
+        if header is not False and not at.files:
             raise EmptyInputError("there is no line to look at")
-        return spark.createDataFrame([], "line_no bigint, cells array<string>")
+        return spark.createDataFrame([], "line_no bigint, cells array<string>"), before
     if header is None:
         header = has_header(spark, literal_path(unquote(head.file)), sep)
     raw = N.with_positions(_lines(spark, path))
@@ -179,11 +222,13 @@ def read_delimited(
     numbered = N.number_records(scan, layout, head.blocks)
     if header:
         numbered = numbered.where(F.col("file_record_no") > 1)
+    number = F.col("record_no") + at.records
     if auto_id:
-        headers = F.col("file_no") if header else F.lit(0)
-        new_id = (F.col("record_no") - headers).cast("string")
+        headers = F.col("file_no") + at.files if header else F.lit(0)
+        new_id = (number - headers).cast("string")
         numbered = numbered.withColumn("cells", F.concat(F.array(new_id), "cells"))
-    return numbered.select(F.col("record_no").alias("line_no"), "cells")
+    rows = numbered.select(number.alias("line_no"), "cells")
+    return rows, before and behind(layout, before, header, auto_id)
 
 
 def read_lines_split(
@@ -196,14 +241,27 @@ def read_lines_split(
 
     No quoting rule applies and blank lines are skipped, so every file splits.
     """
-    sep = sep or R.delimiter_of(path)
+    rows, _ = lines_part(spark, path, sep or R.delimiter_of(path), header)
+    return rows
+
+
+def lines_part(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str,
+    header: bool | None = None,
+    before: Before | None = None,
+) -> tuple[DataFrame, Before | None]:
+    """`read_lines_split` of some files of a source, as `delimited_part`."""
+    at = before or Before()
+    header = at.header if at.header is not None else header
     scan = scan_lines(spark, path)
     layout = N.block_layout(scan)
     head = layout.agg(F.min(N.FILE).alias("file"), F.count("*").alias("blocks")).head()
     if head.file is None:
-        if header is not False:
+        if header is not False and not at.files:
             raise EmptyInputError("there is no line to look at")
-        return spark.createDataFrame([], "line_no bigint, cells array<string>")
+        return spark.createDataFrame([], "line_no bigint, cells array<string>"), before
     if header is None:
         header = has_header(spark, literal_path(unquote(head.file)), sep)
     scan = scan.select(
@@ -212,9 +270,8 @@ def read_lines_split(
     numbered = N.number_records(scan, layout, head.blocks)
     if header:
         numbered = numbered.where(F.col("file_record_no") > 1)
-    headers = F.col("file_no") if header else F.lit(0)
-    new_id = (F.col("record_no") - headers - 1).cast("string")
-    return numbered.select(
-        F.col("record_no").alias("line_no"),
-        F.concat(F.array(new_id), "cells").alias("cells"),
-    )
+    number = F.col("record_no") + at.records
+    headers = F.col("file_no") + at.files if header else F.lit(0)
+    new_id = (number - headers - 1).cast("string")
+    rows = numbered.select(number.alias("line_no"), F.concat(F.array(new_id), "cells").alias("cells"))
+    return rows, before and behind(layout, before, header, True)

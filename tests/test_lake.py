@@ -113,6 +113,54 @@ def test_resume_keeps_the_finished_parts(lake, tmp_path):
         lake.import_table("products", path, resume=True)  # nothing failed
 
 
+def many_files(tmp_path, n, bad=()):
+    folder = tmp_path / "many"
+    folder.mkdir(exist_ok=True)
+    for k in range(n):
+        lines = [f"g{k}x{j},{'?' if (k, j) in bad else j}" for j in range(k % 3 + 1)]
+        (folder / f"f{k:02}.csv").write_text("name,price\n" + "".join(x + "\n" for x in lines))
+    (folder / "f03a.csv").write_text("\n\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("method", ["bulk", "indexer"])
+def test_parts_of_files_read_each_file_once(lake, tmp_path, monkeypatch, method):
+    """Ids, line numbers and rejects are those of an import in one part, and each part
+    reads its own files: once to count, once to convert."""
+    from slotlake.sources import delimited
+
+    path = many_files(tmp_path, 9, bad={(2, 1), (5, 0)})
+    whole = lake.import_table("products", path, method=method)
+    want, rejects = rows(lake), {r.line for r in lake.rejects(whole.job_id).collect()}
+    read, plain = [], delimited._lines
+    monkeypatch.setattr(
+        delimited, "_lines", lambda spark, paths: (isinstance(paths, list) and read.extend(paths)) or plain(spark, paths)
+    )
+    report = lake.import_table("products", path, method=method, part_bytes=60)
+    assert rows(lake) == want and {r.line for r in lake.rejects(report.job_id).collect()} == rejects
+    assert (report.processed, report.failed, report.last_line) == (whole.processed, whole.failed, whole.last_line)
+    parts = lake._imports("products").latest()[1]["parts"]
+    assert len(parts) > 3 and len(set(read)) == 10
+    # the scan to count and the one to convert are one frame; `raw` is for open quotes
+    assert max(read.count(f) for f in set(read)) <= 2
+
+
+def test_resume_of_parts_of_files(lake, tmp_path):
+    path = many_files(tmp_path, 9, bad={(7, 1)})
+    with pytest.raises(ImportFailedError):
+        lake.import_table("products", path, max_failed=0, part_bytes=60)
+    job = lake._imports("products").latest()[1]
+    assert job["status"] == "failed" and len(job["parts"]) >= 2 and job["before"]["files"] > 2
+    with pytest.raises(ImportFailedError):
+        lake.import_table("products", path, max_failed=0, resume=True)  # begun in another way
+    path = many_files(tmp_path, 9)
+    (tmp_path / "many" / "f00.csv").write_text("broken")  # finished: not read again
+    report = lake.import_table("products", path, max_failed=0, part_bytes=60, resume=None)
+    assert report.processed == 18 and [r[0] for r in rows(lake)] == list(range(1, 19))
+    with pytest.raises(ValueError):
+        lake.import_table("products", path, part_bytes=1, part_lines=1)
+
+
 def test_parts_of_header_lines_only(lake, tmp_path):
     path = put(tmp_path, "a.csv", "id,name,price\n1,a,1\n2,b,?\n3,c,3\n")
     report = lake.import_table("products", path, part_lines=1)
