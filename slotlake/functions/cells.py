@@ -293,18 +293,18 @@ def shortest_text(v: SparkColumn) -> SparkColumn:
     """
     text = v.cast("string")
 
-    def rounded(digits: int) -> SparkColumn:
-        short = F.format_string(f"%.{digits - 1}e", v)
-        short = F.replace(F.replace(short, F.lit("e+"), F.lit("E")), F.lit("e"), F.lit("E"))
-        return F.when(short.try_cast("double") == v, short)
+    def rounded(digits: SparkColumn) -> SparkColumn:
+        form = F.concat(F.lit("%."), (digits - 1).cast("string"), F.lit("e"))
+        short = F.call_function("format_string", form, v)
+        return F.replace(F.replace(short, F.lit("e+"), F.lit("E")), F.lit("e"), F.lit("E"))
 
-    digits = F.length(F.regexp_replace(text, r"E.*\z|^-?0\.0*|[-.]|\.0\z", ""))
     subnormal = (F.abs(v) > 0) & (F.abs(v) < SMALLEST_NORMAL)
-    return (
-        F.when(subnormal, F.coalesce(*[rounded(n) for n in range(1, 17)], text))
-        .when(digits > 15, F.coalesce(rounded(15), rounded(16), text))
-        .otherwise(text)
-    )
+    # With a point and a digit on either side, 16 characters hold 15 digits at most.
+    digits = F.length(F.regexp_replace(text, r"E.*\z|^-?0\.0*|[-.]|\.0\z", ""))
+    long = (F.length(text) > 16) & (digits > 15)
+    tried = F.transform(F.sequence(F.when(subnormal, 1).otherwise(15), F.lit(16)), rounded)
+    short = F.get(F.filter(tried, lambda s: s.try_cast("double") == v), F.lit(0))
+    return F.when(subnormal | long, F.coalesce(short, text)).otherwise(text)
 
 
 def plain_decimal(v: SparkColumn) -> SparkColumn:

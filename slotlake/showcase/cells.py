@@ -173,7 +173,7 @@ def float_text(spark, sf_dir):
         "l_orderkey",
         C.plain_decimal(F.col("l_extendedprice")).alias("price"),
         C.plain_decimal(F.col("l_quantity") * 100000000.0).alias("large"),
-        C.plain_decimal(F.col("l_quantity") / 4096 / 1024).cast("double").alias("small"),
+        C.plain_decimal(F.col("l_quantity") / 4096 / 1024).alias("small"),
     )
 
 
@@ -311,9 +311,10 @@ QUERIES = {
     ),
     "float_text": (
         float_text,
-        """SELECT l_orderkey, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS price,
+        """WITH t AS (SELECT *, string_split(CAST(l_quantity / 4096 / 1024 AS VARCHAR), 'e-') AS s FROM lineitem)
+        SELECT l_orderkey, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS price,
           CAST(CAST(l_quantity * 100000000 AS BIGINT) AS VARCHAR) AS large,
-          l_quantity / 4096 / 1024 AS small FROM lineitem""",
+          '0.' || repeat('0', CAST(s[2] AS INTEGER) - 1) || replace(regexp_replace(s[1], '\\.0$', ''), '.', '') AS small FROM t""",
     ),
     "all_types_typed": (
         all_types_typed,

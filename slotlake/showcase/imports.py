@@ -112,22 +112,17 @@ def line_numbers(spark, sf_dir):
 
 
 def table_row_numbers(spark, sf_dir):
-    """Rows of a parquet table counted in file order."""
+    """Rows of a parquet table numbered in file order, row by row."""
     numbered = N.dense_numbers(N.with_positions(table(spark, sf_dir, "orders")))
-    return numbered.agg(
-        F.count("*").alias("rows"),
-        F.min("record_no").alias("first_no"),
-        F.max("record_no").alias("last_no"),
-        F.sum("record_no").alias("sum_no"),
-    )
+    return numbered.select("o_orderkey", "record_no")
 
 
 def chunk_checkpoints(spark, sf_dir):
-    numbered = N.dense_numbers(
-        N.with_positions(table(spark, sf_dir, "lineitem").select("l_orderkey", "_metadata")),
-        "line_no",
-    )
-    return N.chunk_checkpoints(numbered, "line_no", "line_no", batch_size=1000, workers=4)
+    """The line to resume from behind each chunk, and the row that stands there."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "_metadata")
+    numbered = N.dense_numbers(N.with_positions(rows), "line_no").drop("_metadata")
+    points = N.chunk_checkpoints(numbered, "line_no", "line_no", batch_size=1000, workers=4)
+    return points.join(numbered, F.col("last_line") == F.col("line_no")).drop("line_no")
 
 
 def resume_from_line(spark, sf_dir):
@@ -216,10 +211,8 @@ def header_detection(spark, sf_dir):
 
 
 def preview_rows(spark, sf_dir):
-    raw = D.read_delimited(spark, part_file(spark, sf_dir), 3)
-    return D.preview(raw.orderBy("line_no"), 25).select(
-        "line_no", F.array_join("cells", "|").alias("cells")
-    )
+    first = D.preview(spark, part_file(spark, sf_dir), 25)
+    return first.select("line_no", F.array_join("cells", "|").alias("cells"))
 
 
 def typed_schema(spark, sf_dir):
@@ -243,12 +236,13 @@ SUPPLIER_COLUMNS = columns_of(("balance", "attr_float"), ("name", "attr_string")
 
 
 def _suppliers(spark, sf_dir):
-    """`supplier` as typed rows with a quote in each name."""
-    return table(spark, sf_dir, "supplier").select(
+    """`supplier` as typed rows with a quote in each name, numbered in file order."""
+    rows = N.dense_numbers(N.with_positions(table(spark, sf_dir, "supplier")), "row_no")
+    return rows.select(
         F.col("s_suppkey").alias("id"),
         text_of(F.col("s_name"), "'s").alias("name"),
         F.col("s_acctbal").alias("balance"),
-        (F.col("s_suppkey") + 1).alias("row_no"),
+        "row_no",
     )
 
 
@@ -380,14 +374,13 @@ QUERIES = {
     ),
     "table_row_numbers": (
         table_row_numbers,
-        """SELECT count(*) AS rows, CAST(1 AS BIGINT) AS first_no, count(*) AS last_no,
-          CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS sum_no FROM orders""",
+        "SELECT o_orderkey, row_number() OVER () AS record_no FROM orders",
     ),
     "chunk_checkpoints": (
         chunk_checkpoints,
-        """WITH n AS (SELECT row_number() OVER () AS n FROM lineitem)
-        SELECT CAST((n - 1) // 8000 AS BIGINT) AS chunk_no, count(*) AS records,
-          max(n) AS last_line FROM n GROUP BY 1""",
+        """WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER () AS n FROM lineitem)
+        SELECT CAST((n - 1) // 8000 AS BIGINT) AS chunk_no, count(*) AS records, max(n) AS last_line,
+          arg_max(l_orderkey, n) AS l_orderkey, arg_max(l_linenumber, n) AS l_linenumber FROM n GROUP BY 1""",
     ),
     "resume_from_line": (
         resume_from_line,

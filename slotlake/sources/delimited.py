@@ -65,9 +65,34 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
     return N.with_positions(scan).withColumnRenamed("value", "record")
 
 
-def preview(df: DataFrame, n: int) -> DataFrame:
-    """First n rows."""
-    return df.limit(n)
+def preview(spark: SparkSession, path: str, n: int, sep: str | None = None) -> DataFrame:
+    """line_no, cells: the first n records of a source, as they stand in its first files.
+    No more is read than the first lines of as many files as it takes (a file whose
+    first records go over more than 32,768 lines shows those that end before)."""
+    sep, last, found = sep or R.delimiter_of(path), "", []
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    while len(found) < n:
+        names = [r.path for r in files.where(F.col("path") > last).orderBy("path").limit(n).collect()]
+        for name in names if names else ():
+            found += _head_records(spark, name, n - len(found), sep)
+            if len(found) >= n:
+                break
+        if not names:
+            break
+        last = names[-1]
+    return spark.createDataFrame([(k + 1, c) for k, c in enumerate(found)], "line_no bigint, cells array<string>")
+
+
+def _head_records(spark: SparkSession, file: str, n: int, sep: str) -> list[list[str]]:
+    lines = _lines(spark, literal_path(file))
+    for some in (2 * n, 16 * n, max(32_768, 16 * n)):
+        values = [r.value for r in lines.head(some)]
+        records = _first_records(spark, values, sep)
+        whole = len(values) < some
+        # The last record may go on behind these lines.
+        if whole or len(records) > n:
+            break
+    return (records if whole else records[:-1])[:n]
 
 
 def _is_int64(cell: str) -> bool:
