@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_SHIPPED: set[str] = set()
-
+from slotlake.session import ship_package as ship_package
 
 def arrow_schema(schema: StructType | str) -> pa.Schema:
     """The Arrow schema of a Spark schema or DDL text."""
@@ -25,21 +20,6 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application: the
-    driver serves it to them as a file."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="slotlake-code-")) / "slotlake.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
