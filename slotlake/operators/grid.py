@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotlake.functions.names import display_text
 from slotlake.functions.rows import any_of
+from slotlake.operators.numbering import running_total
+from slotlake.session import materialize
 
 
 def search(df: DataFrame, text: str) -> DataFrame:
@@ -63,6 +65,56 @@ def page_after(
     return following.orderBy(*_order(column, direction, tiebreak)).limit(size)
 
 
+class Pages:
+    """Any page of a sorted table at the cost of a range of it.
+
+    The sort keys are dealt into ranges of about `range_rows` rows once; a row for each
+    range tells its first and last key and how many rows come before. A page looks up
+    its range there, filters the table by the keys at its ends, which goes to the scan,
+    and sorts what is left. The tie break must be without nulls and duplicates.
+    """
+
+    def __init__(
+        self, df: DataFrame, column: str, direction: str = "asc", tiebreak: str = "id", range_rows: int = 100_000
+    ):
+        self.df, self.column, self.direction, self.tiebreak = df, column, direction, tiebreak
+        self.order = _order(column, direction, tiebreak)
+        keys = df.select(*dict.fromkeys([column, tiebreak]))
+        ranges = max(1, -(-df.count() // range_rows))
+        cut = keys.repartitionByRange(ranges, *self.order).sortWithinPartitions(*self.order)
+        ends = [
+            fn(F.col(name)).alias(f"{label}_{kind}")
+            for label, fn in (("first", F.first), ("last", F.last))
+            for kind, name in (("value", column), ("tie", tiebreak))
+        ]
+        index = cut.groupBy(F.spark_partition_id().alias("range")).agg(F.count("*").alias("n"), *ends)
+        self.index = materialize(running_total(index, ["range"], {"n": "before"}), "page-index")
+
+    def _ahead(self, value, tie, strict: bool) -> Column:
+        """Rows whose key stands before the given one, or is it unless `strict`. Nulls
+        come first in ascending order and last in descending order."""
+        v, t = F.col(self.column), F.col(self.tiebreak)
+        tied = v.eqNullSafe(F.lit(value)) & ((t < F.lit(tie)) if strict else (t <= F.lit(tie)))
+        if self.direction == "asc":
+            before = F.lit(False) if value is None else v.isNull() | (v < F.lit(value))
+        else:
+            before = v.isNotNull() if value is None else v > F.lit(value)
+        return F.coalesce(before, F.lit(False)) | tied
+
+    def page(self, index: int, size: int = 10) -> DataFrame:
+        """Page `index` (from 0); the same rows as `page`."""
+        start, stop = index * size, (index + 1) * size
+        hit = self.index.where((F.col("before") < stop) & (F.col("before") + F.col("n") > start))
+        ranges = hit.orderBy("range").collect()
+        if not ranges:
+            return self.df.limit(0)
+        low, high = ranges[0], ranges[-1]
+        rows = self.df.where(
+            ~self._ahead(low.first_value, low.first_tie, True) & self._ahead(high.last_value, high.last_tie, False)
+        )
+        return rows.orderBy(*self.order).offset(start - low.before).limit(size)
+
+
 def page_count(df: DataFrame, size: int = 10) -> DataFrame:
     return df.agg(
         F.count("*").alias("rows"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotlake.functions import names as NM
@@ -475,6 +477,12 @@ def grid_next_page(spark, sf_dir):
     )
 
 
+def grid_ranked_pages(spark, sf_dir):
+    """Three pages of orders by status and key, each found by its range of the order."""
+    pages = G.Pages(table(spark, sf_dir, "orders"), "o_orderstatus", "desc", "o_orderkey", range_rows=400)
+    return reduce(DataFrame.unionByName, [pages.page(k, 25).withColumn("page", F.lit(k)) for k in (0, 31, 59)])
+
+
 def grid_pages(spark, sf_dir):
     return G.page_count(table(spark, sf_dir, "lineitem"), 25)
 
@@ -777,6 +785,11 @@ QUERIES = {
         """SELECT * FROM customer WHERE c_mktsegment > 'HOUSEHOLD' OR (c_mktsegment = 'HOUSEHOLD' AND c_custkey > 50)
         ORDER BY c_mktsegment, c_custkey LIMIT 25""",
     ),
+    "grid_ranked_pages": (
+        grid_ranked_pages,
+        """WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderstatus DESC, o_orderkey) - 1 AS n FROM orders)
+        SELECT n.* EXCLUDE (n), CAST(n // 25 AS INTEGER) AS page FROM n WHERE n // 25 IN (0, 31, 59)""",
+    ),
     "grid_pages": (
         grid_pages, "SELECT count(*) AS rows, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages FROM lineitem",
     ),

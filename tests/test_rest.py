@@ -142,6 +142,28 @@ def test_numbers_of_a_parquet_table(spark, tmp_path):
 
 # --- grid and SQL ------------------------------------------------------------
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_pages_by_rank_equal_pages_by_offset(spark, direction):
+    rows = [(k, None if k % 7 == 0 else ["b", "a", "c'", ""][k % 4]) for k in range(203)]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(5)
+    pages = G.Pages(df, "v", direction, "id", range_rows=20)
+    assert pages.index.count() > 5
+    for k in (0, 1, 7, 19, 20, 21):
+        assert pages.page(k).collect() == G.page(df, k, 10, "v", direction).collect()
+    own = G.Pages(df, "id", direction, "id", range_rows=50)
+    assert own.page(3, 7).collect() == G.page(df, 3, 7, "id", direction).collect()
+    assert G.Pages(df.limit(0), "v").page(0).collect() == []
+
+
+def test_a_ranked_page_filters_the_scan(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 100 AS v").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    page = G.Pages(df, "id", "asc", "id", range_rows=500).page(400)
+    assert [r.id for r in page.collect()] == list(range(4000, 4010))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
+
+
 def test_grid(spark):
     df = spark.createDataFrame(
         [(i, f"Name {i % 4}", i % 3 == 0 or None) for i in range(25)], "id long, n string, f boolean"
