@@ -50,9 +50,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(
-        table(spark, sf_dir, "documents"), sharding.uniform_tree(40), sharding.uniform_tree(41)
-    )
+    tree = sharding.uniform_tree(40)
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
         "region", "rack",

@@ -26,44 +26,68 @@ def uniform_tree(shards: int, racks_per_region: int = 4, shards_per_rack: int =
     ]
 
 
+def grow(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
+    """The tree with one more shard, in a region and a rack of its own: no other node's
+    weight changes, so rows move into the new shard and nowhere else."""
+    last = [max((getattr(x, level) for x in tree), default=-1) + 1 for level in ("region", "rack", "shard")]
+    return [*tree, Shard(*last, weight)]
+
+
+LEVELS = ("region", "rack", "shard")
+
+
+def children(tree: list[Shard], depth: int) -> dict[tuple[int, ...], dict[int, float]]:
+    """By path of a node `depth` levels down: its children with their weights, a child's
+    being the sum of those of its shards."""
+    found: dict[tuple[int, ...], dict[int, float]] = {}
+    for leaf in tree:
+        path = tuple(getattr(leaf, level) for level in LEVELS[: depth + 1])
+        own = found.setdefault(path[:-1], {})
+        own[path[-1]] = own.get(path[-1], 0.0) + leaf.weight
+    return found
+
+
 def place(key: Column, tree: list[Shard]) -> Column:
     """struct(region, rack, shard) of a key.
 
-    Each leaf draws an exponential variate of its weight from hash(key, leaf). The
-    draw of a rack is the least draw of its shards and that of a region the least
-    of its racks, so every inner node draws with the sum of the weights below it,
-    and the descent takes the least draw at each level. A key's draw at a leaf
-    depends on nothing but the two, so a leaf whose weight grows (or is new) only
-    takes keys, one whose weight shrinks only gives keys, and keys move only into
-    or out of the subtrees that hold such a leaf.
+    The key goes down the tree. At a node each child draws an exponential variate of
+    its weight from hash(key, level, child), and the least draw is gone to; only the
+    children of the nodes on the way draw. A draw depends on the key, the child and its
+    weight alone, so if a weight changes, keys move at its ancestors only: into the
+    subtree that grew, or out of the one that shrank. Within a subtree whose own
+    weights stay the same no key that stays in it moves.
     """
     if not tree:
         raise ValueError("the tree has no shard")
     if any(leaf.weight <= 0 for leaf in tree):
         raise ValueError("weights must be positive")
 
-    def draw(leaf: Shard) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11)
-        uniform = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-        return -F.log(uniform) / F.lit(float(leaf.weight))
-
-    def node(leaves: list[Shard], levels: tuple[str, ...]) -> Column:
-        if not levels:
-            (leaf,) = leaves
-            return F.struct(
-                draw(leaf).alias("draw"),
-                F.lit(leaf.region).alias("region"),
-                F.lit(leaf.rack).alias("rack"),
-                F.lit(leaf.shard).alias("shard"),
-            )
-        children = sorted({getattr(x, levels[0]) for x in leaves})
-        below = [
-            node([x for x in leaves if getattr(x, levels[0]) == c], levels[1:]) for c in children
-        ]
-        return F.array_min(F.array(*below)) if len(below) > 1 else below[0]
-
-    best = node(tree, ("region", "rack", "shard"))
-    return F.struct(*[best[c].alias(c) for c in ("region", "rack", "shard")])
+    def least(depth: int, known: Column) -> Column:
+        """Of an array of (child, weight): the child that the key goes to."""
+
+        def draw(child: Column) -> Column:
+            bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(depth), child["id"]), 11)
+            uniform = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+            return F.struct((-F.log(uniform) / child["weight"]).alias("draw"), child["id"].alias("id"))
+
+        return F.array_min(F.transform(known, draw))["id"]
+
+    def options(of: dict[int, float]) -> Column:
+        return F.array(*[F.struct(F.lit(c).alias("id"), F.lit(w).alias("weight")) for c, w in sorted(of.items())])
+
+    def below(depth: int, parent: Column) -> Column:
+        """The children of a node, looked up by its number."""
+        pairs = [x for path, of in sorted(children(tree, depth).items()) for x in (F.lit(path[-1]), options(of))]
+        return F.element_at(F.create_map(*pairs), parent)
+
+    for depth in (1, 2):
+        parents = list(children(tree, depth))
+        if len({path[-1] for path in parents}) < len(parents):
+            raise ValueError("a rack's number may be used in one region only")
+    region = least(0, options(children(tree, 0)[()]))
+    at = F.transform(F.array(region), lambda r: F.struct(r.alias("region"), least(1, below(1, r)).alias("rack")))
+    at = F.transform(at, lambda x: F.struct(x["region"], x["rack"], least(2, below(2, x["rack"])).alias("shard")))
+    return F.get(at, F.lit(0))
 
 
 def with_slots(df: DataFrame, shard: str, order: list[Column], slot: str, buckets: int = 4096) -> DataFrame:

@@ -1,10 +1,13 @@
 """Sharding, mixing and license scans against plain Python."""
 
 import hashlib
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from llm_rows import edge_rows, words
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ def shards(docs, tree, grown):
 
 def test_sizes_slots_and_growth(documents):
     tree = sharding.uniform_tree(40)
-    rows = shards(documents, tree, sharding.uniform_tree(41))
+    rows = shards(documents, tree, sharding.grow(tree))
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert len(rows) == len(texts)
     for r in rows:
@@ -43,22 +46,77 @@ def test_sizes_slots_and_growth(documents):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def brute_place(key, tree):
+    """The descent, key by key, with the hash of another library."""
+    at = ()
+    for depth, level in enumerate(("region", "rack", "shard")):
+        weights = Counter()
+        for leaf in tree:
+            path = (leaf.region, leaf.rack, leaf.shard)
+            if path[:depth] == at:
+                weights[path[depth]] += leaf.weight
+        draws = []
+        for child, weight in weights.items():
+            h = 42
+            for part in (struct.pack("<q", key), struct.pack("<i", depth), struct.pack("<i", child)):
+                h = xxhash.xxh64_intdigest(part, h)
+            draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / weight, child))
+        at += (min(draws)[1],)
+    return at
+
+
+def placed(spark, tree, n=20_000):
+    rows = spark.range(n).select("id", sharding.place(F.col("id"), tree).alias("at")).collect()
+    return {r.id: tuple(r["at"]) for r in rows}
+
+
+def weighted(tree, **weights):
+    return [sharding.Shard(x.region, x.rack, x.shard, weights.get(f"s{x.shard}", x.weight)) for x in tree]
+
+
+def test_places_equal_brute_force(spark):
+    tree = weighted(sharding.uniform_tree(40), s3=2.5, s17=0.25, s39=4.0)
+    got = placed(spark, tree, 3000)
+    assert got == {k: brute_place(k, tree) for k in range(3000)}
+
+
+def test_the_shape_of_the_tree_matters(spark):
+    deep = sharding.uniform_tree(40)
+    flat = [sharding.Shard(0, 0, x.shard) for x in deep]
+    a, b = placed(spark, deep, 5000), placed(spark, flat, 5000)
+    assert sum(a[k][2] != b[k][2] for k in a) > 2500
+    with pytest.raises(ValueError):
+        sharding.place(F.lit(1), [sharding.Shard(0, 0, 0), sharding.Shard(1, 0, 1)])
+
+
 def test_keys_move_only_into_what_grows(spark):
-    keys = spark.range(20_000)
-    before = sharding.uniform_tree(20)
-    heavier = [sharding.Shard(x.region, x.rack, x.shard, 3.0 if x.shard == 9 else 1.0) for x in before]
-    both = keys.select(
-        sharding.place(F.col("id"), before)["shard"].alias("a"),
-        sharding.place(F.col("id"), heavier)["shard"].alias("b"),
-    ).collect()
-    assert all(r.a == r.b or r.b == 9 for r in both)
-    share = Counter(r.b for r in both)
-    assert abs(share[9] / 20_000 - 3 / 22) < 0.01
-    assert all(abs(n / 20_000 - 1 / 22) < 0.01 for s, n in share.items() if s != 9)
+    tree = sharding.uniform_tree(40)
+    before, after = placed(spark, tree), placed(spark, sharding.grow(tree))
+    assert all(before[k] == after[k] or after[k] == (3, 10, 40) for k in before)
+    share = Counter(at[2] for at in after.values())
+    assert all(abs(n / 20_000 - 1 / 41) < 0.005 for n in share.values()) and len(share) == 41
+
+
+def test_movement_stays_in_the_subtrees_whose_weights_change(spark):
+    tree = sharding.uniform_tree(40)
+    before, after = placed(spark, tree), placed(spark, weighted(tree, s9=3.0))  # region 0, rack 2
+    for k, old in before.items():
+        new = after[k]
+        if old[0] == new[0] != 0 or (old[:2] == new[:2] and old[:2] != (0, 2)):
+            assert old == new
+        elif old[0] != new[0]:
+            assert new[0] == 0
+        elif old[1] != new[1]:
+            assert new[1] == 2
+        elif old[2] != new[2]:
+            assert new[2] == 9
+    share = Counter(at[2] for at in after.values())
+    assert abs(share[9] / 20_000 - 3 / 42) < 0.008
 
 
 def test_odd_rows_get_shards(edge_docs, no_docs):
-    tree, grown = sharding.uniform_tree(2), sharding.uniform_tree(3)
+    tree = sharding.uniform_tree(2)
+    grown = sharding.grow(tree)
     rows = shards(edge_docs, tree, grown)
     want = Counter(
         (r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in edge_rows()
