@@ -6,7 +6,7 @@ of matches and op8 on hashes that SQL lacks; tests compare these with brute forc
 
 from __future__ import annotations
 
-from slotlake.llm.licenses import RULES, SENTENCES
+from slotlake.llm.licenses import LINES, PARAGRAPHS, RULES, SENTENCES, covered_by, pattern
 
 TOP_K = """
 WITH v AS (
@@ -89,28 +89,26 @@ FROM keyed"""
 
 def _licenses() -> str:
     known = ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items())
-    families = dict.fromkeys(r.family for r in RULES)
-    hits = []
-    for family in families:
-        whens = " ".join(
-            f"WHEN regexp_matches(line, ';{';(?:.*;)?'.join(r.sentences)};') THEN {k}"
-            for k, r in enumerate(RULES)
-            if r.family == family
-        )
-        hits.append(f"CASE {whens} END")
+    match = [f"regexp_matches(line, '{pattern(r)}')" for r in RULES]
+    hits = [
+        f"CASE WHEN {' AND NOT '.join([match[k], *[match[j] for j in covered_by(RULES, k)]])} THEN {k} END"
+        for k in range(len(RULES))
+    ]
     names = ", ".join(f"'{r.license}'" for r in RULES)
     permissive = ", ".join(str(r.permissive) for r in RULES)
+    ids = rf"""list_filter(list_transform(%s, lambda s:
+    MAP {{{known}}}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' ')]), lambda x: x IS NOT NULL)"""
     return rf"""
 WITH t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n+|[.!?;:]+[\x20\x09-\x0D]+'),
-    lambda s: trim(s, ' ') <> '') AS pieces FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{LINES}'), lambda s: trim(s, ' ') <> '') AS lines,
+    regexp_split_to_array(coalesce(text, ''), '{PARAGRAPHS}') AS parts FROM documents
 ), i AS (
-  SELECT doc_id, len(pieces) AS n, list_filter(list_transform(pieces, lambda s:
-    MAP {{{known}}}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'), ' ')]), lambda x: x IS NOT NULL) AS ids FROM t
+  SELECT doc_id, len(lines) AS n, {ids % 'lines'} AS a, {ids % 'parts'} AS b FROM t
 ), l AS (
-  SELECT *, ';' || array_to_string(ids, ';') || ';' AS line FROM i
+  SELECT *, CASE WHEN len(a) > len(b) THEN a ELSE b END AS ids,
+    ';' || array_to_string(a, ';') || ';|;' || array_to_string(b, ';') || ';' AS line FROM i
 ), h AS (
-  SELECT *, list_sort(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL)) AS hits FROM l
+  SELECT *, list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL) AS hits FROM l
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, CAST(len(ids) AS BIGINT) AS n_known,
        array_to_string(ids, ',') AS sequence,

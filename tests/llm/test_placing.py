@@ -3,6 +3,7 @@
 import hashlib
 import math
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -229,6 +230,43 @@ def test_license_rules(spark, text, licenses_, permissive):
     assert (row.licenses, row.permissive) == (licenses_, permissive)
 
 
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+
+
+def styled(text, style):
+    """A licence as written, or wrapped anew."""
+    paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+    if style in ("narrow", "comment"):
+        paragraphs = [textwrap.fill(p, 44, break_on_hyphens=False) for p in paragraphs]
+    if style == "shouting":
+        paragraphs = [p.upper() for p in paragraphs]
+    text = text if style == "whole" else "\n\n".join(paragraphs)
+    if style == "comment":
+        text = "\n".join(f" * {line}" if line else "" for line in text.split("\n"))
+    return text
+
+
+@pytest.mark.parametrize("style", ["whole", "unwrapped", "narrow", "comment", "shouting"])
+def test_real_wording_is_found_however_it_is_wrapped(spark, style):
+    rows, want = [(0, WARRANTY)], {0: ""}
+    for k, (license_, _, text) in enumerate(licenses.TEXTS.values(), 1):
+        text = styled(text, style)
+        before = "This program is free software: " if text.startswith("you can") else "Copyright (c) 2020 A. Person\n\n"
+        rows += [(k, f"{before}{text}\n\n{WARRANTY}\n")]
+        want[k] = license_
+        if len(licenses._sentences(text)) == 1:  # without its first word it is none
+            rows += [(100 + k, text.split(" ", 3 if style == "comment" else 1)[-1])]
+            want[100 + k] = ""
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == want
+
+
+def test_longer_rules_cover_shorter_ones():
+    two, three = (next(r for r in licenses.RULES if r.license == f"BSD-{n}-Clause") for n in (2, 3))
+    assert two.within(three) and not three.within(two) and not two.within(two)
+    assert len(set(licenses.SENTENCES.values())) >= 30 and all(r.sentences for r in licenses.RULES)
+
+
 def test_license_scan_of_odd_rows(edge_docs, no_docs):
     rows = licenses.scan(edge_docs).collect()
     assert len(rows) == len(edge_rows())
