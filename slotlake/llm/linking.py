@@ -200,6 +200,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     state = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if state.isEmpty():  # Spark would drop the steps, and what they tell
+        return state.select(F.col("a").alias("node"), F.col("b").alias("label"))
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         steps, moved = both, []

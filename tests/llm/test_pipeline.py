@@ -59,3 +59,16 @@ def test_whole_pipeline(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "source", "lang", "n_tokens", "ids"]
     assert rows.count() > 0
+
+
+def test_pipeline_over_odd_rows(spark, edge_docs, no_docs, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and doc_ids, other columns."""
+    edge_docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in rows} <= {None, *range(1, 10)} and all(len(r.ids) == r.n_tokens for r in rows)
+    docs = edge_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""), "test-odd")
+        assert docs.columns == edge_docs.columns, name
+    no_docs.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
