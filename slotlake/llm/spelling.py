@@ -37,7 +37,7 @@ class Trie:
     groups: int = 16
     words: int = 16384
     queries: int = 16384
-    bucket: int = 32
+    bucket: int = 64
 
 
 # --- words ------------------------------------------------------------------------
@@ -249,6 +249,19 @@ def counts_of(words: list[str], trie: Trie) -> np.ndarray:
     return flat.astype(np.int16 if flat.max(initial=0) < 1 << 14 else np.int32)
 
 
+def packed_counts(counts: np.ndarray) -> np.ndarray:
+    """Four bits for each of the first 16 groups; more than 15 letters count as 15."""
+    shift = np.arange(min(16, counts.shape[1]), dtype=np.uint64) * np.uint64(4)
+    return (np.minimum(counts[:, :16], 15).astype(np.uint64) << shift).sum(axis=1, dtype=np.uint64)
+
+
+def few_changes(x: np.ndarray) -> np.ndarray:
+    """Where two packed counts (as their exclusive or) differ in two groups at most."""
+    x = x | (x >> np.uint64(1))
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)) <= 2
+
+
 def search(trie: Trie):
     """Group function: the words near each guest among the words at home in a subtree,
     both ways. Of two words of equal counts, the lesser one finds the other."""
@@ -259,6 +272,7 @@ def search(trie: Trie):
         if len(table["home"].unique()) < 2:  # a block that no word of a leaf fell into
             return schema.empty_table()
         counts, letters = counts_of(words, trie), Letters(words)
+        packed = packed_counts(counts)
         ranks = {w: k for k, w in enumerate(sorted(set(words)))}
         rank = np.array([ranks[w] for w in words])
         home = table["home"].to_numpy(zero_copy_only=False)
@@ -268,8 +282,9 @@ def search(trie: Trie):
         for start, stop, who in depth_first(counts[home], counts[guests], trie.bucket):
             some = max(1, (1 << 18) // (stop - start))
             for at in range(0, len(who), some):
-                own = guests[who[at : at + some]]
-                a, b = np.repeat(own, stop - start), np.tile(home[start:stop], len(own))
+                own, there = guests[who[at : at + some]], home[start:stop]
+                x, y = np.nonzero(few_changes(packed[own][:, None] ^ packed[there]))
+                a, b = own[x], there[y]
                 step = counts[b] - counts[a]
                 change = np.abs(step).sum(axis=1)
                 total = step.sum(axis=1)
