@@ -102,7 +102,7 @@ def _totals_before(spark: SparkSession, target: str, batch_id: int) -> tuple[int
     return row[0], row[1]
 
 
-def _write_batch(batch: DataFrame, batch_id: int, feed: Feed, out: str) -> tuple:
+def _write_rows(batch: DataFrame, batch_id: int, feed: Feed, out: str) -> tuple:
     """Write a batch's rows, good and rejected ones apart, in one pass; its progress."""
     converted, upto, files = _converted_batch(batch, batch_id, feed)
     seen = Observation(f"batch-{uuid.uuid4().hex}")
@@ -123,6 +123,12 @@ def _write_batch(batch: DataFrame, batch_id: int, feed: Feed, out: str) -> tuple
     return done["processed"], done["failed"], done["last_line"], done["processed"] + done["failed"], upto, files
 
 
+def _write_batch(batch: DataFrame, batch_id: int, feed: Feed) -> None:
+    """A batch under its id in the target, replaced as a whole, then its progress."""
+    done = _write_rows(batch, batch_id, feed, f"{feed.target}/data/batch_id={batch_id}")
+    _save_progress(batch.sparkSession, batch_id, feed, done)
+
+
 def _save_progress(spark: SparkSession, batch_id: int, feed: Feed, row: tuple) -> None:
     schema = PROGRESS_DDL.removeprefix("batch_id bigint, ")
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(
@@ -161,8 +167,7 @@ def stream_import(
     how = Feed(columns, target, sep or delimiter_of(source), auto_id, header, method)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = _write_batch(batch, batch_id, how, f"{target}/data/batch_id={batch_id}")
-        _save_progress(spark, batch_id, how, done)
+        _write_batch(batch, batch_id, how)
 
     return _start(spark, source, write, checkpoint, max_files_per_batch, available_now)
 
@@ -196,7 +201,7 @@ def stream_into_delta(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         load, out = f"{feed}-{batch_id}", lake.new_location(delta_name(table))
-        done = _write_batch(batch, batch_id, how, out)
+        done = _write_rows(batch, batch_id, how, out)
         rejects = _read_batches(spark, out, columns).where(F.col(REJECTED)).select(f"{R.REJECT}.*")
         write_rejects(rejects, lake.rejects_path, f"{table}-{load}")
         if done[0]:
