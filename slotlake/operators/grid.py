@@ -72,6 +72,9 @@ class Pages:
     range tells its first and last key and how many rows come before. A page looks up
     its range there, filters the table by the keys at its ends, which goes to the scan,
     and sorts what is left. The tie break must be without nulls and duplicates.
+
+    A task sorts the keys of many ranges and cuts them by position, so there are no more
+    tasks, and samples of keys for them, than for any other sort.
     """
 
     def __init__(
@@ -79,16 +82,22 @@ class Pages:
     ):
         self.df, self.column, self.direction, self.tiebreak = df, column, direction, tiebreak
         self.order = _order(column, direction, tiebreak)
-        keys = df.select(*dict.fromkeys([column, tiebreak]))
-        ranges = max(1, -(-df.count() // range_rows))
-        cut = keys.repartitionByRange(ranges, *self.order).sortWithinPartitions(*self.order)
+        keys = df.select(F.col(column).alias("value"), F.col(tiebreak).alias("tie"))
+        order = _order("value", direction, "tie")
+        # Equal keys are counted as one, so that no range begins amid them.
+        dealt = keys.repartitionByRange(*order).groupBy("value", "tie").agg(F.count("*").alias("n"))
+        # The task in the upper bits, the position in it in the lower 33.
+        cut = dealt.sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+        task, position = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
         ends = [
-            fn(F.col(name)).alias(f"{label}_{kind}")
-            for label, fn in (("first", F.first), ("last", F.last))
-            for kind, name in (("value", column), ("tie", tiebreak))
+            fn(name, "at").alias(f"{label}_{name}")
+            for label, fn in (("first", F.min_by), ("last", F.max_by))
+            for name in ("value", "tie")
         ]
-        index = cut.groupBy(F.spark_partition_id().alias("range")).agg(F.count("*").alias("n"), *ends)
-        self.index = materialize(running_total(index, ["range"], {"n": "before"}), "page-index")
+        index = cut.groupBy(task.alias("task"), F.floor(position / F.lit(range_rows)).alias("k")).agg(
+            F.min("at").alias("range"), F.sum("n").alias("n"), *ends
+        )
+        self.index = materialize(running_total(index.drop("task", "k"), ["range"], {"n": "before"}), "page-index")
 
     def _ahead(self, value, tie, strict: bool) -> Column:
         """Rows whose key stands before the given one, or is it unless `strict`. Nulls

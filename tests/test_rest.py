@@ -155,6 +155,24 @@ def test_pages_by_rank_equal_pages_by_offset(spark, direction):
     assert G.Pages(df.limit(0), "v").page(0).collect() == []
 
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_ranges_of_a_few_rows_take_no_more_tasks(spark, direction):
+    """One task cuts many ranges; also where keys come many times."""
+    rows = [(k // 3, None if k % 11 == 0 else "ab"[k % 2]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(3)
+    spark.sparkContext.setJobGroup("few-rows-" + direction, "")
+    try:
+        pages = G.Pages(df, "v", direction, "id", range_rows=5)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("few-rows-" + direction) for s in tracker.getJobInfo(j).stageIds]
+    assert max(info.numTasks for info in map(tracker.getStageInfo, stages) if info) <= 8
+    assert pages.index.count() > 200
+    for k in (0, 3, 27, 28, 150, 299, 300):
+        assert pages.page(k).collect() == G.page(df, k, 10, "v", direction).collect()
+
+
 def test_a_ranked_page_filters_the_scan(spark, tmp_path):
     spark.range(5000).selectExpr("id", "id % 100 AS v").write.parquet(str(tmp_path / "p"))
     df = spark.read.parquet(str(tmp_path / "p"))
