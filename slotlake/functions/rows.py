@@ -20,13 +20,14 @@ WRONG_WIDTH, BAD_ID = -1, 0
 
 
 def convert_rows(
-    df: DataFrame, columns: list[Column], lenient_bool: bool = False
+    df: DataFrame, columns: list[Column], lenient_bool: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Rows of text cells to typed rows plus `_reject`.
 
     Input: `line_no` and `cells`, the id first. Output: `line_no`, `id`, one typed
     column per declared column, and `_reject`, NULL on good rows. A reject names
     the first failing column from left to right: row width, then id, then cells.
+    Columns in `keep` go along, in front.
     """
     width = len(columns)
 
@@ -38,7 +39,8 @@ def convert_rows(
     # Trimmed cells (the id cell is taken as it is), then typed values; each step is
     # a projection of its own, so no cell is cut or trimmed twice.
     odd = F.array_join("cells", "").rlike(C.ODD_SPACE_RE)
-    trimmed = df.select("line_no", "cells", odd.alias("_odd")).select(
+    trimmed = df.select(*keep, "line_no", "cells", odd.alias("_odd")).select(
+        *keep,
         "line_no",
         "cells",
         F.get("cells", F.lit(0)).alias("_t0"),
@@ -48,6 +50,7 @@ def convert_rows(
         ],
     )
     typed = trimmed.select(
+        *keep,
         "line_no",
         "cells",
         C.parse_bigint(F.col("_t0")).alias("_v0"),
@@ -68,9 +71,9 @@ def convert_rows(
     values = [F.col("_v0").alias("id")] + [
         F.col(f"_v{i}").alias(c.name) for i, c in enumerate(columns, 1)
     ]
-    tested = typed.select("line_no", "cells", *values, bad.alias("_bad"))
+    tested = typed.select(*keep, "line_no", "cells", *values, bad.alias("_bad"))
     return tested.select(
-        "line_no", "id", *[f"`{c.name}`" for c in columns], _reject(columns).alias(REJECT)
+        *keep, "line_no", "id", *[f"`{c.name}`" for c in columns], _reject(columns).alias(REJECT)
     )
 
 

@@ -17,6 +17,8 @@ from slotlake.session import broadcast_if_small, materialize
 FILE, BLOCK, POS = "_file", "_block", "_pos"
 # A hash of file and block; what rows carry from which the two are gone.
 KEY = "_block_key"
+# The number of a row's file among those that have records.
+FILE_NO = "_file_no"
 SCAN_COLUMNS = (FILE, BLOCK, POS)
 
 # Memory of one broadcast layout row, all integers, taken generously: 3.7 million

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from slotlake.functions import rows as R
 from slotlake.functions.records import delimiter_of
+from slotlake.operators import numbering as N
 from slotlake.plans.commits import CommitLog
 from slotlake.plans.delta import Ledger, loads_name
 from slotlake.schema import SLOTS, Registry, base_name, delta_name, main_name, other_slot
@@ -27,6 +28,9 @@ from slotlake.sources.datasets import load_prebuilt
 from slotlake.sources.delimited import Before, delimited_part, lines_part, source_parts
 
 REJECTED = "rejected"
+PART = "_part"
+# Parts of files are written together up to so many bytes, or files, in all.
+TOGETHER_BYTES, TOGETHER_FILES = 1 << 30, 1000
 DROPPED = "_DROPPED"
 
 
@@ -48,6 +52,17 @@ class ImportReport:
     last_line: int
 
 
+def _together(sizes: list[tuple[int, int, int]]) -> int:
+    """How many of the parts (number, bytes, files) are written together; one at least."""
+    n = size = count = 0
+    for _, more, files in sizes:
+        size, count = size + more, count + files
+        if n and (size > TOGETHER_BYTES or count > TOGETHER_FILES):
+            break
+        n += 1
+    return n
+
+
 class Lake:
     def __init__(
         self,
@@ -252,13 +267,14 @@ class Lake:
         `bulk` parses quotes, detects ids and is strict about booleans; `indexer`
         splits plain lines, always makes new ids and takes any boolean.
         """
-        return self._read(table, path, delimiter_of(path), method, header)[0]
+        return self._read(table, path, delimiter_of(path), method, header)[0].drop(N.FILE_NO)
 
     def _read(
         self, table: str, path: str | list[str], sep: str, method: str | None, header: bool | None,
         before: Before | None = None,
-    ) -> tuple[DataFrame, Before | None]:
-        """`read_source` of some of a source's files, and what comes before the next."""
+    ) -> tuple[DataFrame, list[tuple[str, Before]]]:
+        """`read_source` of some of a source's files, and those that have records, with
+        what comes before the next."""
         schema = self.registry.get(table)
         method = method or schema.import_method
         header = schema.has_header if header is None else header
@@ -268,7 +284,7 @@ class Lake:
             raw, after = lines_part(self.spark, path, sep, header, before)
         else:
             raise ValueError(f"unknown import method {method!r}")
-        return R.convert_rows(raw, schema.columns, lenient_bool=method == "indexer"), after
+        return R.convert_rows(raw, schema.columns, method == "indexer", (N.FILE_NO,)), after
 
     def load_part(self, converted: DataFrame, location: str) -> dict:
         """Write converted rows, good and rejected ones apart, in one pass; returns
@@ -314,8 +330,9 @@ class Lake:
         The slot is built in parts: of whole files of about `part_bytes` bytes in all,
         each of which is read by its own part alone, whose numbers go on behind the
         parts before; or of `part_lines` lines each, for which each part reads the
-        source again; or in one. After a part is written, the job's record says so. A failure leaves the finished parts, and `resume` goes on
-        behind them, in the same slot: the table it swaps in holds all parts. It is
+        source again; or in one. Small parts of files are written many at a time (see
+        `_build_by_files`). After parts are written, the job's record says so. A failure
+        leaves the finished parts, and `resume` goes on behind them, in the same slot: the table it swaps in holds all parts. It is
         refused if there is no such job for this table and path, or if that one read
         the file otherwise; None resumes if there is one. With False an import starts
         anew and what an earlier job left is deleted.
@@ -382,28 +399,73 @@ class Lake:
     def _build_by_files(self, job: dict, save: Callable[[dict], None], max_failed: int | None) -> None:
         """Parts of whole files. The list of files is written when the job begins, so a
         resume has the same parts; a part knows how many records and files come before
-        it, and reads its own files only."""
+        it, and reads its own files only.
+
+        Parts that follow each other are read and written together, in the same jobs of
+        Spark, up to `TOGETHER_BYTES`; each has its own folder and counts. If that fails,
+        half as many are tried, so that the parts ahead of a broken one are finished."""
         how, listed = job["how"], f"{job['location']}/_files"
         if not path_exists(self.spark, f"{listed}/_SUCCESS"):
             parts = source_parts(self.spark, job["path"], how["part_bytes"])
             parts.write.mode("overwrite").parquet(listed)
-        files = self.spark.read.schema("part bigint, path string").parquet(listed)
-        numbers = [r.part for r in files.select("part").distinct().orderBy("part").collect()]
-        if not numbers:  # says what an empty source is
-            numbers, own = [0], [job["path"]]
-        sep = delimiter_of(job["path"])
+        schema = f"part bigint, path string, length bigint, {N.FILE} string"
+        files = self.spark.read.schema(schema).parquet(listed)
+        sizes = files.groupBy("part").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
+        sizes = [tuple(r) for r in sizes.orderBy("part").collect()]
+        sep, some = delimiter_of(job["path"]), len(sizes)
+        if not sizes:  # says what an empty source is
+            self._read(job["table"], [job["path"]], sep, how["method"], how["header"], Before())
+            job["built"] = True
+        while not job["built"]:
+            rest = sizes[len(job["parts"]) :]
+            numbers = [part for part, *_ in rest[: min(some, _together(rest))]]
+            own = files.where(F.col("part").between(numbers[0], numbers[-1])).orderBy(N.FILE).collect()
+            try:
+                self._add_parts(job, numbers, own, sep, max_failed)
+            except ImportFailedError:
+                raise
+            except Exception:
+                if len(numbers) == 1:
+                    raise
+                some = len(numbers) // 2
+                continue
+            some = 2 * len(numbers)
+            job["built"] = len(job["parts"]) == len(sizes)
+            save(job | {"status": "running", "error": ""})
+
+    def _add_parts(self, job: dict, numbers: list[int], files: list, sep: str, max_failed: int | None) -> None:
+        """Write the parts of these numbers, and count those before the first that has
+        too many rejects."""
+        how, before = job["how"], Before(**job.get("before", {}))
+        paths = [literal_path(f.path) for f in files]
+        converted, after = self._read(job["table"], paths, sep, how["method"], how["header"], before)
+        of, ends = {f[N.FILE]: f.part for f in files}, {}
+        for file, end in after:
+            ends[of[file]] = end
+        folder = f"{job['location']}/parts-{len(job['parts']):05}"
+        delete_path(self.spark, folder)  # of a run that stopped midway
+        owner = F.lit([of[file] for file, _ in after]).cast("array<bigint>")
+        rows = converted.withColumn(PART, F.get(owner, F.col(N.FILE_NO).cast("int") - 1)).drop(N.FILE_NO)
+        rows = rows.withColumn(REJECTED, F.col(R.REJECT).isNotNull())
+        rows.write.partitionBy(PART, REJECTED).parquet(folder)
+        written = self.spark.read.schema(f"line_no bigint, {PART} bigint, {REJECTED} boolean").parquet(folder)
+        counted = written.groupBy(PART, REJECTED).agg(F.count("*"), F.max("line_no")).collect()
+        counts = {(part, bad): (n, last) for part, bad, n, last in counted}
         for k, number in enumerate(numbers):
-            if k >= len(job["parts"]):
-                if files.head(1):
-                    rows = files.where(F.col("part") == number).orderBy("path").collect()
-                    own = [literal_path(r.path) for r in rows]
-                before = Before(**job.get("before", {}))
-                converted, after = self._read(job["table"], own, sep, how["method"], how["header"], before)
-                self._add_part(job, converted, max_failed)
-                job["before"] = asdict(after)
-                job["upto"] = after.records
-                job["built"] = k == len(numbers) - 1
-                save(job | {"status": "running", "error": ""})
+            (good, good_last), (bad, bad_last) = (counts.get((number, bad), (0, 0)) for bad in (False, True))
+            if max_failed is not None and job["failed"] + bad > max_failed:
+                for late in numbers[k:] if k else ():
+                    delete_path(self.spark, f"{folder}/{PART}={late}")
+                if not k:
+                    delete_path(self.spark, folder)
+                raise ImportFailedError(f"{job['table']}: {job['failed'] + bad} rows rejected")
+            job["parts"].append(f"{folder}/{PART}={number}")
+            job["processed"] += good
+            job["failed"] += bad
+            job["last_line"] = max(job["last_line"], good_last, bad_last)
+            if number in ends:
+                job["before"] = asdict(ends[number])
+                job["upto"] = ends[number].records
 
     def _add_part(self, job: dict, rows: DataFrame, max_failed: int | None) -> dict:
         part = f"{job['location']}/part-{len(job['parts']):05}"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from slotlake.session import broadcast_if_small, literal_path, materialize
 from slotlake.sources.quotes import line_map, spanning_records
 
 
+ROWS = f"line_no bigint, cells array<string>, {N.FILE_NO} bigint"
+
+
 class EmptyInputError(ValueError):
     """There is no first line to look at."""
 
@@ -35,18 +39,23 @@ class Before:
     auto_id: bool | None = None
 
 
-def behind(layout: DataFrame, before: Before, header: bool, auto_id: bool) -> Before:
-    """What comes before the next part, if this one has the given layout."""
-    zero = F.lit(0)
-    seen = layout.agg(F.coalesce(F.sum("n"), zero), F.count_distinct(N.FILE)).head()
-    return Before(before.records + seen[0], before.files + seen[1], header, auto_id)
+def behind(layout: DataFrame, before: Before, header: bool, auto_id: bool) -> list[tuple[str, Before]]:
+    """Each file of a layout, in order, with what comes before the one behind it."""
+    files = layout.groupBy(N.FILE).agg(F.sum("n").alias("n")).orderBy(N.FILE).collect()
+    ends = accumulate((f.n for f in files), initial=before.records)
+    return [
+        (f[N.FILE], Before(end, before.files + k, header, auto_id))
+        for k, (f, end) in enumerate(zip(files, list(ends)[1:], strict=True), 1)
+    ]
 
 
 def source_parts(spark: SparkSession, path: str, part_bytes: int) -> DataFrame:
-    """part, path: the files of a source in parts of about `part_bytes` bytes, by name."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
-    ahead = N.running_total(files, ["path"], {"length": "ahead"})
-    return ahead.select(F.floor(F.col("ahead") / F.lit(part_bytes)).alias("part"), "path")
+    """part, path, length, and the name as a scan gives it, by which it numbers records:
+    the files of a source in parts of about `part_bytes` bytes, by name."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    files = files.select("path", "length", F.col("_metadata.file_path").alias(N.FILE))
+    ahead = N.running_total(files, [N.FILE], {"length": "ahead"})
+    return ahead.select(F.floor(F.col("ahead") / F.lit(part_bytes)).alias("part"), "path", "length", N.FILE)
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
@@ -213,7 +222,7 @@ def read_delimited(
     none does. Line numbers count records over all files, headers included.
     """
     rows, _ = delimited_part(spark, path, width, sep or R.delimiter_of(path), header, auto_id)
-    return rows
+    return rows.drop(N.FILE_NO)
 
 
 def delimited_part(
@@ -224,9 +233,10 @@ def delimited_part(
     header: bool | None = None,
     auto_id: bool | None = None,
     before: Before | None = None,
-) -> tuple[DataFrame, Before | None]:
+) -> tuple[DataFrame, list[tuple[str, Before]]]:
     """`read_delimited` of some files of a source, whose numbers go on behind those of
-    the files before; with that, also what comes before the next ones."""
+    the files before; with that, also the files that have records, numbered from 1 in
+    the rows, with what comes before the next one."""
     at = before or Before()
     header = at.header if at.header is not None else header
     auto_id = at.auto_id if at.auto_id is not None else auto_id
@@ -236,7 +246,7 @@ def delimited_part(
     if head.file is None:
         if header is not False and not at.files:
             raise EmptyInputError("there is no line to look at")
-        return spark.createDataFrame([], "line_no bigint, cells array<string>"), before
+        return spark.createDataFrame([], ROWS), []
     if header is None:
         header = has_header(spark, literal_path(unquote(head.file)), sep)
     raw = N.with_positions(_lines(spark, path))
@@ -252,8 +262,8 @@ def delimited_part(
         headers = F.col("file_no") + at.files if header else F.lit(0)
         new_id = (number - headers).cast("string")
         numbered = numbered.withColumn("cells", F.concat(F.array(new_id), "cells"))
-    rows = numbered.select(number.alias("line_no"), "cells")
-    return rows, before and behind(layout, before, header, auto_id)
+    rows = numbered.select(number.alias("line_no"), "cells", F.col("file_no").alias(N.FILE_NO))
+    return rows, behind(layout, before, header, auto_id) if before else []
 
 
 def read_lines_split(
@@ -267,7 +277,7 @@ def read_lines_split(
     No quoting rule applies and blank lines are skipped, so every file splits.
     """
     rows, _ = lines_part(spark, path, sep or R.delimiter_of(path), header)
-    return rows
+    return rows.drop(N.FILE_NO)
 
 
 def lines_part(
@@ -276,7 +286,7 @@ def lines_part(
     sep: str,
     header: bool | None = None,
     before: Before | None = None,
-) -> tuple[DataFrame, Before | None]:
+) -> tuple[DataFrame, list[tuple[str, Before]]]:
     """`read_lines_split` of some files of a source, as `delimited_part`."""
     at = before or Before()
     header = at.header if at.header is not None else header
@@ -286,7 +296,7 @@ def lines_part(
     if head.file is None:
         if header is not False and not at.files:
             raise EmptyInputError("there is no line to look at")
-        return spark.createDataFrame([], "line_no bigint, cells array<string>"), before
+        return spark.createDataFrame([], ROWS), []
     if header is None:
         header = has_header(spark, literal_path(unquote(head.file)), sep)
     scan = scan.select(
@@ -298,5 +308,6 @@ def lines_part(
     number = F.col("record_no") + at.records
     headers = F.col("file_no") + at.files if header else F.lit(0)
     new_id = (number - headers - 1).cast("string")
-    rows = numbered.select(number.alias("line_no"), F.concat(F.array(new_id), "cells").alias("cells"))
-    return rows, before and behind(layout, before, header, True)
+    cells = F.concat(F.array(new_id), "cells").alias("cells")
+    rows = numbered.select(number.alias("line_no"), cells, F.col("file_no").alias(N.FILE_NO))
+    return rows, behind(layout, before, header, True) if before else []

@@ -161,6 +161,51 @@ def test_resume_of_parts_of_files(lake, tmp_path):
         lake.import_table("products", path, part_bytes=1, part_lines=1)
 
 
+def test_small_parts_are_written_together(lake, tmp_path, spark, monkeypatch):
+    """The jobs of Spark do not grow with the parts; where some cannot be read, those
+    ahead of them are finished all the same."""
+    def jobs_of(n, group):
+        path = many_files(tmp_path, n)
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            report = lake.import_table("products", path, part_bytes=1)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(lake._imports("products").latest()[1]["parts"]) == n + 1
+        assert [r[0] for r in rows(lake)] == list(range(1, report.processed + 1))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = jobs_of(5, "few-parts")
+    assert jobs_of(30, "many-parts") < few + 10
+    whole, read = rows(lake), type(lake)._read
+
+    def failing(self, table, paths, *args):
+        if any("f20" in p for p in paths):
+            raise OSError("broken disk")
+        return read(self, table, paths, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(lake), "_read", failing)
+        with pytest.raises(OSError):
+            lake.import_table("products", str(tmp_path / "many"), part_bytes=1)
+    job = lake._imports("products").latest()[1]
+    assert job["status"] == "failed" and len(job["parts"]) == 21 and rows(lake) == whole
+    lake.import_table("products", str(tmp_path / "many"), part_bytes=1, resume=True)
+    assert rows(lake) == whole
+
+
+def test_parts_are_in_the_order_of_the_numbers(lake, tmp_path):
+    """Names that are written otherwise in a scan come in the same order."""
+    folder = tmp_path / "odd names"
+    folder.mkdir()
+    for k, name in enumerate(["a b.csv", "a!b.csv", "a%b.csv", "é.csv", "[x].csv"]):
+        (folder / name).write_text(f"n{k}a,{k}\nn{k}b,{k}\n")
+    lake.import_table("products", str(folder), header=False)
+    want = rows(lake)
+    lake.import_table("products", str(folder), header=False, part_bytes=1)
+    assert rows(lake) == want and len(want) == 10
+
+
 def test_parts_of_header_lines_only(lake, tmp_path):
     path = put(tmp_path, "a.csv", "id,name,price\n1,a,1\n2,b,?\n3,c,3\n")
     report = lake.import_table("products", path, part_lines=1)
