@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from slotlake.llm import textkit as kit
@@ -18,12 +19,18 @@ from slotlake.llm.common import arrow_schema, extended
 # A random value for each byte, from a rule.
 GEAR = (kit.mix(np.arange(1, 257, dtype=np.uint64) * kit._STEP) >> np.uint64(32)).astype(np.uint32)
 
+# Texts that are encoded together; a piece is looked up once for all of them.
+BLOCK_BYTES = 1 << 21
+
+# A word that stands between pieces that are encoded in one, and how many are.
+MARK, JOINED = "0", 64
+
 
 @dataclass(frozen=True)
 class Chunking:
     """A chunk ends where the hash of the last 16 bytes has `bits` zeros: about
-    2**bits bytes. A worker keeps at most `chunks` and `pieces` results and starts
-    anew when full; it has no bearing on results."""
+    2**bits bytes. A worker keeps at most `chunks` and twice `pieces` results; it has
+    no bearing on results."""
 
     bits: int = 7
     chunks: int = 20_000
@@ -68,90 +75,117 @@ class ChunkCache:
     def __init__(self, path: str, chunking: Chunking):
         self.tokenizer = tokenizer(path)
         self.limits = chunking
-        self.chunks: dict[bytes, tuple[str, str, int]] = {}
-        self.pieces: dict[bytes, tuple[str, str, int]] = {}
+        self.chunks: dict[bytes, tuple[str, str]] = {}
+        self.pieces: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         self.reused = 0
-
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Encode the pieces not yet known, all in one call."""
-        new = list({p for p in pieces if p not in self.pieces})
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that end at blanks. They are encoded many in one, with the mark
+        between them; where its id is met more often than it was set, one by one."""
+        out: list[list[int]] = []
+        for start in range(0, len(texts), JOINED * 256):
+            groups = [texts[k : k + JOINED] for k in range(start, min(start + JOINED * 256, len(texts)), JOINED)]
+            joined = self._encoded([f" {MARK} ".join(g) for g in groups])
+            for group, ids in zip(groups, joined, strict=True):
+                parts = self._parted(ids, len(group)) if len(group) > 1 else [ids]
+                out += parts if parts else self._encoded(group)
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parted(self, ids: list[int], n: int) -> list[list[int]] | None:
+        """The ids between n - 1 marks; None if it is not clear where these are."""
+        if len(self.mark) != 1 or ids.count(self.mark[0]) != n - 1:
+            return None
+        parts, at = [], 0
+        for _ in range(n - 1):
+            end = ids.index(self.mark[0], at)
+            parts.append(ids[at:end])
+            at = end + 1
+        parts.append(ids[at:])
+        return parts
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode the pieces not yet known. When full, what was known is kept until the
+        next time, and goes over as it is met."""
+        new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > self.limits.pieces:
-            self.pieces.clear()
-            new = list(set(pieces))
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for piece, enc in zip(
-                part,
-                self.tokenizer.encode_batch_fast(
-                    [p.decode("utf-8") for p in part], add_special_tokens=False
-                ),
-                strict=True,
-            ):
-                ids = enc.ids
-                decoded = self.tokenizer.decode(ids, skip_special_tokens=False) if ids else ""
-                self.pieces[piece] = (" ".join(map(str, ids)), decoded, len(ids))
-
-    def joined(self, parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
-        parts = [p for p in parts if p[2]]
-        return (
-            " ".join([p[0] for p in parts]),
-            " ".join([p[1] for p in parts]),
-            sum([p[2] for p in parts]),
+            self.older, self.pieces = self.pieces, {}
+            new = pieces
+        if self.older:
+            self.pieces.update((p, self.older[p]) for p in new if p in self.older)
+            new = [p for p in new if p not in self.pieces]
+        ids = self.ids_of(new)
+        decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        for piece, own, text in zip(new, ids, decoded, strict=True):
+            self.pieces[piece] = (" ".join(map(str, own)), text) if own else ("", "")
+
+    def joined(self, words: pa.ListArray) -> list[tuple[str, str]]:
+        """Ids and tokens of lists of pieces; a piece may have none."""
+        coded = words.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(pieces)
+        known = [self.pieces[p] for p in pieces]
+        ids, tokens = (pa.array(column, pa.string()) for column in zip(*known, strict=True))
+        at = coded.indices.to_numpy()
+        full = np.array([p[0] != "" for p in known])[at]
+        at = pa.array(at[full])
+        ends = np.concatenate([[0], np.cumsum(full)])[words.offsets.to_numpy()]
+        ends = pa.array(ends, pa.int32())
+        ids, tokens = (
+            pc.binary_join(pa.ListArray.from_arrays(ends, column.take(at)), " ").to_numpy(zero_copy_only=False)
+            for column in (ids, tokens)
         )
+        return list(zip(ids.tolist(), tokens.tolist(), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[str, str, int]]:
         """(ids, decoded text, number of ids) of each text of a block."""
         raw = data.tobytes()
-        blank = kit.SEPARATOR[data]
-        blanks = np.flatnonzero(blank)
+        blanks = np.flatnonzero(kit.SEPARATOR[data])
         cuts = cut_points(data, self.limits.bits)
-        # of each cut: the end of the last blank before it and the start of the next one
-        left = np.searchsorted(blanks, cuts) - 1
-        plans: list[list[tuple[int, int, bool]]] = []
-        of = np.searchsorted(cuts, offsets)
-        for t in range(len(offsets) - 1):
-            start, stop = int(offsets[t]), int(offsets[t + 1])
-            plan: list[tuple[int, int, bool]] = []
-            at = start
-            for c in range(int(of[t]), int(of[t + 1])):
-                k = left[c]
-                if k < 0 or blanks[k] < at:
-                    continue  # no blank in this chunk: the window goes on
-                low = int(blanks[k]) + 1
-                high = int(blanks[k + 1]) if k + 1 < len(blanks) else stop
-                high = min(high, stop)
-                if low > at:
-                    plan.append((at, low, True))
-                if high > low:
-                    plan.append((low, high, False))
-                at = max(high, low)
-            if at < stop:
-                plan.append((at, stop, True))
-            plans.append(plan)
+        # of each cut: the end of the last blank before it (0: there is none) and the
+        # start of the next one
+        k = np.searchsorted(blanks, cuts)
+        ends = np.concatenate([[0], blanks + 1])[k].tolist()
+        nexts = np.append(blanks, len(data))[k].tolist()
         if len(self.chunks) > self.limits.chunks:
             self.chunks.clear()
-        fresh: dict[bytes, list[bytes]] = {}
-        windows: list[bytes] = []
-        for plan in plans:
-            for a, b, chunk in plan:
-                piece = raw[a:b]
-                if not chunk:
-                    windows.append(piece)
-                elif piece in self.chunks or piece in fresh:
+        plans: list[list[bytes]] = []
+        fresh: dict[bytes, None] = {}
+        windows: dict[bytes, None] = {}
+        of, at_text = np.searchsorted(cuts, offsets).tolist(), offsets.tolist()
+        for t in range(len(at_text) - 1):
+            at, stop = at_text[t], at_text[t + 1]
+            plan: list[bytes] = []  # in turn a chunk and a window
+            for c in range(of[t], of[t + 1]):
+                low = ends[c]
+                if low <= at:
+                    continue  # no blank in this chunk: the window goes on
+                high = max(low, min(nexts[c], stop))
+                plan += raw[at:low], raw[low:high]
+                at = high
+            plan.append(raw[at:stop])
+            for chunk in plan[::2]:
+                if chunk in self.chunks or chunk in fresh:
                     self.reused += 1
                 else:
-                    fresh[piece] = piece.split()
-        wanted = set(windows)
-        for words in fresh.values():
-            wanted.update(words)
-        self.learn(wanted)
-        known = self.pieces
-        for chunk, words in fresh.items():
-            self.chunks[chunk] = self.joined([known[w] for w in words])
-        return [
-            self.joined([self.chunks[raw[a:b]] if c else known[raw[a:b]] for a, b, c in plan])
-            for plan in plans
-        ]
+                    fresh[chunk] = None
+            windows.update(dict.fromkeys(plan[1::2]))
+            plans.append(plan)
+        texts = pa.array([*fresh, *windows], pa.binary()).cast(pa.string())
+        coded = self.joined(pc.ascii_split_whitespace(texts)) if len(texts) else []
+        self.chunks.update(zip(fresh, coded))
+        windows = dict(zip(windows, coded[len(fresh) :], strict=True))
+        rows = []
+        for plan in plans:
+            parts = [(windows if k % 2 else self.chunks)[p] for k, p in enumerate(plan)]
+            parts = [p for p in parts if p[0]]
+            ids, text = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+            rows.append((ids, text, ids.count(" ") + 1 if ids else 0))
+        return rows
 
 
 _CACHES: dict[tuple, ChunkCache] = {}
@@ -177,7 +211,7 @@ def encode_column(docs: DataFrame, path: str, chunking: Chunking = Chunking()) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(path, chunking)
-        for block in kit.blocks(batches, "text"):
+        for block in kit.blocks(batches, "text", BLOCK_BYTES):
             rows = cache.encode(*kit.utf8(block["text"]))
             ids = [np.array(r[0].split(), np.int32) if r[2] else np.zeros(0, np.int32) for r in rows]
             sizes = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
@@ -209,7 +243,7 @@ def digests(docs: DataFrame, path: str, chunking: Chunking = Chunking()) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(path, chunking)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for block in kit.blocks(batches, "text"):
+        for block in kit.blocks(batches, "text", BLOCK_BYTES):
             rows = cache.encode(*kit.utf8(block["text"]))
             yield kit.record(
                 schema, block["doc_id"], [r[2] for r in rows], [sha(r[0]) for r in rows],

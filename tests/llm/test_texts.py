@@ -380,6 +380,21 @@ def test_shared_passages_are_encoded_once(vocabulary):
     assert cache.reused > 5
 
 
+def test_pieces_are_encoded_many_in_one(vocabulary, monkeypatch):
+    """Also where the mark between them is one of them; words met before the cache was
+    full are not encoded again."""
+    cache = bpe.ChunkCache(vocabulary, bpe.Chunking(pieces=300))
+    calls, plain = [], cache._encoded
+    monkeypatch.setattr(cache, "_encoded", lambda texts: calls.append(texts) or plain(texts))
+    often = " ".join(f"often{k}x" for k in range(100))
+    texts = [often + " " + " ".join(f"{t}w{k} {bpe.MARK}" for k in range(150)) for t in "abcdefgh"]
+    for text in texts:
+        assert cache.encode(*textkit.utf8(pa.array([text]))) == [library(vocabulary, text)]
+    assert sum(map(len, calls)) < 600  # of 1301 words
+    assert sum(t.count("often7x") for c in calls for t in c) == 1 + sum(c.count("often7x") for c in calls)
+    assert len(cache.pieces) <= 300 and len(cache.older) <= 300
+
+
 def test_encoded_rows(vocabulary, documents, edge_docs, no_docs):
     for df in (documents, edge_docs):
         want = Counter()
