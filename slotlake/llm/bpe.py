@@ -20,10 +20,10 @@ from slotlake.llm.common import arrow_schema, extended
 GEAR = (kit.mix(np.arange(1, 257, dtype=np.uint64) * kit._STEP) >> np.uint64(32)).astype(np.uint32)
 
 # Texts that are encoded together; a piece is looked up once for all of them.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 # A word that stands between pieces that are encoded in one, and how many are.
-MARK, JOINED = "0", 64
+MARK, JOINED = "^", 64
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ class ChunkCache:
         self.tokenizer = tokenizer(path)
         self.limits = chunking
         self.chunks: dict[bytes, tuple[str, str]] = {}
-        self.pieces: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.reused = 0
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
@@ -110,7 +110,8 @@ class ChunkCache:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode the pieces not yet known. When full, what was known is kept until the
-        next time, and goes over as it is met."""
+        next time, and goes over as it is met. A result is one text, ids and tokens with
+        a line break between them."""
         new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > self.limits.pieces:
             self.older, self.pieces = self.pieces, {}
@@ -121,17 +122,18 @@ class ChunkCache:
         ids = self.ids_of(new)
         decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         for piece, own, text in zip(new, ids, decoded, strict=True):
-            self.pieces[piece] = (" ".join(map(str, own)), text) if own else ("", "")
+            self.pieces[piece] = " ".join(map(str, own)) + "\n" + (text if own else "")
 
     def joined(self, words: pa.ListArray) -> list[tuple[str, str]]:
         """Ids and tokens of lists of pieces; a piece may have none."""
         coded = words.values.dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.learn(pieces)
-        known = [self.pieces[p] for p in pieces]
-        ids, tokens = (pa.array(column, pa.string()) for column in zip(*known, strict=True))
+        known = pa.array([self.pieces[p] for p in pieces], pa.string())
+        both = pc.split_pattern(known, "\n", max_splits=1).flatten()
+        ids, tokens = (both.take(pa.array(np.arange(k, len(both), 2))) for k in (0, 1))
         at = coded.indices.to_numpy()
-        full = np.array([p[0] != "" for p in known])[at]
+        full = pc.not_equal(ids, "").to_numpy(zero_copy_only=False)[at]
         at = pa.array(at[full])
         ends = np.concatenate([[0], np.cumsum(full)])[words.offsets.to_numpy()]
         ends = pa.array(ends, pa.int32())
