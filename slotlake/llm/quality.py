@@ -1,10 +1,15 @@
 """Quality rules with a modified Kneser-Ney model of each language.
 
-The model is of symbol 4-grams: a code point is one of 64 symbols (blank, 26
-letters, digit, and 36 hashed classes for all others), so a language's model has
-at most 64**4 entries at any corpus size. Spark counts the 4-grams of all
-documents, derives the lower orders, discounts and probabilities as tables, and
-each task scores texts against sorted arrays of hashed 4-grams.
+The model is of 4-grams of code points; only white space is one symbol, however it is
+written. Each code point is of one of 64 classes (blank, 26 letters, digit, and 36
+hashed ones for all others), and its probability is that of its class after the three
+classes before it, times that of the code point among its class after the three code
+points before it. Both are modified Kneser-Ney models. The first has at most 64**4
+entries a language, the second as many as there are different 4-grams in the texts.
+
+Spark counts the 4-grams of all documents and derives the lower orders, discounts and
+probabilities as tables. Texts are scored against sorted arrays of 4-grams that are
+broadcast, or, where a language has too many of them, by a join.
 """
 
 from __future__ import annotations
@@ -15,16 +20,22 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from slotlake.llm import textkit as kit
-from slotlake.llm.common import arrow_schema
+from slotlake.llm.common import arrow_schema, extended
 from slotlake.session import materialize
 
 BITS = 6  # of a symbol
 ORDER = 4
 SYMBOLS = 1 << BITS
+POINT_BITS = 21  # of a code point
+POINTS = 0x110000
+TYPE_BYTES = 20  # of a 4-gram of code points in a task's arrays
 MARKS = np.zeros(256, bool)
 MARKS[list(b"#*$%&|<>")] = True
 
@@ -49,6 +60,7 @@ class Rules:
     short: int = 400
     least_range: float = 0.02
     model_bytes: int = 64 << 20  # of the models that are broadcast at once
+    block_bytes: int = 4 << 20  # of the texts that look up a model together, where none is broadcast
     bin_width: float = 0.001  # nats, of binned perplexities
 
 
@@ -127,16 +139,28 @@ def _symbol_table() -> np.ndarray:
     return table
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram keys, index of the text) of a block; blanks in a row count once. A key
-    holds the symbol in its low bits and the three before it above them."""
-    points, offsets = kit.code_points([t or "" for t in texts.to_pylist()], 1)
-    table = _symbol_table()
-    symbols = table[np.minimum(points, 0xFFFF)]
+def symbols_of(points: np.ndarray) -> np.ndarray:
+    """Symbol of each code point."""
+    symbols = _symbol_table()[np.minimum(points, 0xFFFF)]
     high = points > 0xFFFF
     if high.any():
-        symbols = symbols.copy()
         symbols[high] = 28 + points[high].astype(np.int64) % 36
+    return symbols
+
+
+@lru_cache(1)
+def members() -> list[int]:
+    """Number of code points of each symbol; white space is one."""
+    points = np.arange(POINTS)
+    points = points[(points < 0xD800) | (points >= 0xE000)]
+    return [1, *np.bincount(symbols_of(points), minlength=SYMBOLS)[1:].tolist()]
+
+
+def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, symbols, index of the text, whether it is the border before a text)
+    of a block. Blanks and borders are 0; blanks in a row count once."""
+    points, offsets = kit.code_points([t or "" for t in texts.to_pylist()], 1)
+    symbols = symbols_of(points)
     kept = symbols != 0
     kept[1:] |= symbols[:-1] != 0
     kept[offsets[:-1]] = True  # the border before each text
@@ -147,23 +171,77 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(at):
         border[0] = True
         border[1:] = of[1:] != of[:-1]
-    key = symbols.copy()
+    return np.where(symbols == 0, 0, points[at]), symbols, of, border
+
+
+def packed(values: np.ndarray, of: np.ndarray, bits: int) -> np.ndarray:
+    """Each value in the low bits and the three before it in its text above them."""
+    key = values.copy()
     for back in range(1, ORDER):
-        before = np.zeros_like(symbols)
-        before[back:] = np.where(of[back:] == of[:-back], symbols[:-back], 0)
-        key |= before << (BITS * back)
-    return key[~border], of[~border]
+        before = np.zeros_like(values)
+        before[back:] = np.where(of[back:] == of[:-back], values[:-back], 0)
+        key |= before << values.dtype.type(bits * back)
+    return key
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(4-gram keys, index of the text) of a block; blanks in a row count once. A key
+    holds the symbol in its low bits and the three before it above them."""
+    _, symbols, of, border = spelled(texts)
+    return packed(symbols, of, BITS)[~border], of[~border]
+
+
+class Types:
+    """The 4-grams of code points of a block: `keys`, and the index `of` the text. A key
+    is of the numbers that the block's pairs of code points have in it."""
+
+    def __init__(self, texts: pa.Array):
+        points, _, of, border = spelled(texts)
+        pair = points.astype(np.int64)
+        pair[1:] |= np.where(of[1:] == of[:-1], pair[:-1] & (1 << POINT_BITS) - 1, 0) << POINT_BITS
+        found = pa.array(pair).dictionary_encode()  # the first is the border's, of two blanks
+        self.pairs, at = found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+        before = np.zeros_like(at)
+        before[2:] = np.where(of[2:] == of[:-2], at[:-2], 0)
+        self.keys, self.of = (before << 32 | at)[~border], of[~border]
+
+    def different(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context, code point, symbol key, index) of the 4-grams at `mine`: the first
+        three of the different ones, and for each at `mine` which of them it is. A
+        context is of the three code points before."""
+        found = pa.array(self.keys[mine]).dictionary_encode()
+        keys = found.dictionary.to_numpy()
+        first, second = self.pairs[keys >> 32], self.pairs[keys & 0xFFFFFFFF]
+        mask = (1 << POINT_BITS) - 1
+        key = np.zeros(len(keys), np.int32)
+        for points in (first >> POINT_BITS, first & mask, second >> POINT_BITS, second & mask):
+            key = key << BITS | symbols_of(points)
+        context = first << POINT_BITS | second >> POINT_BITS
+        return context, (second & mask).astype(np.int32), key, found.indices.to_numpy()
+
+
+def by_lang(block: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """(languages, number of its language for each row); a null is the empty name."""
+    found = block["lang"].fill_null("").dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
+
+
+TYPE = ("context", "point", "key")
+TYPES = pa.schema(
+    [("context", pa.int64()), ("point", pa.int32()), ("key", pa.int32()), ("n", pa.int64()), ("texts", pa.int64())]
+)
 
 
 def count_grams(rules: Rules):
-    """mapInArrow function: 4-gram counts of the documents that pass the base rules and
-    have few marks, summed in parts of bounded size."""
-    out = pa.schema([("lang", pa.string()), ("key", pa.int32()), ("n", pa.int64())])
+    """mapInArrow function: the 4-grams of all documents, how often they come in those
+    that pass the base rules and have few marks, and in how many of these, summed in
+    parts of bounded size."""
+    out = pa.schema([("lang", pa.string()), *TYPES])
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate([c for _, c in parts]))
-        return keys, counts.astype(np.int64)
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        sums = [("n", "sum"), ("texts", "sum")]
+        table = pa.concat_tables(parts).group_by(TYPE, use_threads=False).aggregate(sums)
+        return table.select([*TYPE, "n_sum", "texts_sum"]).rename_columns(TYPES.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -171,27 +249,28 @@ def count_grams(rules: Rules):
 
         def flush():
             for lang, parts in held.items():
-                keys, counts = merged(parts)
-                yield kit.record(out, [lang] * len(keys), keys, counts)
+                for batch in merged(parts).to_batches():
+                    yield kit.record(out, [lang] * batch.num_rows, *[batch[c] for c in TYPES.names])
 
         for block in kit.blocks(batches, "text"):
             counts = base_counts(block["text"], rules, lines=False)
             marks = 100 * counts["n_symbols"] > rules.train_symbol_percent * counts["n_words"]
             fine = ~failed(counts, rules) & ~marks
-            block = block.filter(pa.array(fine))
-            keys, of = grams(block["text"])
-            langs = block["lang"].fill_null("").to_pylist()
-            codes = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
-            lang_of = np.array([codes[x] for x in langs], np.int64)
-            for lang, k in codes.items():
-                mine = keys if len(codes) == 1 else keys[(lang_of == k)[of]]
-                found = np.unique(mine, return_counts=True)
-                held.setdefault(lang, []).append(found)
-                pending += len(found[0])
-            if pending > 400_000:
+            langs, lang_of = by_lang(block)
+            found = Types(block["text"])
+            for k, lang in enumerate(langs):
+                mine = np.flatnonzero((lang_of == k)[found.of])
+                context, point, key, index = found.different(mine)
+                of = found.of[mine]
+                n = np.bincount(index, weights=fine[of], minlength=len(key)).astype(np.int64)
+                once = pc.unique(pa.array((index * np.int64(len(fine)) + of)[fine[of]])).to_numpy()
+                texts = np.bincount(once // len(fine), minlength=len(key))
+                held.setdefault(lang, []).append(pa.table([context, point, key, n, texts], schema=TYPES))
+                pending += len(n)
+            if pending > 600_000:
                 held = {lang: [merged(parts)] for lang, parts in held.items()}
-                pending = sum(len(p[0][0]) for p in held.values())
-                if pending > 300_000:
+                pending = sum(p[0].num_rows for p in held.values())
+                if pending > 400_000:
                     yield from flush()
                     held, pending = {}, 0
         yield from flush()
@@ -202,6 +281,28 @@ def count_grams(rules: Rules):
 # --- the model as tables -----------------------------------------------------------
 
 
+def discounted(rows: DataFrame) -> DataFrame:
+    """rows (lang, order, n and others) with `off`, what modified Kneser-Ney takes off a
+    count n; nothing off 0."""
+
+    def having(k: int) -> Column:
+        return F.count_if(F.col("n") == k).cast("double")
+
+    counted = rows.groupBy("lang", "order").agg(*[having(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+
+    def discount(k: int) -> Column:
+        raw = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        usual = F.lit(0.5 * k)  # where counts of counts are missing
+        return F.when(enough, F.greatest(F.lit(0.05), F.least(raw, F.lit(k - 0.05)))).otherwise(usual)
+
+    discounts = counted.select("lang", "order", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
+    off = F.when(F.col("n") == 0, F.lit(0.0))
+    off = off.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return rows.join(discounts, ["lang", "order"]).withColumn("off", off)
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """lang, order, key, p, rest: probability of each n-gram of orders 1 to 4, and of
     each context the weight it leaves to the lower order.
@@ -222,25 +323,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         rows = tagged if rows is None else rows.unionByName(tagged)
     rows = materialize(rows, "quality-counts")
 
-    def having(k: int) -> Column:
-        return F.count_if(F.col("n") == k).cast("double")
-
-    counted = rows.groupBy("lang", "order").agg(*[having(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-
-    def discount(k: int) -> Column:
-        raw = F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        usual = F.lit(0.5 * k)  # where counts of counts are missing
-        return F.when(enough, F.greatest(F.lit(0.05), F.least(raw, F.lit(k - 0.05)))).otherwise(usual)
-
-    discounts = counted.select("lang", "order", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
     context = Window.partitionBy("lang", "order", "context")
-    off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = (
-        rows.join(discounts, ["lang", "order"])
+        discounted(rows)
         .withColumn("context", F.shiftright("key", BITS))
-        .withColumn("off", off)
         .withColumn("total", F.sum("n").over(context))
         .withColumn("rest", F.sum("off").over(context) / F.col("total"))
         .withColumn("own", (F.col("n") - F.col("off")) / F.col("total"))
@@ -266,6 +352,58 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return out
 
 
+def spelling(counts: DataFrame) -> DataFrame:
+    """lang, context, point, key, p of each 4-gram of counts: the probability of the code
+    point among those of its symbol, after the three before it.
+
+    counts: lang, context, point, key, texts of 4-grams of code points. A 4-gram counts
+    once for each text that has it but one: a text is judged by what others have. With
+    its own counts in, any text with 4-grams that no other has would foretell itself.
+    The model is as in kneser_ney(), with the symbol as a part of each context; below
+    order 1 all code points of a symbol are alike. White space is always its symbol.
+    """
+    symbol = F.col("key").bitwiseAND(SYMBOLS - 1)
+    others = F.greatest(F.col("texts") - 1, F.lit(0)).alias("n")
+    tables = {ORDER: counts.filter(symbol != 0).select("lang", "context", "point", symbol.alias("symbol"), others)}
+
+    def shorter(order: int) -> Column:
+        """Context of an n-gram of that order from that of a longer one."""
+        return F.col("context").bitwiseAND(F.lit((1 << (POINT_BITS * (order - 1))) - 1).cast("long"))
+
+    for order in range(ORDER - 1, 0, -1):
+        tables[order] = (
+            tables[order + 1]
+            .groupBy("lang", shorter(order).alias("context"), "point", "symbol")
+            .agg(F.count_if(F.col("n") > 0).alias("n"))
+        )
+    rows = reduce(DataFrame.unionByName, (t.withColumn("order", F.lit(k)) for k, t in tables.items()))
+    rows = materialize(rows, "quality-points")
+    context = Window.partitionBy("lang", "order", "context", "symbol")
+    known = F.col("total") > 0
+    rows = (
+        discounted(rows)
+        .withColumn("total", F.sum("n").over(context))
+        .withColumn("rest", F.when(known, F.sum("off").over(context) / F.col("total")).otherwise(1.0))
+        .withColumn("own", F.when(known, (F.col("n") - F.col("off")) / F.col("total")).otherwise(0.0))
+        .select("lang", "order", "context", "point", "symbol", "own", "rest")
+    )
+    rows = materialize(rows, "quality-point-orders")
+    alike = F.element_at(F.array(*[F.lit(float(n)) for n in members()]), F.col("symbol") + 1)
+    lower = rows.filter(F.col("order") == 1).withColumn("p", F.col("own") + F.col("rest") / alike)
+    for order in range(2, ORDER + 1):
+        below = lower.select("lang", F.col("context").alias("suffix"), "point", F.col("p").alias("q"))
+        lower = (
+            rows.filter(F.col("order") == order)
+            .withColumn("suffix", shorter(order - 1))
+            .join(below, ["lang", "suffix", "point"])
+            .withColumn("p", F.col("own") + F.col("rest") * F.col("q"))
+        )
+    fields = ["lang", "context", "point"]
+    points = lower.select(*fields, "p").join(counts.select(*fields, "key"), fields)
+    blanks = counts.filter(symbol == 0).select(*fields, F.lit(1.0).alias("p"), "key")
+    return points.unionByName(blanks)
+
+
 class Model:
     """One language's probabilities as sorted arrays.
 
@@ -317,7 +455,54 @@ def load_models(rows: pa.Table) -> dict[str, Model]:
     return out
 
 
-SCORED = "doc_id {id}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, length long, log_perplexity double"
+class Known:
+    """Log probabilities of one language's 4-grams of code points as sorted arrays."""
+
+    def __init__(self, context: np.ndarray, point: np.ndarray, logs: np.ndarray):
+        self.contexts, at = np.unique(context, return_inverse=True)
+        keys, first = np.unique(at << POINT_BITS | point, return_index=True)
+        self.keys, self.logs = keys, logs[first].astype(np.float32)
+
+    def log_p(self, context: np.ndarray, point: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        keys = at << POINT_BITS | point
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if (self.contexts[at] != context).any() or (self.keys[place] != keys).any():
+            raise ValueError("a text differs from those that the model was made from")
+        return self.logs[place]
+
+
+def load_known(rows: pa.Table) -> dict[str, Known]:
+    """By language from rows of lang, context, point, log_p."""
+    found = rows["lang"].combine_chunks().dictionary_encode()
+    lang_of = found.indices.to_numpy()
+    columns = [rows[c].to_numpy() for c in ("context", "point", "log_p")]
+    return {
+        lang: Known(*[c[lang_of == k] for c in columns]) for k, lang in enumerate(found.dictionary.to_pylist())
+    }
+
+
+def both_models(models):
+    """mapInArrow function: `log_p` of 4-grams of code points from their `p` and that of
+    their symbols. Those of a language without a model are dropped."""
+    out = arrow_schema(KNOWN)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, lang_of = by_lang(batch)
+            for k, lang in enumerate(langs):
+                if lang not in models.value:
+                    continue
+                mine = batch.filter(pa.array(lang_of == k))
+                logs = models.value[lang].log_p(mine["key"].to_numpy()) + np.log(mine["p"].to_numpy())
+                yield kit.record(out, mine["lang"], mine["context"], mine["point"], logs)
+
+    return run
+
+
+KNOWN = "lang string, context long, point int, log_p double"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, length long, log_perplexity double"
 
 
 def keep(models, limits: dict[str, tuple[float, float]], rules: Rules):
@@ -342,41 +527,134 @@ def keep(models, limits: dict[str, tuple[float, float]], rules: Rules):
     return run
 
 
-def perplexities(block: pa.RecordBatch, known: dict[str, Model]) -> tuple[np.ndarray, np.ndarray]:
+def perplexities(block: pa.RecordBatch, known: dict[str, Known]) -> tuple[np.ndarray, np.ndarray]:
     """(number of symbols, log perplexity) of each text; not a number for a text
     without symbols or of a language without a model."""
-    keys, of = grams(block["text"])
     n = block.num_rows
-    langs = block["lang"].fill_null("").to_pylist()
-    total, length = np.zeros(n), kit.per_text(None, of, n)
-    for lang in dict.fromkeys(langs):
-        if lang not in known:
+    langs, lang_of = by_lang(block)
+    found = Types(block["text"])
+    total, length = np.zeros(n), kit.per_text(None, found.of, n)
+    for k, lang in enumerate(langs):
+        mine = np.flatnonzero((lang_of == k)[found.of])
+        if lang not in known or not len(mine):
             continue
-        mine = np.array([x == lang for x in langs])[of]
-        total += np.bincount(of[mine], weights=known[lang].log_p(keys[mine]), minlength=n)
-    has = np.array([x in known for x in langs], bool) & (length > 0)
+        context, point, _, index = found.different(mine)
+        total += np.bincount(found.of[mine], weights=known[lang].log_p(context, point)[index], minlength=n)
+    has = np.array([x in known for x in langs], bool)[lang_of] & (length > 0)
     return length, np.where(has, -total / np.maximum(length, 1), np.nan)
 
 
+def measured(block: pa.RecordBatch, known: dict[str, Known], rules: Rules) -> list:
+    """The columns MEASURES of a block. A text without symbols, or of a language without
+    a model, has no perplexity."""
+    counts = base_counts(block["text"], rules)
+    length, perplexity = perplexities(block, known)
+    return [
+        *[counts[c] for c in COUNTS], failed(counts, rules), length,
+        pa.array(perplexity, mask=np.isnan(perplexity)),
+    ]
+
+
 def score(models, rules: Rules, schema: pa.Schema):
-    """mapInArrow function: base counts and log perplexity of each document. A text
-    without symbols, or of a language without a model, has no perplexity."""
+    """mapInArrow function: doc_id, lang, base counts and log perplexity of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = models.value
         for block in kit.blocks(batches, "text"):
-            counts = base_counts(block["text"], rules)
-            length, perplexity = perplexities(block, known)
-            perplexity = pa.array(perplexity, mask=np.isnan(perplexity))
-            yield kit.record(
-                schema, block["doc_id"], block["lang"],
-                *[counts[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                failed(counts, rules), length, perplexity,
-            )
+            yield kit.record(schema, block["doc_id"], block["lang"], *measured(block, models.value, rules))
 
     return run
 
 
+# --- languages whose model no task can hold ------------------------------------------
+
+
+def in_blocks(rules: Rules, schema: pa.Schema):
+    """mapInArrow function: the rows with the number of a block as last column, which
+    holds the texts of `block_bytes` of one task or a single longer one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, room = TaskContext.get().partitionId() << 32, rules.block_bytes
+        for block in kit.blocks(batches, "text", min(kit.BLOCK_BYTES, rules.block_bytes)):
+            size = kit.utf8(block["text"])[1][-1]
+            if size > room:
+                number, room = number + 1, rules.block_bytes
+            room -= size
+            yield kit.record(schema, *block.columns, np.full(block.num_rows, number))
+
+    return run
+
+
+BLOCK_TYPES = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("context", pa.int64()), ("point", pa.int32())])
+
+
+def block_types(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: block, lang, context, point of the different 4-grams of the
+    texts of a block; those that come in several batches may be repeated."""
+    held: dict[tuple[int, str], pa.Table] = {}
+    for batch in batches:
+        for slice_ in kit.blocks([batch], "text"):
+            numbers = slice_["block"].to_numpy()
+            langs, lang_of = by_lang(slice_)
+            for key in [x for x in held if x[0] not in numbers]:
+                done = held.pop(key)
+                for out in done.to_batches():
+                    yield kit.record(BLOCK_TYPES, [key[0]] * out.num_rows, [key[1]] * out.num_rows, *out.columns)
+            found = Types(slice_["text"])
+            for number in np.unique(numbers).tolist():
+                for k, lang in enumerate(langs):
+                    mine = np.flatnonzero(((lang_of == k) & (numbers == number))[found.of])
+                    context, point, _, _ = found.different(mine)
+                    new = pa.table({"context": context, "point": point})
+                    both = [new, *([held[number, lang]] if (number, lang) in held else [])]
+                    held[number, lang] = (
+                        pa.concat_tables(both).group_by(["context", "point"], use_threads=False).aggregate([])
+                    )
+    for key, done in held.items():
+        for out in done.to_batches():
+            yield kit.record(BLOCK_TYPES, [key[0]] * out.num_rows, [key[1]] * out.num_rows, *out.columns)
+
+
+def score_block(rules: Rules, schema: pa.Schema):
+    """Cogroup function: rows of a block with their measures, from its 4-grams' log_p."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known = load_known(found)
+        batches = rows.combine_chunks().to_batches()
+        return pa.Table.from_batches(
+            [
+                kit.record(schema, *block.columns[:-1], *measured(block, known, rules))
+                for block in kit.blocks(batches, "text")
+            ],
+            schema,
+        )
+
+    return run
+
+
+def looked_up(docs: DataFrame, known: DataFrame, rules: Rules) -> tuple[DataFrame, dict[str, str]]:
+    """docs with MEASURES as further columns, whose names are returned, by a join of the
+    different 4-grams of blocks of texts with the rows of fit(). No task holds a model."""
+    block, *names = [f.name for f in arrow_schema(f"block long, {MEASURES}")]
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    numbered = extended(docs.schema, f"{free(block)} long")
+    stored = materialize(docs.mapInArrow(in_blocks(rules, arrow_schema(numbered)), numbered), "quality-blocks")
+    number = F.col(free(block))
+    wanted = stored.select(number.alias("block"), "lang", "text").mapInArrow(
+        block_types, "block long, lang string, context long, point int"
+    )
+    found = wanted.join(known, ["lang", "context", "point"])
+    fields = [f"{free(f.name)} {f.dataType.simpleString()}" for f in StructType.fromDDL(MEASURES)]
+    schema = extended(docs.schema, ", ".join(fields))
+    rows = stored.groupBy(number).cogroup(found.groupBy("block"))
+    return rows.applyInArrow(score_block(rules, arrow_schema(schema)), schema), {x: free(x) for x in names}
+
+
 def language_groups(sizes: list[tuple[str, int]], limit: int) -> list[list[str]]:
     """Languages in groups whose models fit `limit` bytes together (or one language)."""
     groups: list[list[str]] = []
@@ -390,47 +668,77 @@ def language_groups(sizes: list[tuple[str, int]], limit: int) -> list[list[str]]
     return groups
 
 
-def by_model(docs: DataFrame, model: DataFrame, rules: Rules) -> Iterator[tuple[DataFrame, object]]:
-    """(documents, broadcast models) of groups of languages whose models are broadcast
-    together; every document is in one group."""
-    spark = docs.sparkSession
-    # 12 bytes an entry, and the dense arrays of a model
-    sizes = model.groupBy("lang").agg((F.count(F.lit(1)) * 12 + 8 * SYMBOLS**3).alias("size"))
-    groups = language_groups([(r.lang, r.size) for r in sizes.collect()], rules.model_bytes) or [[]]
+def by_model(
+    rows: DataFrame, model: DataFrame, sizes: list[tuple[str, int]], load, rules: Rules
+) -> Iterator[tuple[DataFrame, object]]:
+    """(rows, broadcast models) of groups of languages whose models are broadcast
+    together; every row is in one group."""
+    spark = rows.sparkSession
+    groups = language_groups(sizes, rules.model_bytes) or [[]]
     lang = F.coalesce("lang", F.lit(""))
     # The last group also takes what has no model.
     others = [x for g in groups[:-1] for x in g]
     for k, group in enumerate(groups):
-        of_group = model.filter(F.col("lang").isin(group)) if group else model
-        models = spark.sparkContext.broadcast(load_models(of_group.toArrow()))
+        of_group = model.filter(F.col("lang").isin(group)) if group else model.limit(0)
+        models = spark.sparkContext.broadcast(load(of_group.toArrow()))
         if len(groups) == 1:
-            yield docs, models
+            yield rows, models
         else:
-            yield docs.filter(lang.isin(group) if k < len(groups) - 1 else ~lang.isin(others)), models
+            yield rows.filter(lang.isin(group) if k < len(groups) - 1 else ~lang.isin(others)), models
+
+
+def bytes_by_lang(model: DataFrame, row: int, fixed: int = 0) -> list[tuple[str, int]]:
+    """(language, bytes of its model) of `row` bytes an entry."""
+    sizes = model.groupBy("lang").agg((F.count(F.lit(1)) * row + fixed).alias("size"))
+    return [(r.lang, r.size) for r in sizes.collect()]
 
 
 def fit(docs: DataFrame, rules: Rules) -> DataFrame:
-    """The model of every language, from all documents."""
+    """lang, context, point, log_p: the log probability of every 4-gram of code points in
+    the documents under the model of its language, from all documents."""
     counts = (
         docs.select("text", "lang")
-        .mapInArrow(count_grams(rules), "lang string, key int, n long")
-        .groupBy("lang", "key")
-        .agg(F.sum("n").alias("n"))
+        .mapInArrow(count_grams(rules), "lang string, context long, point int, key int, n long, texts long")
+        .groupBy("lang", "context", "point", "key")
+        .agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     )
-    return materialize(kneser_ney(materialize(counts, "quality-grams")), "quality-model")
+    counts = materialize(counts, "quality-grams")
+    of_symbols = counts.filter("n > 0").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    model = materialize(kneser_ney(of_symbols), "quality-model")
+    # 12 bytes an entry, and the dense arrays of a model
+    sizes = bytes_by_lang(model, 12, 8 * SYMBOLS**3)
+    points = materialize(spelling(counts), "quality-spelling")
+    known = union(
+        part.mapInArrow(both_models(models), KNOWN)
+        for part, models in by_model(points, model, sizes, load_models, rules)
+    )
+    return materialize(known, "quality-known")
+
+
+def apart(
+    docs: DataFrame, known: DataFrame, rules: Rules
+) -> tuple[list[tuple[DataFrame, object]], DataFrame | None]:
+    """(documents with their broadcast models, documents of the languages whose model is
+    beyond `model_bytes`)."""
+    sizes = bytes_by_lang(known, TYPE_BYTES)
+    large = [lang for lang, size in sizes if size > rules.model_bytes]
+    if not large:
+        return list(by_model(docs, known, sizes, load_known, rules)), None
+    lang = F.coalesce("lang", F.lit(""))
+    small = [(x, size) for x, size in sizes if x not in large]
+    return list(by_model(docs.filter(~lang.isin(large)), known, small, load_known, rules)), docs.filter(lang.isin(large))
 
 
 def union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def scored(docs: DataFrame, model: DataFrame, rules: Rules) -> DataFrame:
-    """Base counts and log perplexity of every document under its language's model."""
-    rows = docs.select("doc_id", "text", "lang")
-    ddl = SCORED.format(id=docs.schema["doc_id"].dataType.simpleString())
+def scored(docs: DataFrame, parts: Iterable[tuple[DataFrame, object]], rules: Rules) -> DataFrame:
+    """doc_id, lang, base counts and log perplexity of every document of the parts."""
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {MEASURES}"
     schema = arrow_schema(ddl)
     return union(
-        part.mapInArrow(score(models, rules, schema), ddl) for part, models in by_model(rows, model, rules)
+        part.select("doc_id", "text", "lang").mapInArrow(score(models, rules, schema), ddl) for part, models in parts
     )
 
 
@@ -484,8 +792,19 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     looked at. An empty table gives no rows. The models count all documents that
     pass the base rules and have few marks; the bands those that pass the base rules.
     """
-    rows = materialize(scored(docs, fit(docs, rules), rules), "quality-scored")
-    limits = bands(rows, rules)
+    docs = docs.select("doc_id", "text", "lang")
+    known = fit(docs, rules)
+    parts, large = apart(docs, known, rules)
+    rows = scored(docs, parts, rules)
+    if large is not None:
+        joined, _ = looked_up(large, known, rules)
+        rows = rows.unionByName(joined.drop("text"))
+    rows = materialize(rows, "quality-scored")
+    return within(rows, bands(rows, rules), rules).drop("band_lang", "middle", "spread", "length")
+
+
+def within(rows: DataFrame, limits: DataFrame, rules: Rules) -> DataFrame:
+    """rows with low, high and kept, from the rows of bands()."""
     width = F.col("spread") * F.sqrt(1 + F.lit(float(rules.short)) / F.greatest("length", F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return (
@@ -493,7 +812,6 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .withColumn("low", F.col("middle") - rules.below * width)
         .withColumn("high", F.col("middle") + rules.above * width)
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .drop("band_lang", "middle", "spread", "length")
     )
 
 
@@ -501,15 +819,25 @@ def kept_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows that judge() keeps, with all columns of `docs`.
 
     Each row is judged where it is read, so rows that repeat a doc_id need no telling
-    apart and no text is shuffled. The bands (two numbers a language) go along with
-    the models.
+    apart and no text is shuffled, but for languages whose model is beyond `model_bytes`.
+    The bands (two numbers a language) go along with the models.
     """
-    model = fit(docs, rules)
-    rows = materialize(scored(docs, model, rules), "quality-scored")
-    limits = {
-        r.band_lang: (r.middle, r.spread) for r in bands(rows, rules).collect()
-    }
-    return union(
-        part.mapInArrow(keep(models, limits, rules), docs.schema)
-        for part, models in by_model(docs, model, rules)
-    )
+    known = fit(docs, rules)
+    parts, large = apart(docs, known, rules)
+    rows = scored(docs, parts, rules).select("lang", "base_failed", "length", "log_perplexity")
+    if large is not None:
+        joined, names = looked_up(large, known, rules)
+        joined = materialize(joined, "quality-joined")
+        rows = rows.unionByName(
+            joined.select("lang", *[F.col(names[c]).alias(c) for c in ("base_failed", "length", "log_perplexity")])
+        )
+    rows = materialize(rows, "quality-scored")
+    limits = {r.band_lang: (r.middle, r.spread) for r in bands(rows, rules).collect()}
+    kept = [part.mapInArrow(keep(models, limits, rules), docs.schema) for part, models in parts]
+    if large is not None:
+        ddl = "band_lang string, middle double, spread double"
+        of_lang = docs.sparkSession.createDataFrame([(x, *y) for x, y in limits.items()], ddl)
+        plain = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        judged = joined.select(plain, "lang", *[F.col(names[c]).alias(c) for c in ("base_failed", "length", "log_perplexity")])
+        kept.append(within(judged, F.broadcast(of_lang), rules).filter("kept").select("row.*"))
+    return union(kept)

@@ -205,6 +205,116 @@ def test_small_model_budget_gives_the_same_verdicts(documents):
     assert rows(quality.judge(documents, few)) == rows(quality.judge(documents))
 
 
+def respelled(text):
+    """Every code point beyond white space replaced by another one of the same symbol."""
+    other = {}
+    for c in dict.fromkeys(text):
+        if not c.isspace():
+            symbol = quality.symbols_of(np.array([ord(c)]))[0]
+            points = np.arange(0x4E00, 0xA000) if symbol > 27 else np.arange(0x100, 0xD800)
+            points = points[quality.symbols_of(points) == symbol]
+            other[c] = chr(points[0]) if len(points) else c.upper()
+    return "".join(other.get(c, c) for c in text)
+
+
+def cyrillic_rows(n):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(0x430 + k) for k in rng.integers(0, 32, rng.integers(2, 9))) for _ in range(60)]
+    return [(k, " ".join(rng.choice(vocabulary, 80)), "ru") for k in range(n)]
+
+
+def test_code_points_of_one_symbol_are_told_apart(spark):
+    rows = cyrillic_rows(40)
+    other = respelled(rows[0][1])
+    assert brute_grams(other) == brute_grams(rows[0][1]) and not set(other) & set(rows[0][1]) - {" "}
+    docs = spark.createDataFrame([*rows, (100, other, "ru")], "doc_id long, text string, lang string")
+    for rules in (quality.Rules(), quality.Rules(model_bytes=1, block_bytes=2000)):
+        got = {r.doc_id: r for r in quality.judge(docs, rules).collect()}
+        assert got[0].kept and not got[100].kept and not got[100].base_failed
+        assert got[100].log_perplexity > got[0].log_perplexity + 0.5
+        assert {r.doc_id for r in quality.kept_documents(docs, rules).collect()} == {k for k, r in got.items() if r.kept}
+
+
+def brute_points(text):
+    """The 4-grams of a text as tuples; white space in a row is one blank, as is its start."""
+    packed = ["" if quality.symbols_of(np.array([ord(c)]))[0] == 0 else c for c in text]
+    packed = [c for k, c in enumerate(packed) if c or (k and packed[k - 1])]
+    padded = ["", "", "", *packed]
+    return [tuple(padded[k : k + 4]) for k in range(len(packed))]
+
+
+def brute_spelling(texts):
+    """p(code point | its symbol and the three before it), as a function. A 4-gram counts
+    once for each text that has it but one."""
+    having = Counter(g for text in texts for g in set(brute_points(text)))
+    counts = {4: Counter({g: n - 1 for g, n in having.items() if n > 1})}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[-order:] for g in counts[order + 1])
+    symbol = lambda c: int(quality.symbols_of(np.array([ord(c)]))[0])
+    own = {order: Counter({g: n for g, n in table.items() if g[-1]}) for order, table in counts.items()}
+    discounts = {}
+    for order, table in own.items():
+        n = [sum(v == k for v in table.values()) for k in range(1, 5)]
+        discounts[order] = [0.5, 1.0, 1.5]
+        if all(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            raw = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+            discounts[order] = [max(0.05, min(r, k - 0.05)) for k, r in zip((1, 2, 3), raw, strict=True)]
+
+    def p(gram, order=4):
+        if not order:
+            return 1 / quality.members()[symbol(gram[-1])]
+        gram = gram[-order:]
+        alike = {g: n for g, n in own[order].items() if g[:-1] == gram[:-1] and symbol(g[-1]) == symbol(gram[-1])}
+        if not alike:
+            return p(gram, order - 1)
+        off = lambda v: discounts[order][min(v, 3) - 1]
+        found = alike[gram] - off(alike[gram]) if gram in alike else 0
+        return (found + sum(map(off, alike.values())) * p(gram, order - 1)) / sum(alike.values())
+
+    return lambda gram: p(gram) if gram[-1] else 1.0
+
+
+def test_perplexity_equals_brute_force(spark):
+    texts = [
+        "The Cat sat on the MAT, and the Dog ran to the cat while 12 hens ate 345 corns of 1 mat.",
+        "Ünïcode wörds and 漢字 and 漢語 and emoji 😀 or 😁 in a\t text of several words\n\nhere, here",
+        "the DOG and the 漢 mat: a Hen of the Corn \0 sat on 9 mats in several words and 7 texts",
+    ]
+    marked = "#a #b %ц $d &e |f <g> #h *i the Mat 漢7 and 77 new ones 😀 are not counted but judged"
+    docs = [*enumerate(texts), (3, marked)]
+    symbols = brute_kneser_ney([g for t in texts for g in brute_grams(t)])
+    points = brute_spelling(texts)
+    want = {}
+    for k, text in docs:
+        logs = [np.log(symbols(a, 4)) + np.log(points(b)) for a, b in zip(brute_grams(text), brute_points(text), strict=True)]
+        want[k] = -sum(logs) / len(logs)
+    df = spark.createDataFrame([(k, t, "en") for k, t in docs], "doc_id long, text string, lang string")
+    for rules in (quality.Rules(), quality.Rules(model_bytes=1, block_bytes=150)):
+        got = {r.doc_id: r.log_perplexity for r in quality.judge(df, rules).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+
+
+def test_code_points_of_all_planes_side_by_side():
+    text = "".join(map(chr, [*range(0x3400, 0xD7A0), *range(0x20000, 0x2B000)]))
+    types = quality.Types(pa.array(["a b", text]))
+    context, point, _, index = types.different(np.arange(len(types.keys)))
+    found = [*zip(types.of.tolist(), context[index].tolist(), point[index].tolist(), strict=True)]
+    values = [0, 0, 0, *map(ord, text)]
+    want = [(1, values[k] << 42 | values[k + 1] << 21 | values[k + 2], values[k + 3]) for k in range(len(text))]
+    assert found[:3] == [(0, 0, 97), (0, 97, 0), (0, 97 << 21, 98)]
+    assert found[3:] == want
+
+
+def test_models_that_are_joined_keep_the_same_rows(documents, edge_docs):
+    few = quality.Rules(model_bytes=1, block_bytes=50_000)
+    for docs in (documents, edge_docs):
+        got = quality.kept_documents(docs, few)
+        assert got.columns == docs.columns
+        rows = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+        assert rows(got) == rows(quality.kept_documents(docs))
+
+
 # --- personal data ----------------------------------------------------------------
 
 # The base grammars of the contract.
